@@ -34,7 +34,7 @@ from .common import arrow_map, ids_and_text, redealt, spool, table, utf8
 
 WIDTH, PERCENT = 5, 75
 #: Bits of a shingle's hash that fragments hold; entries that a task packs at once.
-BITS, PACK = 48, 1 << 22
+BITS, PACK = 48, 1 << 20
 #: Cuts of the global order (by log2 of a shingle's document count) into vertical fragments.
 PIVOTS = (2, 4, 7)
 STAR_ROUNDS = 2
@@ -71,12 +71,38 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-_SETS = "part int, frag int, doc_id long, n int, nid long, first boolean, a binary, b binary"
+def set_name(h: np.ndarray) -> int:
+    """The name of a set: a hash of its sorted shingles."""
+    return int(np.frombuffer(xxhash.xxh3_64_digest(h.tobytes()), np.int64)[0])
 
 
-def shingle_sets(docs: DataFrame, fragments: int) -> DataFrame:
-    """Two kinds of rows. Documents (frag is null): doc_id, n, nid (the set's hash, null without words), first (whether it goes on).
-    Packed data: the n and nid of a task's sets (frag -1), and a task's shingles in a fragment with the sets' places.
+def set_names(docs: DataFrame) -> DataFrame:
+    """doc_id, n and nid (the set's name, null without words) of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes, names = [], []
+            for raw in utf8(batch["text"]):
+                h = shingle_hashes(raw)
+                sizes.append(len(h))
+                names.append(set_name(h) if len(h) else None)
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int32()), pa.array(names, pa.int64())], ["doc_id", "n", "nid"])
+
+    return arrow_map(ids_and_text(docs), run, "doc_id long, n int, nid long")
+
+
+_PACKED = "part int, frag int, a binary, b binary"
+
+
+def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
+    types = (pa.int32(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "frag", "a", "b"])
+
+
+def packed_shingles(docs: DataFrame, fragments: int) -> DataFrame:
+    """A task's shingles in each fragment with the places of their sets; in fragment -1 the sizes and names of its sets.
+
+    Of equal sets in a task only the first is packed.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,65 +111,50 @@ def shingle_sets(docs: DataFrame, fragments: int) -> DataFrame:
         sizes: list[int] = []
         names: list[int] = []
         held: list[np.ndarray] = []
-        held_ids: list[int] = []
-        n_held = 0
-        types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary()]
-        fields = [x.split()[0] for x in _SETS.split(", ")]
-        rows = lambda r: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*r, strict=True), types, strict=True)], fields)
+        base = n_held = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
             h = np.concatenate(held) >> np.uint64(64 - BITS)
-            idx = np.repeat(np.array(held_ids, np.uint64), [len(x) for x in held])
+            idx = np.repeat(np.arange(base, base + len(held), dtype=np.uint64), [len(x) for x in held])
             order = np.argsort(h, kind="stable")
             h, idx = h[order], idx[order]
-            frag = (h * np.uint64(fragments) if fragments < 1 << 16 else h) >> np.uint64(BITS)
+            frag = (h * np.uint64(fragments)) >> np.uint64(BITS)
             cuts = np.append(np.flatnonzero(np.diff(frag, prepend=np.uint64(1 << 62))), len(h))
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                own = h[lo:hi]
-                out.append((part, int(frag[lo]), None, None, None, None, _pack(np.diff(own, prepend=np.uint64(0))), _pack(idx[lo:hi])))
+                out.append((part, int(frag[lo]), _pack(np.diff(h[lo:hi], prepend=np.uint64(0))), _pack(idx[lo:hi])))
                 if len(out) >= 64:
-                    yield rows(out)
+                    yield _packed_rows(out)
                     out = []
             if out:
-                yield rows(out)
+                yield _packed_rows(out)
 
         for batch in batches:
-            members = []
-            for doc_id, raw in zip(batch["doc_id"].to_pylist(), utf8(batch["text"]), strict=True):
+            for raw in utf8(batch["text"]):
                 h = shingle_hashes(raw)
-                if not len(h):
-                    members.append((part, None, doc_id, 0, None, False, None, None))
+                if not len(h) or (nid := set_name(h)) in seen:
                     continue
-                nid = int(np.frombuffer(xxhash.xxh3_64_digest(h.tobytes()), np.int64)[0])
-                first = nid not in seen
-                members.append((part, None, doc_id, len(h), nid, first, None, None))
-                if first:
-                    seen.add(nid)
-                    held.append(h)
-                    held_ids.append(len(sizes))
-                    sizes.append(len(h))
-                    names.append(nid)
-                    n_held += len(h)
-                    if n_held >= PACK:
-                        yield from packed()
-                        held, held_ids, n_held = [], [], 0
-            if members:
-                yield rows(members)
+                seen.add(nid)
+                held.append(h)
+                sizes.append(len(h))
+                names.append(nid)
+                n_held += len(h)
+                if n_held >= PACK:
+                    yield from packed()
+                    base, held, n_held = len(sizes), [], 0
         if held:
             yield from packed()
         if sizes:
-            yield rows([(part, -1, None, None, None, None, _pack(np.array(sizes)), _pack(np.array(names, np.int64)))])
-
-    return arrow_map(ids_and_text(docs), run, _SETS)
+            yield _packed_rows([(part, -1, _pack(np.array(sizes)), _pack(np.array(names, np.int64)))])
 
-
-_BACK = "part int, frag int, a binary, b binary"
+    return arrow_map(ids_and_text(docs), run, _PACKED)
 
 
 def shared_shingles(packed: DataFrame) -> DataFrame:
-    """For each fragment, the shingles of two or more sets, sent back to the tasks that packed them: place of the set and order key."""
-    sent = packed.where(F.col("frag") >= 0).select("part", "frag", "a", "b").repartition("frag").sortWithinPartitions("frag")
+    """For each fragment, the shingles of two or more sets, sent back to the tasks that packed them: place of the set and order key.
+    The rows of fragment -1 go through unchanged.
+    """
+    sent = packed.repartition("frag").sortWithinPartitions("frag")
 
     def solve(frag: int, parts: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.cumsum(_unpack(a)) for _, a, _ in parts])
@@ -163,13 +174,15 @@ def shared_shingles(packed: DataFrame) -> DataFrame:
         cuts = np.append(np.flatnonzero(np.diff(origin, prepend=-1)), len(origin)) if len(origin) else np.zeros(0, int)
         out = [(int(origin[lo]), frag, _pack(idx[lo:hi]), _pack(key[lo:hi])) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
         if out:
-            c = list(zip(*out, strict=True))
-            yield pa.RecordBatch.from_arrays([pa.array(c[0], pa.int32()), pa.array(c[1], pa.int32()), pa.array(c[2], pa.binary()), pa.array(c[3], pa.binary())], ["part", "frag", "a", "b"])
+            yield _packed_rows(out)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, parts = None, []
         for batch in batches:
             for part, frag, a, b in zip(*(batch[c].to_pylist() for c in ("part", "frag", "a", "b")), strict=True):
+                if frag < 0:
+                    yield _packed_rows([(part, frag, a, b)])
+                    continue
                 if frag != now and parts:
                     yield from solve(now, parts)
                     parts = []
@@ -178,7 +191,7 @@ def shared_shingles(packed: DataFrame) -> DataFrame:
         if parts:
             yield from solve(now, parts)
 
-    return arrow_map(sent, run, _BACK)
+    return arrow_map(sent, run, _PACKED)
 
 
 _LIVE = "nid long, uid long, n int, n_prefix int, keys array<long>"
@@ -186,8 +199,7 @@ _LIVE = "nid long, uid long, n int, n_prefix int, keys array<long>"
 
 def live_sets(packed: DataFrame) -> DataFrame:
     """The sets that can be linked: their shared shingles in global order, and how many of them lie in the prefix."""
-    heads = packed.where(F.col("frag") == -1).select("part", "frag", "a", "b")
-    rows = heads.unionByName(shared_shingles(packed)).repartition("part").sortWithinPartitions("part", "frag")
+    rows = shared_shingles(packed).repartition("part").sortWithinPartitions("part", "frag")
 
     def solve(part: int, head: tuple[bytes, bytes], parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         sizes, names = _unpack(head[0]).astype(np.int64), _unpack(head[1]).view(np.int64)
@@ -314,9 +326,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (equal for equal sets, null without words) of each row."""
     spark = docs.sparkSession
     fragments = min(max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), (1 << 16) - 1)
-    made = spool(shingle_sets(docs, fragments), "shingles")
-    members = made.where(F.col("frag").isNull()).select("doc_id", "n", "nid")
-    live = spool(live_sets(made.where(F.col("frag").isNotNull())), "live")
+    members = spool(set_names(docs), "sets")
+    live = spool(live_sets(packed_shingles(docs, fragments)), "live")
     one = live.groupBy("nid").agg(F.min("uid").alias("uid"))
     live = spool(live.join(one, ["nid", "uid"], "left_semi"), "live-one")
     roots = link_components(live)
