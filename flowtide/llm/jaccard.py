@@ -38,6 +38,8 @@ BITS, PACK = 48, 1 << 20
 #: Cuts of the global order (by log2 of a shingle's document count) into vertical fragments.
 PIVOTS = (2, 4, 7)
 STAR_ROUNDS = 2
+#: Blocks of a cluster whose sets are compared with one another: sets in a block, most such blocks, sets in a block beyond that.
+BLOCK, BLOCKS, LARGE_BLOCK = 128, 64, 16384
 _ODD = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0x27D4EB2F165667C5)]
 
 
@@ -275,6 +277,107 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
 
 
+def clusters(postings: DataFrame) -> DataFrame:
+    """nid, cluster, block, blocks: sets that posting lists connect, checked or not, and how they are cut into blocks.
+
+    A cluster has a block for each ``BLOCK`` sets, up to ``BLOCKS`` of them, then blocks grow to ``LARGE_BLOCK`` sets: a set goes to as
+    many tasks as its cluster has blocks, and a task gets two blocks.
+    """
+    heads = redealt(postings.groupBy("key").agg(F.min("nid").alias("a")))
+    named = components(postings.join(heads, "key").select("a", F.col("nid").alias("b")).distinct())
+    members = spool(named.select(F.col("node").alias("nid"), F.col("root").alias("cluster")).unionByName(named.select(F.col("root").alias("nid"), F.col("root").alias("cluster")).distinct()), "clusters")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("g"))
+    blocks = F.greatest(F.least(F.ceil(F.col("g") / BLOCK), F.lit(BLOCKS)), F.ceil(F.col("g") / LARGE_BLOCK)).cast("int")
+    return members.join(redealt(sizes.select("cluster", blocks.alias("blocks"))), "cluster").withColumn("block", F.pmod(F.xxhash64("nid"), F.col("blocks")).cast("int"))
+
+
+def block_links(members: DataFrame, live: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Links (a, b) that unite sets of different components, from all pairs of sets of a cluster.
+
+    Each pair of blocks is one group of rows; within it overlaps are counted fragment by fragment of the global order and summed, and of
+    the links found only those that unite are given out.
+    """
+    sets = live.select("nid", "n", "keys").join(members, "nid")
+    if labels is not None:
+        sets = sets.join(labels.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("comp", F.coalesce("root", "nid")).drop("root")
+    else:
+        sets = sets.withColumn("comp", F.col("nid"))
+    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    rows = sets.withColumn("other", other).select("cluster", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "nid", "n", "comp", "keys")
+    dealt = rows.repartition("cluster", "lo", "hi").sortWithinPartitions("cluster", "lo", "hi")
+    cuts = np.array([p << BITS for p in PIVOTS], np.int64)
+
+    def solve(same: bool, lo: int, block: np.ndarray, nid: np.ndarray, n: np.ndarray, comp: np.ndarray, keys: list[np.ndarray]) -> list[tuple[int, int]]:
+        left = np.arange(len(nid)) if same else np.flatnonzero(block == lo)
+        right = np.arange(len(nid)) if same else np.flatnonzero(block != lo)
+        if len(set(comp.tolist())) < 2 or not len(left) or not len(right):
+            return []
+        posted = np.concatenate([keys[j] for j in right])
+        owner = np.repeat(np.arange(len(right)), [len(keys[j]) for j in right])
+        order = np.argsort(posted, kind="stable")
+        posted, owner = posted[order], owner[order]
+        parent: dict[int, int] = {}
+
+        def find(c: int) -> int:
+            while (up := parent.get(c, c)) != c:
+                parent[c] = parent.get(up, up)
+                c = parent[c]
+            return c
+
+        out = []
+        n_right, comp_right = n[right].astype(np.int64), comp[right]
+        for i in left.tolist():
+            unlike = comp_right != comp[i]
+            if same:
+                unlike[: i + 1] = False
+            if not unlike.any():
+                continue
+            size = int(n[i])
+            needed = -(-PERCENT * (size + n_right) // (100 + PERCENT))
+            overlap = np.zeros(len(right), np.int64)
+            rest = len(keys[i])
+            for fragment in np.split(keys[i], np.searchsorted(keys[i], cuts)):
+                first, last = np.searchsorted(posted, fragment), np.searchsorted(posted, fragment, side="right")
+                width = last - first
+                if width.sum():
+                    ends = np.cumsum(width)
+                    overlap += np.bincount(owner[np.arange(ends[-1]) + np.repeat(first - (ends - width), width)], minlength=len(right))
+                rest -= len(fragment)
+                unlike &= overlap + rest >= needed
+                if not unlike.any():
+                    break
+            for j in np.flatnonzero(unlike & (overlap * 100 >= (size + n_right - overlap) * PERCENT)).tolist():
+                x, y = find(int(comp[i])), find(int(comp_right[j]))
+                if x != y:
+                    parent[max(x, y)] = min(x, y)
+                    out.append((int(nid[i]), int(nid[right[j]])))
+        return out
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+
+        def close() -> pa.RecordBatch:
+            c = list(zip(*held, strict=True))
+            found = solve(now[1] == now[2], now[1], np.array(c[0]), np.array(c[1], np.int64), np.array(c[2]), np.array(c[3], np.int64), list(c[4]))
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            names = ("cluster", "lo", "hi", "block", "nid", "n", "comp")
+            lists = batch["keys"]
+            values, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
+            for k, (cluster, lo, hi, *rest) in enumerate(zip(*(batch[c].to_pylist() for c in names), strict=True)):
+                if (cluster, lo, hi) != now:
+                    if held:
+                        yield close()
+                        held = []
+                    now = (cluster, lo, hi)
+                held.append((*rest, values[ends[k] : ends[k + 1]]))
+        if held:
+            yield close()
+
+    return arrow_map(dealt, run, "a long, b long")
+
+
 def link_components(live: DataFrame) -> DataFrame:
     """node, root over the sets of ``live`` (one row of each class)."""
     segs = segments(live)
@@ -303,18 +406,10 @@ def link_components(live: DataFrame) -> DataFrame:
             met = mixed.join(ends, ["key", "class"]).where(F.col("comp") != F.col("comp_b"))
             counted = met.groupBy(F.col("nid").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("lists"))
             pairs = counted.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("best")).select("a", "na", F.col("best.b").alias("b"), F.col("best.nb").alias("nb"))
+            links = spool(links_of(spool(pairs, "pairs"), segs), "links")
         else:
-            # all pairs of different components that may still be links
-            x = named.select("key", F.col("nid").alias("a"), F.col("n").alias("na"), F.col("pos").alias("pa"), F.col("comp").alias("ca"))
-            y = named.select("key", F.col("nid").alias("b"), F.col("n").alias("nb"), F.col("pos").alias("pb"), F.col("comp").alias("cb"))
-            needed = F.ceil((F.col("na") + F.col("nb")) * F.lit(PERCENT) / F.lit(100 + PERCENT) - F.lit(1e-9))
-            met = x.join(y, "key").where(
-                (F.col("ca") != F.col("cb")) & (F.col("a") < F.col("b"))
-                & (F.col("na") * 100 >= F.col("nb") * PERCENT) & (F.col("nb") * 100 >= F.col("na") * PERCENT)
-                & (F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= needed)
-            )
-            pairs = met.select("a", "na", "b", "nb").distinct()
-        links = spool(links_of(spool(pairs, "pairs"), segs), "links")
+            # all that is left: sets of different components that share a posting list, in blocks
+            links = spool(block_links(clusters(named), live, labels), "links")
         edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
         labels = components(edges)
     if labels is None:
