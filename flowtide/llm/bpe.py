@@ -27,7 +27,7 @@ from .common import arrow_map, ids_and_text, table, utf8
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pieces that a task keeps, and the longest piece (code points) that it keeps.
-CACHE_PIECES, CACHE_CHARS = 400_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
 NONE = -1
 
 
