@@ -21,10 +21,10 @@ import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ids_and_text, table, utf8
+from .common import arrow_map, ids_and_text, release_memory, table, utf8
 
 #: Bounds of the training sample: documents of each language (expected, by hash), languages, and rows in all.
-PER_LANGUAGE, LANGUAGES, MOST_ROWS = 500, 32, 4000
+PER_LANGUAGE, LANGUAGES, MOST_ROWS = 400, 32, 4000
 DIMENSIONS = 1 << 12
 EPOCHS, COST = 12, 4.0
 UNKNOWN = "und"
@@ -61,7 +61,7 @@ def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
     counts = {s: max(1, int((y == s).sum())) for s in (-1, 1)}
     cost = np.where(y > 0, COST * len(y) / (2 * counts[1]), COST * len(y) / (2 * counts[-1]))
     w, alpha = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
-    q = (x.astype(np.float64) ** 2).sum(axis=1) + 0.5 / cost
+    q = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 0.5 / cost
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
         for i in rng.permutation(len(x)):
@@ -154,8 +154,15 @@ def fit(docs: DataFrame) -> Model | None:
     sample = training_sample(docs).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     if not sample.num_rows:
         return None
-    x = np.frombuffer(b"".join(sample["x"].to_pylist()), np.float32).reshape(-1, DIMENSIONS)
-    return Model.fit(x, sample["lang"].to_pylist())
+    x = np.empty((sample.num_rows, DIMENSIONS), np.float32)
+    for i, row in enumerate(sample["x"]):
+        x[i] = np.frombuffer(row.as_buffer(), np.float32)
+    langs = sample["lang"].to_pylist()
+    del sample
+    model = Model.fit(x, langs)
+    del x
+    release_memory()  # the driver keeps nothing of the sample
+    return model
 
 
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
