@@ -14,6 +14,8 @@ from ..shipping import ship
 
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: Rows of an Arrow batch where the session has Spark's default of 10 000: whole texts can be long, and JVM and Python each hold batches.
+BATCH_ROWS = 1000
 #: Used only where the session names no shared folder, as in tests.
 FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/flowtide"
 
@@ -52,6 +54,9 @@ def redealt(df: DataFrame) -> DataFrame:
 def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """``mapInArrow`` over whole rows; ``fn`` sees the batches of one task and must keep bounded state only."""
     ship(df.sparkSession)
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if df.sparkSession.conf.get(setting) == "10000":
+        df.sparkSession.conf.set(setting, str(BATCH_ROWS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:
