@@ -26,8 +26,8 @@ from .common import arrow_map, ids_and_text, table, utf8
 
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
-#: Distinct pieces that a task keeps, and the longest piece (code points) that it keeps.
-CACHE_PIECES, CACHE_CHARS = 200_000, 48
+#: Distinct pieces in each of the cache's two generations, and the longest piece (code points) that is kept.
+CACHE_PIECES, CACHE_CHARS = 150_000, 48
 NONE = -1
 
 
@@ -78,6 +78,8 @@ class ByteBPE:
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         self.store = np.frombuffer(b"".join(by_id), np.uint8)
         self.known: dict[str, tuple[bytes, str]] = {}
+        self.older: dict[str, tuple[bytes, str]] = {}
+        self.most_known = CACHE_PIECES
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens a, b can stand side by side: no merge across their border comes before the merges that made them."""
@@ -135,11 +137,13 @@ class ByteBPE:
 
     def piece(self, piece: str) -> tuple[bytes, str]:
         """Ids of a piece as packed 32-bit numbers and as decimal text."""
-        ids = [self.public[t] for t in self.encode_piece(piece.encode())]
-        made = np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids))
+        made = self.older.get(piece)
+        if made is None:
+            ids = [self.public[t] for t in self.encode_piece(piece.encode())]
+            made = np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids))
         if len(piece) <= CACHE_CHARS:
-            if len(self.known) >= CACHE_PIECES:
-                self.known.clear()
+            if len(self.known) >= self.most_known:  # what was used lately moves on to the next generation
+                self.older, self.known = self.known, {}
             self.known[piece] = made
         return made
 
@@ -147,13 +151,14 @@ class ByteBPE:
         """Ids of a text, packed and as decimal text. Contents of added tokens get their own ids."""
         packed: list[bytes] = []
         decimal: list[str] = []
-        known, piece = self.known.get, self.piece
+        piece = self.piece
         for k, part in enumerate(self._added.split(text) if self._added else [text]):
             if k % 2:
                 i = self.added[part]
                 packed.append(np.array([i], np.uint32).tobytes())
                 decimal.append(str(i))
                 continue
+            known = self.known.get  # a full generation that is put away meanwhile still answers
             made = [known(p) or piece(p) for p in self._pattern.findall(part)]
             packed.extend([m[0] for m in made])
             decimal.extend([m[1] for m in made])
@@ -211,12 +216,13 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
 
 
-def encode_and_decode(docs: DataFrame, path: str | None = None) -> DataFrame:
-    """Encode each whole text, decode the ids, and digest both."""
+def encode_and_decode(docs: DataFrame, path: str | None = None, cache_pieces: int = CACHE_PIECES) -> DataFrame:
+    """Encode each whole text, decode the ids, and digest both. cache_pieces trades a worker's memory for time."""
     path = path or default_path()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
+        bpe.most_known = cache_pieces
         for batch in batches:
             for cut in range(0, batch.num_rows, 500):
                 part = batch.slice(cut, 500)
