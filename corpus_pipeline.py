@@ -14,6 +14,8 @@ from flowtide.llm.common import spool, table
 
 #: Documents whose language is less certain than this are rejected, as are those without a letter.
 LEAST_LANGUAGE_SCORE = 0.3
+#: Pieces in each generation of the encoder's cache: less memory than its default, since five stages share the workers.
+CACHE_PIECES = 100_000
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -38,7 +40,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the mixture's documents."""
-    return bpe.encode_and_decode(docs)
+    return bpe.encode_and_decode(docs, cache_pieces=CACHE_PIECES)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
