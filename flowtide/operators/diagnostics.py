@@ -9,6 +9,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..sources.spool import spooled
+from .ordering import discrete_quantile, numbered, quantiles, top, with_rank
 
 CURVE = (0.9, 0.95, 0.975, 0.99, 0.995, 0.999, 0.9995)
 FLOOR = 1e-4
@@ -17,8 +19,9 @@ FLOOR = 1e-4
 def score_distribution(scores: DataFrame, models: Sequence[str]) -> DataFrame:
     """Per period and model: n, min, continuous quantiles and max."""
     cells = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.col(f"{m}_raw").alias("s")) for m in models]))
-    q = F.percentile("c.s", F.array(*[F.lit(x) for x in (0.5, 0.9, 0.99, 0.999)]))
-    out = scores.select("period", cells.alias("c")).groupBy("period", "c.model").agg(F.count("c.s").alias("n"), F.min("c.s").alias("min"), q.alias("q"), F.max("c.s").alias("max"))
+    rows = spooled(scores.select("period", cells.alias("c")).select("period", "c.model", "c.s"), "distribution")
+    out = rows.groupBy("period", "model").agg(F.count("s").alias("n"), F.min("s").alias("min"), F.max("s").alias("max"))
+    out = out.join(quantiles(rows, ["period", "model"], "s", (0.5, 0.9, 0.99, 0.999)), ["period", "model"], "left")
     return out.select("period", "model", "n", "min", *[F.col("q")[i].alias(name) for i, name in enumerate(("q50", "q90", "q99", "q999"))], "max")
 
 
@@ -39,8 +42,19 @@ def cutoff_curve(scores: DataFrame, model: str, thresholds: dict[float, float])
 
 def top_per_day(scores: DataFrame, model: str, k: int) -> DataFrame:
     """The k highest scores of each day."""
-    order = W.partitionBy("flow_date").orderBy(F.desc(f"{model}_raw"), "src_ip", "window_start")
-    return scores.withColumn("day_rank", F.row_number().over(order)).where(F.col("day_rank") <= k)
+    return top(scores, ["flow_date"], _best(model), k, "day_rank")
+
+
+def _best(model: str) -> tuple[Column, ...]:
+    return F.desc(f"{model}_raw"), F.col("src_ip"), F.col("window_start")
+
+
+def _shared_tops(scores: DataFrame, a: str, b: str, keys: Sequence[str], n: int) -> DataFrame:
+    """How many of the n highest of each group the models share (both), of the first one's (first) and of either's (either)."""
+    names = [*keys, "src_ip", "window_start"]
+    tops = [top(scores.select(*names, f"{m}_raw"), keys, _best(m), n, "r").select(*names, F.lit(m == a).alias("is_a")) for m in (a, b)]
+    hits = tops[0].unionByName(tops[1]).groupBy(*names).agg(F.count("*").alias("c"), F.bool_or("is_a").alias("in_a"))
+    return hits.groupBy(*keys).agg(F.count_if(F.col("c") == 2).alias("both"), F.count_if("in_a").alias("first"), F.count("*").alias("either"))
 
 
 def concentration(scores: DataFrame, model: str, k: int, top_hosts: int = 5) -> DataFrame:
@@ -57,8 +71,8 @@ def annotation_overlap(scores: DataFrame, model: str, category: Column, review:
     """Shares of categories among all windows, review windows and the daily top-k, by period, and their ratios to the base."""
     rows = scores.withColumn("cat", category)
     base = rows.groupBy("period", "cat").agg(F.count("*").alias("base"), F.count_if(F.col(f"{model}_band").isin(*review)).alias("review"))
-    top = top_per_day(rows, model, k).groupBy("period", "cat").agg(F.count("*").alias("top"))
-    both = base.join(top, ["period", "cat"], "left").withColumn("top", F.coalesce("top", F.lit(0).cast("long")))
+    tops = top_per_day(rows, model, k).groupBy("period", "cat").agg(F.count("*").alias("top"))
+    both = base.join(tops, ["period", "cat"], "left").withColumn("top", F.coalesce("top", F.lit(0).cast("long")))
     w = W.partitionBy("period")
     share = lambda c: F.try_divide(F.col(c), F.sum(c).over(w))
     both = both.withColumns({f"{c}_share": share(c) for c in ("base", "review", "top")})
@@ -67,56 +81,48 @@ def annotation_overlap(scores: DataFrame, model: str, category: Column, review:
 
 def model_agreement(scores: DataFrame, a: str, b: str, top_n: int, k: int, review: Sequence[str]) -> DataFrame:
     """Per period: Spearman, Jaccard of the top n, mean overlap of daily top-k, and review counts."""
-    p, d = W.partitionBy("period"), W.partitionBy("period", "flow_date")
-    by = lambda m: (F.desc(f"{m}_raw"), "src_ip", "window_start")
-    rows = scores.withColumns({
-        "ra": F.rank().over(p.orderBy(f"{a}_raw")), "rb": F.rank().over(p.orderBy(f"{b}_raw")), "na": F.row_number().over(p.orderBy(*by(a))), "nb": F.row_number().over(p.orderBy(*by(b))),
-        "da": F.row_number().over(d.orderBy(*by(a))), "db": F.row_number().over(d.orderBy(*by(b))),
-    })
-    ina, inb = F.col("na") <= top_n, F.col("nb") <= top_n
+    rows = spooled(scores.select("period", "flow_date", "src_ip", "window_start", *[f"{m}_{c}" for m in (a, b) for c in ("raw", "band")]), "agreement")
+    daily = _shared_tops(rows, a, b, ["period", "flow_date"], k).groupBy("period").agg(F.avg(F.try_divide("both", "first")).alias("daily_overlap"))
+    best = _shared_tops(rows, a, b, ["period"], top_n).select("period", F.try_divide("both", "either").alias("top_jaccard"))
     va, vb = F.col(f"{a}_band").isin(*review), F.col(f"{b}_band").isin(*review)
-    daily = rows.groupBy("period", "flow_date").agg(F.try_divide(F.count_if((F.col("da") <= k) & (F.col("db") <= k)), F.count_if(F.col("da") <= k)).alias("o"))
-    daily = daily.groupBy("period").agg(F.avg("o").alias("daily_overlap"))
-    main = rows.groupBy("period").agg(
-        F.corr(F.col("ra").cast("double"), F.col("rb").cast("double")).alias("spearman"), F.try_divide(F.count_if(ina & inb), F.count_if(ina | inb)).alias("top_jaccard"),
-        F.count_if(va & vb).alias("both_review"), F.count_if(va & ~vb).alias("only_a"), F.count_if(vb & ~va).alias("only_b"),
-    )
-    return main.join(daily, "period", "left")
+    ranked = with_rank(with_rank(rows, ["period"], f"{a}_raw", "ra"), ["period"], f"{b}_raw", "rb")
+    main = ranked.groupBy("period").agg(
+        F.corr(F.col("ra").cast("double"), F.col("rb").cast("double")).alias("spearman"), F.count_if(va & vb).alias("both_review"), F.count_if(va & ~vb).alias("only_a"), F.count_if(vb & ~va).alias("only_b")
+    )
+    return main.join(best, "period", "left").join(daily, "period", "left")
 
 
 def disagreements(scores: DataFrame, a: str, b: str, period: str, n: int) -> DataFrame:
-    """Rows in one model's top n but not the other's, by best rank, 2 n at most.
-
-    Only rows that reach either top are ranked against all others, by counting; no global sort of the period.
-    """
-    rows = scores.where(F.col("period") == period)
-    by = lambda m: W.orderBy(F.desc(f"{m}_raw"), "src_ip", "window_start")
-    ranked = rows.select("src_ip", "window_start", f"{a}_raw", f"{b}_raw", F.row_number().over(by(a)).alias("rank_a"), F.row_number().over(by(b)).alias("rank_b"))
+    """Rows in one model's top n but not the other's, by best rank, 2 n at most."""
+    rows = scores.where(F.col("period") == period).select("src_ip", "window_start", f"{a}_raw", f"{b}_raw")
+    ranked = numbered(numbered(rows, _best(a), "rank_a"), _best(b), "rank_b")
     odd = ranked.where((F.col("rank_a") <= n) != (F.col("rank_b") <= n))
-    return odd.orderBy(F.least("rank_a", "rank_b"), "src_ip", "window_start").limit(2 * n)
+    ints = [F.col(c).cast("int").alias(c) for c in ("rank_a", "rank_b")]
+    return odd.orderBy(F.least("rank_a", "rank_b"), "src_ip", "window_start").limit(2 * n).select("src_ip", "window_start", f"{a}_raw", f"{b}_raw", *ints)
 
 
 def rank_agreement(x: DataFrame, xc: str, y: DataFrame, yc: str, top_n: int) -> DataFrame:
     """Spearman and top-n Jaccard of two score tables on the same windows."""
-    both = x.select("src_ip", "window_start", F.col(xc).alias("x")).join(y.select("src_ip", "window_start", F.col(yc).alias("y")), ["src_ip", "window_start"])
-    o = lambda c: W.orderBy(F.desc(c), "src_ip", "window_start")
-    r = both.select(F.rank().over(W.orderBy("x")).alias("rx"), F.rank().over(W.orderBy("y")).alias("ry"), F.row_number().over(o("x")).alias("nx"), F.row_number().over(o("y")).alias("ny"))
-    inx, iny = F.col("nx") <= top_n, F.col("ny") <= top_n
-    return r.agg(F.count("*").alias("n"), F.corr(F.col("rx").cast("double"), F.col("ry").cast("double")).alias("spearman"), F.try_divide(F.count_if(inx & iny), F.count_if(inx | iny)).alias("top_jaccard"))
+    both = x.select("src_ip", "window_start", F.col(xc).alias("x_raw")).join(y.select("src_ip", "window_start", F.col(yc).alias("y_raw")), ["src_ip", "window_start"])
+    rows = spooled(both.withColumn("g", F.lit(0)), "agreement")
+    tops = _shared_tops(rows, "x", "y", ["g"], top_n).select(F.try_divide("both", "either").alias("top_jaccard"))
+    ranked = with_rank(with_rank(rows, ["g"], "x_raw", "rx"), ["g"], "y_raw", "ry")
+    main = ranked.agg(F.count("*").alias("n"), F.corr(F.col("rx").cast("double"), F.col("ry").cast("double")).alias("spearman"))
+    return main.join(tops, how="left")  # one row each
 
 
 def top_categories(scores: DataFrame, raw: str, n: int, category: Column) -> DataFrame:
     """Shares of annotation categories among the n highest scores."""
-    top = scores.withColumn("cat", category).orderBy(F.desc(raw), "src_ip", "window_start").limit(n)
-    return top.groupBy("cat").agg(F.count("*").alias("windows")).withColumn("share", F.col("windows") / F.sum("windows").over(W.partitionBy()))
+    best = scores.withColumn("cat", category).orderBy(F.desc(raw), "src_ip", "window_start").limit(n)
+    return best.groupBy("cat").agg(F.count("*").alias("windows")).withColumn("share", F.col("windows") / F.sum("windows").over(W.partitionBy()))
 
 
 def training_concentration(scores: DataFrame, raw: str, quantile: float, limit: int) -> DataFrame:
     """Hosts in the top share of training scores."""
-    train = scores.where(F.col("period") == "train")
-    cut = train.agg(F.expr(f"percentile_disc({quantile}) within group (order by {raw})").alias("cut"))
-    top = train.crossJoin(F.broadcast(cut)).where(F.col(raw) >= F.col("cut"))  # one row
-    per = top.groupBy("src_ip").agg(F.count("*").alias("windows"))
+    train = spooled(scores.where(F.col("period") == "train").select("src_ip", raw), "training")
+    cut = discrete_quantile(train, raw, quantile)
+    reach = train.crossJoin(F.broadcast(cut)).where(F.col(raw) >= F.col("cut"))  # one row
+    per = reach.groupBy("src_ip").agg(F.count("*").alias("windows"))
     return per.withColumn("share", F.col("windows") / F.sum("windows").over(W.partitionBy())).orderBy(F.desc("windows"), "src_ip").limit(limit)
 
 

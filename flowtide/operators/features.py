@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import duration, finite, heavy_tailed, is_private
+from .ordering import quantiles
 
 KEYS = ["src_ip", "window_start"]
 TRACE = ["src_ip", "window_start", "window_end", "flow_date", "first_flow_start", "last_flow_start"]
@@ -122,8 +123,11 @@ def training_stats(table: DataFrame, names: Sequence[str], train: Column) -> Dat
     aggs = []
     for n in names:
         raw, t = F.when(train, finite(F.col(n).cast("double"))), F.when(train, transformed(n))
-        aggs += [F.min(raw).alias(f"min_{n}"), F.max(raw).alias(f"max_{n}"), F.percentile(t, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias(f"q_{n}"), F.stddev_pop(t).alias(f"std_{n}")]
-    row = table.agg(*aggs)
+        aggs += [F.min(raw).alias(f"min_{n}"), F.max(raw).alias(f"max_{n}"), F.stddev_pop(t).alias(f"std_{n}")]
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), transformed(n).alias("t")) for n in names]))
+    q = quantiles(table.where(train).select(cells.alias("c")).select("c.*"), ["feature"], "t", (0.25, 0.5, 0.75))
+    q = q.agg(*[F.max(F.when(F.col("feature") == n, F.col("q"))).alias(f"q_{n}") for n in names])
+    row = table.agg(*aggs).crossJoin(F.broadcast(q))  # one row each
     cols = []
     for n in names:
         q = F.col(f"q_{n}")

@@ -13,6 +13,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
+from ..sources.spool import spooled
+from .ordering import numbered, ordered_counts
 from .features import beyond_range, top_deviations, with_stats
 
 BANDS = {"Critical": 0.999, "High": 0.995, "Medium": 0.99, "Low": 0.975}
@@ -51,21 +53,30 @@ def band_quantiles(bands: dict[str, float] | None = None, budgets: dict[str, flo
 def reference_scores(scores: DataFrame, raw: str, where: Column, most: int = MOST_REFERENCE) -> DataFrame:
     """The finite scores of the reference period; a sample by hash if there are more than ``most``."""
     rows = scores.where(where).select(finite(F.col(raw)).alias("s"), "src_ip", "window_start").where("s is not null")
-    n = rows.count()
-    if n <= most:
+    if rows.count() <= most:
         return rows.select("s")
-    return rows.orderBy(F.xxhash64("src_ip", "window_start"), "src_ip", "window_start").limit(most).select("s")
+    order = (F.xxhash64("src_ip", "window_start"), F.col("src_ip"), F.col("window_start"))
+    return numbered(rows, order, "__place").where(F.col("__place") <= most).select("s")
 
 
 def calibrate(reference: DataFrame, model: str, quantiles: dict[str, float]) -> Cutoffs:
     """Observed scores at place ceil(q (n - 1)), and the percentile grid at places floor(q (n - 1)); needs 10 scores."""
-    counted = reference.groupBy("s").count().orderBy("s").toPandas()  # at most MOST_REFERENCE distinct doubles
-    values, upto = counted["s"].to_numpy(), counted["count"].cumsum().to_numpy()
-    n = int(upto[-1]) if len(upto) else 0
+    counted = spooled(ordered_counts(reference.select(F.lit(0).alias("g"), "s"), ["g"], "s"), "reference")
+    first = counted.agg(F.max("total")).first()[0]
+    n = first or 0
     if n < 10:
         raise BandError(f"{model}: {n} reference scores; 10 are needed")
+    cuts = {b: math.ceil(round(q * (n - 1), 9)) for b, q in quantiles.items()}
+    wanted = np.unique([*cuts.values(), *(m * (n - 1) // 100_000 for m in GRID)])
+
+    @F.pandas_udf("boolean")
+    def holds(before: pd.Series, times: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(wanted, before.to_numpy()) < np.searchsorted(wanted, (before + times).to_numpy()))
+
+    found = counted.where(holds("before", "times")).orderBy("before").select("s", (F.col("before") + F.col("times")).alias("upto")).collect()  # at most a row for each wanted place
+    values, upto = np.array([r["s"] for r in found]), np.array([r["upto"] for r in found])
     pick = lambda i: float(values[np.searchsorted(upto, i, side="right")])
-    thresholds = {b: pick(math.ceil(round(q * (n - 1), 9))) for b, q in quantiles.items()}
+    thresholds = {b: pick(i) for b, i in cuts.items()}
     places = np.searchsorted(upto, np.array([m * (n - 1) // 100_000 for m in GRID]), side="right")
     kept = np.unique(places)
     return Cutoffs(model, n, thresholds, values[kept].tolist(), (upto[kept] / n).tolist())
@@ -128,7 +139,7 @@ def best_band(models: Sequence[str], order: Sequence[str]) -> Column:
 def ranked_alerts(scores: DataFrame, models: Sequence[str], order: Sequence[str] = tuple(BANDS), review: Sequence[str] = REVIEW) -> DataFrame:
     """The review rows: review_band, models_in_review, max_pct and alert_rank (max percentile, then their sum, host, window).
 
-    The global rank runs over review rows only, a small share of all by the bands' definition.
+    The rank comes from a sort by range, so no task gathers all review rows.
     """
     rows = scores.where(in_review(models, review))
     total = sum((F.col(f"{m}_pct") for m in models), F.lit(0.0))
@@ -138,8 +149,8 @@ def ranked_alerts(scores: DataFrame, models: Sequence[str], order: Sequence[str]
         "max_pct": F.greatest(*[F.col(f"{m}_pct") for m in models]) if len(models) > 1 else F.col(f"{models[0]}_pct"),
         "__sum": total,
     })
-    by = W.orderBy(F.desc("max_pct"), F.desc("__sum"), "src_ip", "window_start")
-    return rows.withColumn("alert_rank", F.row_number().over(by)).drop("__sum")
+    ranked = numbered(rows, (F.desc("max_pct"), F.desc("__sum"), F.col("src_ip"), F.col("window_start")), "alert_rank")
+    return ranked.withColumn("alert_rank", F.col("alert_rank").cast("int")).drop("__sum")
 
 
 def alert_context(alerts: DataFrame, stats: DataFrame, hosts: DataFrame, names: Sequence[str]) -> DataFrame:

@@ -18,8 +18,10 @@ from ..operators import models as M
 from ..operators import pairs as P
 from ..operators import periods as PE
 from ..operators import ranking as R
+from ..operators.ordering import discrete_quantile
 from ..sources.files import check_outside
 from ..sources.flows import Source, open_source
+from ..sources.spool import spooled
 from .config import Config, load_annotations
 from .report import write_report
 
@@ -205,8 +207,8 @@ def robustness(ctx: Context, fitted: list[M.FittedModel]) -> list[dict]:
     out, period = [], ctx.where("validation")
     for f in fitted:
         raw = f"{f.spec.model_id}_raw"
-        base = M.score_table(ctx.table.where(ctx.development()), [f])
-        cut = base.where(ctx.train()).agg(F.expr(f"percentile_disc(0.99) within group (order by {raw})").alias("c")).first()["c"]
+        base = spooled(M.score_table(ctx.table.where(ctx.development()), [f]), "robustness")
+        cut = discrete_quantile(base.where(ctx.train()), raw, 0.99).first()["cut"]
         kept = base.where(ctx.train() & (F.col(raw) < F.lit(cut))).select("src_ip", "window_start")
         variants = [(f"seed {s}", ctx, M.ModelSpec(f.spec.kind, f.spec.label, f.spec.scaler, f.spec.settings, s), ctx.train()) for s in ctx.cfg.robustness_seeds]
         if ctx.notes:

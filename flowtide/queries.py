@@ -20,7 +20,9 @@ from .operators import models as M
 from .operators import pairs as P
 from .operators import periods as PE
 from .operators import ranking as R
+from .operators.ordering import discrete_quantile
 from .sources.driver_tables import event_flows, lineitem_flows
+from .sources.spool import spooled
 
 PERIODS = [PE.Period("train", date(2024, 1, 1), date(2024, 1, 16)), PE.Period("validation", date(2024, 1, 16), date(2024, 1, 23)), PE.Period("test", date(2024, 1, 23), date(2024, 1, 31))]
 NOTES = [PE.Annotation("maintenance", datetime(2024, 1, 10), datetime(2024, 1, 11)), PE.Annotation("incident", datetime(2024, 1, 18, 6), datetime(2024, 1, 18, 9))]
@@ -67,12 +69,13 @@ def hosts(spark: SparkSession, d: str, minutes: int = MINUTES) -> DataFrame:
 
 
 def scored(spark: SparkSession, d: str) -> DataFrame:
-    """Features, period, and the stand-in scores a_raw and b_raw."""
-    t = hosts(spark, d)
+    """Features, period, and the stand-in scores a_raw and b_raw; written out once, since ranking reads them several times."""
+    t = spooled(hosts(spark, d), "features")
     t = FT.with_stats(t, FT.training_stats(t, SCORED, is_train())).withColumn("period", label(F.col("window_start")))
     z = [F.abs(FT.robust_z(n)) for n in SCORED]
     mean = sum((F.coalesce(x, F.lit(0.0)) for x in z), F.lit(0.0)) / len(SCORED)
-    return t.withColumn("a_raw", F.round(F.greatest(*z), 6)).withColumn("b_raw", F.round(mean, 6)).drop(*[f"{p}_{n}" for n in SCORED for p in ("min", "max", "med", "scale")])
+    t = t.withColumn("a_raw", F.round(F.greatest(*z), 6)).withColumn("b_raw", F.round(mean, 6)).drop(*[f"{p}_{n}" for n in SCORED for p in ("min", "max", "med", "scale")])
+    return spooled(t, "scored")
 
 
 def cutoffs(s: DataFrame) -> dict[str, R.Cutoffs]:
@@ -510,8 +513,8 @@ def features_with_pair_summary(spark: SparkSession, d: str) -> DataFrame:
 @query("trimmed_training_rows", f"{_SC}, cut AS (SELECT quantile_disc(a_raw, 0.99) AS c FROM scored WHERE period = 'train') SELECT src_ip, window_start, flows FROM hw WHERE (src_ip, window_start) IN (SELECT (src_ip, window_start) FROM scored, cut WHERE period = 'train' AND a_raw < c)")
 def trimmed_training_rows(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d).where(F.col("period") == "train")
-    cut = s.agg(F.expr("percentile_disc(0.99) within group (order by a_raw)").alias("c"))
-    kept = s.crossJoin(F.broadcast(cut)).where(F.col("a_raw") < F.col("c")).select("src_ip", "window_start")
+    cut = discrete_quantile(s, "a_raw", 0.99)
+    kept = s.crossJoin(F.broadcast(cut)).where(F.col("a_raw") < F.col("cut")).select("src_ip", "window_start")
     return hosts(spark, d).join(kept, ["src_ip", "window_start"], "left_semi").select("src_ip", "window_start", "flows")
 
 
