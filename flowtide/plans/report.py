@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import html
+from collections.abc import Sequence
+from datetime import timedelta
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import chart_data as C
+from ..operators import diagnostics as D
+from ..operators import ranking as R
+from ..operators.features import BY_NAME, PAIR_FEATURES
+from ..operators.ordering import quantiles
+from . import charts
+
 NOTES = [
     "Scores and percentiles order windows; they are no probabilities.",
     "A window below all thresholds isn't thereby safe.",
@@ -21,14 +30,6 @@ def table(headers: list[str], rows: list[tuple]) -> str:
     return "\n".join(["| " + " | ".join(headers) + " |", "|" + "---|" * len(headers), *("| " + " | ".join(map(cell, r)) + " |" for r in rows)])
 
 
-def bars(values: list[tuple[str, float]], title: str, width: int = 720, height: int = 140) -> str:
-    """An SVG bar chart."""
-    top = max([v for _, v in values] + [1e-9])
-    step = width / max(1, len(values))
-    rects = "".join(f'<rect x="{i * step:.1f}" y="{height - v / top * height:.1f}" width="{max(1, step - 1):.1f}" height="{v / top * height:.1f}"><title>{html.escape(n)}: {v:g}</title></rect>' for i, (n, v) in enumerate(values))
-    return f'<figure><figcaption>{html.escape(title)}</figcaption><svg viewBox="0 0 {width} {height}" width="{width}" height="{height}" fill="#4a6fa5">{rects}</svg></figure>'
-
-
 def to_html(markdown: str, title: str) -> str:
     """Headings, tables, lists and raw figures of our own Markdown."""
     out, in_table = [], False
@@ -59,14 +60,49 @@ def _rows(df: DataFrame, *cols: str) -> list[tuple]:
     return [tuple(r) for r in df.select(*cols).collect()]
 
 
-def write_report(spark: SparkSession, out: Path, manifest: dict, thresholds: dict[str, dict[str, float]], top: int = 20) -> None:
+def chart_section(scores: DataFrame, cutoffs: dict[str, R.Cutoffs], review: Sequence[str], pairs: str | None = None, zooms: int = 3) -> list[str]:
+    """Charts over the written scores: review and bands over time, zooms, cutoff curve, distributions, heat map, hexbin, drift, pair trends."""
+    models = list(cutoffs)
+    days = scores.agg(F.countDistinct("flow_date")).first()[0]
+    at, hit = C.bucket(days), R.in_review(models, review)
+    number = lambda rows: {b: float(i) for i, b in enumerate(sorted({r[0] for r in rows}))}
+    over = C.review_by_bucket(scores, hit, at).orderBy("bucket").collect()
+    out = [charts.bars([(r["bucket"], float(r["windows"])) for r in over], "windows over time"), charts.bars([(r["bucket"], float(r["review"])) for r in over], "review windows over time")]
+    for m, c in cutoffs.items():
+        out.append(charts.stacked([(r["bucket"], r["band"], float(r["windows"])) for r in C.bands_by_bucket(scores, m, at).where(F.col("band") != R.BELOW).orderBy("bucket", "band").collect()], f"{m}: bands over time"))
+        levels = {q: next(g for g, share in zip(c.grid, c.shares, strict=True) if share >= q) for q in D.CURVE}
+        out.append(charts.lines([(r["period"], r["quantile"], float(r["per_day"])) for r in D.cutoff_curve(scores, m, levels).collect()], f"{m}: windows a day at or above each reference quantile"))
+        lo, hi = scores.agg(F.min(f"{m}_raw"), F.max(f"{m}_raw")).first()
+        if lo is not None:
+            out.append(charts.lines([(r["period"], float(r["bin"]), float(r["windows"])) for r in D.score_histogram(scores, f"{m}_raw", lo, hi).collect()], f"{m}: scores from {lo:.4g} to {hi:.4g}"))
+        for centre in C.zoom_centres(scores, m, zooms, timedelta(days=1)):
+            out.append(charts.bars([(r["bucket"], float(r["review"])) for r in C.zoom(scores, hit, centre, timedelta(hours=12)).orderBy("bucket").collect()], f"{m}: review windows around {centre}"))
+    out.append(charts.heatmap([(r[0], r[1], r[2]) for r in C.host_heatmap(scores, models, hit, at, 30).orderBy("src_ip", "bucket").collect()], "highest percentile by host"))
+    for a, b in zip(models, models[1:], strict=False):
+        out.append(charts.hexagons([tuple(map(float, r)) for r in C.hexbin(scores, a, b, cutoffs[a].n).orderBy("x", "y").collect()], f"rarity of {a} and {b}"))
+    names = [n for n in scores.columns if n in BY_NAME or n in PAIR_FEATURES]
+    train = F.col("period") == "train"
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names]))
+    edges = {r["feature"]: sorted(set(r["q"])) for r in quantiles(scores.where(train).select(cells.alias("c")).select("c.*"), ["feature"], "v", [i / 10 for i in range(1, 10)]).collect()}
+    if edges:
+        rows = D.feature_drift(scores, edges, train, at).collect()
+        place = number([(r["bucket"],) for r in rows])
+        out.append(charts.lines([(r["feature"], place[r["bucket"]], r["psi"]) for r in rows], "stability index of features over time"))
+    if pairs:
+        signals = scores.sparkSession.read.parquet(f"{pairs}/pair_windows")
+        rows = signals.groupBy(at.alias("bucket"), "novelty_status").agg(F.count("*").alias("n")).orderBy("bucket", "novelty_status").collect()
+        out.append(charts.stacked([(r[0], r[1], float(r[2])) for r in rows], "pair windows by novelty"))
+    return out
+
+
+def write_report(spark: SparkSession, out: Path, manifest: dict, cutoffs: dict[str, R.Cutoffs], review: Sequence[str] = R.REVIEW, pairs: str | None = None, top: int = 20) -> None:
     """report.md and report.html of an experiment or a run."""
     daily = spark.read.parquet(str(out / "daily")).orderBy("flow_date")
     alerts, entities = (spark.read.parquet(str(out / n)) for n in ("alerts", "entities"))
     models = manifest["models"]
     parts = ["# Unusual flow activity", *(f"- {k}: {v}" for k, v in manifest.items() if not isinstance(v, list | dict)), "", "## Overview"]
-    parts += [bars([(str(d), float(w)) for d, w in _rows(daily, "flow_date", "windows")], "windows by day"), bars([(str(r[0]), float(sum(r[1:]))) for r in _rows(daily, "flow_date", *[f"{m}_critical" for m in models if f"{m}_critical" in daily.columns])], "critical windows by day")]
-    parts += ["## Cutoffs", table(["model", "band", "score"], [(m, b, v) for m, t in thresholds.items() for b, v in t.items()])]
+    parts += chart_section(spark.read.parquet(str(out / "scores")), cutoffs, review, pairs)
+    parts += ["## Cutoffs", table(["model", "band", "score"], [(m, b, v) for m, c in cutoffs.items() for b, v in c.thresholds.items()])]
     parts += ["## Days", table(daily.columns, _rows(daily.limit(400), *daily.columns))]
     cols = ["alert_rank", "src_ip", "window_start", "review_band", "max_pct", "top_deviations", "trace_flow_count"]
     parts += ["## Candidates", table(cols, _rows(alerts.where(F.col("alert_rank") <= top).orderBy("alert_rank"), *cols))]

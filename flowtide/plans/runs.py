@@ -63,6 +63,7 @@ class Context:
     notes: list[PE.Annotation]
     warnings: list[str]
     id: str
+    pairs: str | None = None
 
     def period(self, name: str) -> PE.Period | None:
         return next((p for p in self.periods if p.name == name), None)
@@ -111,6 +112,7 @@ def open_context(spark: SparkSession, cfg: Config, rebuild: bool = False, guard:
         out = Path(cfg.output) / "cache" / f"pairs-{digest(key, asdict(cfg.rel_params()), [asdict(p) for p in periods])}"
         if rebuild or not (out / "history").exists():
             P.analyze(source.flows, cfg.rel_params(), str(out), end=datetime.combine(test.start, time()) if test else None)
+        ctx.pairs = str(out)
         if cfg.rel_params().window_minutes == cfg.window_minutes:
             ctx.table = P.extend_features(table, spark.read.parquet(str(out / "host_windows")))
             ctx.features = names + [n for n in FT.PAIR_FEATURES if n not in cfg.exclude and (cfg.include is None or n in cfg.include)]
@@ -187,7 +189,7 @@ def finalize(spark: SparkSession, ctx: Context, fitted: list[M.FittedModel], out
     write_json(out / "diagnostics.json", diagnose(spark.read.parquet(str(out / "scores")), ids, cfg))
     manifest = {"experiment": ctx.id, "bundle": bundle.name, "features": ctx.features, "periods": [asdict(p) for p in ctx.periods], "models": ids, "warnings": ctx.warnings, "fingerprint": ctx.source.fingerprint, "reference": reference, **counts}
     write_json(out / "manifest.json", manifest)
-    write_report(spark, out, manifest, {m: c.thresholds for m, c in cutoffs.items()})
+    write_report(spark, out, manifest, cutoffs, cfg.bands.review, ctx.pairs)
     return bundle
 
 
@@ -340,7 +342,7 @@ def score(spark: SparkSession, cfg: Config, bundle: Bundle, inputs: Sequence[str
     if kind == "test":
         info["use"] = ledger(Path(cfg.output) / "ledger.json", period, source.fingerprint, meta["id"], run_id)
     write_json(out / "run.json", info)
-    write_report(spark, out, info, {m: c.thresholds for m, c in bundle.cutoffs.items()})
+    write_report(spark, out, info, bundle.cutoffs, cfg.bands.review, str(out / "pairs") if (out / "pairs" / "history").exists() else None)
     return out
 
 

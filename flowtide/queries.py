@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions.scalars import text_time
+from .operators import chart_data as C
 from .operators import diagnostics as D
 from .operators import features as FT
 from .operators import models as M
@@ -435,6 +436,37 @@ def feature_drift_psi(spark: SparkSession, d: str) -> DataFrame:
     return rounded(D.feature_drift(hosts(spark, d), _EDGES, is_train(), F.date_trunc("week", "flow_date").cast("date")))
 
 
+# ---------------------------------------------------------------- charts
+@query("bands_by_bucket", f"{_BD} SELECT flow_date AS bucket, a_band AS band, count(*) AS windows FROM banded GROUP BY ALL")
+def bands_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return C.bands_by_bucket(banded(spark, d), "a", C.bucket(30))
+
+
+@query("review_by_bucket", f"{_BD} SELECT CAST(date_trunc('week', flow_date) AS DATE) AS bucket, count(*) AS windows, count(*) FILTER (WHERE {_REVIEW}) AS review FROM banded GROUP BY 1")
+def review_by_bucket(spark: SparkSession, d: str) -> DataFrame:
+    return C.review_by_bucket(banded(spark, d), R.in_review(MODELS), C.bucket(C.MOST_DAYS + 1))
+
+
+@query("host_heatmap", f"""{_BD}, best AS (SELECT src_ip FROM banded GROUP BY src_ip ORDER BY count(*) FILTER (WHERE {_REVIEW}) DESC, src_ip LIMIT 30)
+  SELECT src_ip, flow_date AS bucket, round(max(greatest(a_pct, b_pct)), 9) AS max_pct FROM banded WHERE src_ip IN (SELECT src_ip FROM best) GROUP BY ALL""")
+def host_heatmap(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(C.host_heatmap(banded(spark, d), MODELS, R.in_review(MODELS), C.bucket(30), 30), 9)
+
+
+_RARE = lambda m: f"-log10(greatest(1 - {m}_pct, 1.0 / 1001))"
+
+
+@query("score_rarity", f"{_BD} SELECT src_ip, window_start, round({_RARE('a')}, 6) AS a_rarity, round({_RARE('b')}, 6) AS b_rarity FROM banded")
+def score_rarity(spark: SparkSession, d: str) -> DataFrame:
+    cols = [F.round(C.rarity(F.col(f"{m}_pct"), 1000), 6).alias(f"{m}_rarity") for m in MODELS]
+    return banded(spark, d).select("src_ip", "window_start", *cols)
+
+
+@query("rarity_hexbin")
+def rarity_hexbin(spark: SparkSession, d: str) -> DataFrame:
+    return C.hexbin(banded(spark, d), "a", "b", 1000)
+
+
 # ---------------------------------------------------------------- pairs
 def _pairs_sql(cols: str = "src_ip, dst_ip", minutes: int = 1440, src: str = "rows_") -> str:
     return f"pw AS (SELECT {cols}, time_bucket(INTERVAL {minutes} MINUTE, flow_start, TIMESTAMP '2000-01-01') AS window_start, count(*) AS flows, sum(bytes) AS bytes, sum(packets) AS packets FROM {src} WHERE dst_ip IS NOT NULL AND dst_ip <> '' GROUP BY ALL)"

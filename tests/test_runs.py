@@ -115,3 +115,10 @@ def test_streams(spark, project, tmp_path):
     q = windowed_flows(spark.readStream.schema(flows.schema).parquet(str(tmp_path / "in")), 60).writeStream.format("memory").queryName("wf").outputMode("complete").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("wf").agg(F.sum("flows")).first()[0] == spark.read.parquet(str(tmp_path / "in")).count()
+
+
+def test_report_has_all_charts(experiment):
+    page = (experiment / "report.html").read_text()
+    for title in ("windows over time", "bands over time", "reference quantile", "scores from", "highest percentile by host", "rarity of", "stability index", "review windows around", "pair windows by novelty"):
+        assert title in page, title
+    assert "<svg" not in (experiment / "report.md").read_text()
