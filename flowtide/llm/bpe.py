@@ -5,7 +5,7 @@ starts at each place; a token may follow another only if no merge that ranks bef
 table answers. Where no token fits, the last one is shortened to its longest prefix token, and places found dead are never
 entered again, so the work is linear in the text. Results equal those of applying all merges in order of rank.
 
-Pieces come from the pre-tokenizer's pattern; each distinct piece is encoded once a task and kept in a cache of bounded size.
+Pieces come from the pre-tokenizer's pattern. Encoded pieces and looked-up token pairs are kept in caches of bounded size.
 Decoding gathers bytes through an offset table with numpy. Null text is empty: no ids, and an empty decoded text.
 """
 
@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -27,7 +28,9 @@ from .common import arrow_map, ids_and_text, table, utf8
 #: The pattern of the byte-level pre-tokenizer (a fixed value of the format).
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 #: Distinct pieces in each of the cache's two generations, and the longest piece (code points) that is kept.
-CACHE_PIECES, CACHE_CHARS = 150_000, 48
+CACHE_PIECES, CACHE_CHARS = 200_000, 48
+#: Token pairs whose compatibility is kept at most.
+CACHE_PAIRS = 1 << 18
 NONE = -1
 
 
@@ -63,7 +66,7 @@ class ByteBPE:
         self._pattern = regex.compile(PATTERN)
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(self.tokens):
-            self.automaton.add_word(t.decode("latin-1"), i)
+            self.automaton.add_word(t.decode("latin-1"), (len(t) - 1, i))
         self.automaton.make_automaton()
         self.length = [len(t) for t in self.tokens]
         # the longest proper prefix of each token that is a token itself
@@ -77,9 +80,11 @@ class ByteBPE:
         self.sizes = np.array([len(t) for t in by_id], np.int64)
         self.offsets = np.concatenate([[0], np.cumsum(self.sizes)])
         self.store = np.frombuffer(b"".join(by_id), np.uint8)
-        self.known: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.decimals = [str(i) for i in range(table_size)]
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.most_known = CACHE_PIECES
+        self.fitting: dict[int, bool] = {}
 
     def compatible(self, a: int, b: int) -> bool:
         """Whether tokens a, b can stand side by side: no merge across their border comes before the merges that made them."""
@@ -104,69 +109,77 @@ class ByteBPE:
     def longest(self, piece: bytes) -> list[int]:
         """The longest token that starts at each place."""
         out = [NONE] * len(piece)
-        for end, token in self.automaton.iter(piece.decode("latin-1")):
-            # for one end the automaton reports longer tokens first; for one start, later ends are longer
-            out[end + 1 - self.length[token]] = token
+        for end, (back, token) in self.automaton.iter(piece.decode("latin-1")):
+            out[end - back] = token  # for one start, later ends are longer
         return out
 
+    def fits(self, a: int, b: int) -> bool:
+        """:meth:`compatible`, remembered."""
+        if len(self.fitting) >= CACHE_PAIRS:
+            self.fitting.clear()
+        made = self.fitting[a * len(self.tokens) + b] = self.compatible(a, b)
+        return made
+
     def encode_piece(self, piece: bytes) -> list[int]:
         """Merge ranks of the tokens of one piece."""
         if not piece:
             return []
         best, n = self.longest(piece), len(piece)
+        length, shorter, fitting, size = self.length, self.shorter, self.fitting, len(self.tokens)
         alive = bytearray(b"\x01") * (n + 1)
         out: list[int] = []
         at, token = 0, best[0]
         while True:
             while token != NONE:
-                end = at + self.length[token]
-                if alive[end] and (not out or self.compatible(out[-1], token)):
-                    out.append(token)
-                    at = end
-                    break
-                token = self.shorter[token]
+                end = at + length[token]
+                if alive[end]:
+                    fit = fitting.get(out[-1] * size + token) if out else True
+                    if fit or (fit is None and self.fits(out[-1], token)):
+                        out.append(token)
+                        at = end
+                        break
+                token = shorter[token]
             else:
                 alive[at] = 0
                 token = out.pop()
-                at -= self.length[token]
-                token = self.shorter[token]
+                at -= length[token]
+                token = shorter[token]
                 continue
             if at == n:
                 return out
             token = best[at]
 
-    def piece(self, piece: str) -> tuple[bytes, str]:
-        """Ids of a piece as packed 32-bit numbers and as decimal text."""
+    def piece(self, piece: str) -> bytes:
+        """Ids of a piece as packed 32-bit numbers."""
         made = self.older.get(piece)
         if made is None:
-            ids = [self.public[t] for t in self.encode_piece(piece.encode())]
-            made = np.array(ids, np.uint32).tobytes(), ",".join(map(str, ids))
+            public = self.public
+            made = array("I", [public[t] for t in self.encode_piece(piece.encode())]).tobytes()
         if len(piece) <= CACHE_CHARS:
             if len(self.known) >= self.most_known:  # what was used lately moves on to the next generation
                 self.older, self.known = self.known, {}
             self.known[piece] = made
         return made
 
-    def encode_packed(self, text: str) -> tuple[bytes, str]:
-        """Ids of a text, packed and as decimal text. Contents of added tokens get their own ids."""
+    def encode_packed(self, text: str) -> bytes:
+        """Ids of a text as packed 32-bit numbers. Contents of added tokens get their own ids."""
         packed: list[bytes] = []
-        decimal: list[str] = []
         piece = self.piece
         for k, part in enumerate(self._added.split(text) if self._added else [text]):
             if k % 2:
-                i = self.added[part]
-                packed.append(np.array([i], np.uint32).tobytes())
-                decimal.append(str(i))
+                packed.append(array("I", [self.added[part]]).tobytes())
                 continue
             known = self.known.get  # a full generation that is put away meanwhile still answers
-            made = [known(p) or piece(p) for p in self._pattern.findall(part)]
-            packed.extend([m[0] for m in made])
-            decimal.extend([m[1] for m in made])
-        return b"".join(packed), ",".join(decimal)
+            packed.extend([known(p) or piece(p) for p in self._pattern.findall(part)])
+        return b"".join(packed)
+
+    def decimal(self, ids: np.ndarray) -> str:
+        """The ids as decimal text, joined by commas."""
+        return ",".join(map(self.decimals.__getitem__, ids.tolist()))
 
     def encode(self, text: str) -> list[int]:
         """Public ids of a text."""
-        return np.frombuffer(self.encode_packed(text)[0], np.uint32).tolist()
+        return np.frombuffer(self.encode_packed(text), np.uint32).tolist()
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """The bytes of the tokens, gathered through the offset table."""
@@ -204,11 +217,11 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
         for batch in batches:
             for cut in range(0, batch.num_rows, 500):  # bounds what is held at once
                 part = batch.slice(cut, 500)
-                made = [bpe.encode_packed(t or "") for t in part["text"].to_pylist()]
-                values = np.frombuffer(b"".join(m[0] for m in made), np.uint32).astype(np.int32)
-                ends = np.cumsum([0, *(len(m[0]) // 4 for m in made)])
+                made = [np.frombuffer(bpe.encode_packed(t or ""), np.uint32) for t in part["text"].to_pylist()]
+                values = np.concatenate([np.zeros(0, np.uint32), *made]).astype(np.int32)
+                ends = np.cumsum([0, *map(len, made)])
                 ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values))
-                yield pa.RecordBatch.from_arrays([part["doc_id"], ids, pa.array([m[1] for m in made], pa.string())], ["doc_id", "ids", "decimal"])
+                yield pa.RecordBatch.from_arrays([part["doc_id"], ids, pa.array(map(bpe.decimal, made), pa.string())], ["doc_id", "ids", "decimal"])
 
     return arrow_map(ids_and_text(docs), run, "doc_id long, ids array<int>, decimal string")
 
@@ -228,10 +241,9 @@ def encode_and_decode(docs: DataFrame, path: str | None = None, cache_pieces: in
                 part = batch.slice(cut, 500)
                 rows = []
                 for text, raw in zip(part["text"].to_pylist(), utf8(part["text"]), strict=True):
-                    packed, decimal = bpe.encode_packed(text or "")
-                    ids = np.frombuffer(packed, np.uint32)
+                    ids = np.frombuffer(bpe.encode_packed(text or ""), np.uint32)
                     back = bpe.decode_bytes(ids).decode("utf-8", "replace").encode()
-                    rows.append((len(ids), hashlib.sha256(decimal.encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(raw), back == raw))
+                    rows.append((len(ids), hashlib.sha256(bpe.decimal(ids).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(raw), back == raw))
                 c = list(zip(*rows, strict=True)) or [[]] * 5
                 kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(v, t) for v, t in zip(c, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "round_trip"])
