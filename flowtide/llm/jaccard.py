@@ -2,8 +2,9 @@
 
 1. *Sets.* One Arrow pass cuts each whole text into words and hashes its 5-word shingles. Equal sets are one class: within a task
    only the first document of a class goes on, and later only one of each class.
-2. *Global order.* A task packs its shingles into fragments by hash range, a few bytes each. A fragment counts the documents of
-   each shingle. The global order is (log2 of that count, hash), rare first. Shingles of one document overlap with nothing.
+2. *Global order.* A task packs its shingles into fragments by hash range, a few bytes each. It counts a shingle that several of
+   its sets hold once, and keeps the others of them to itself, so a fragment gets a very common shingle once a pack. A fragment
+   sums the counts. The global order is (log2 of that sum, hash), rare first. Shingles of one document overlap with nothing.
 3. *Candidates.* By the prefix filter, linked sets share one of their first n - ceil(0.75 n) + 1 shingles in that order. A set
    whose unique shingles fill its prefix is out; the others give a few postings.
 4. *Vertical counts.* The order is cut into fragments at fixed pivots. For a candidate pair the overlap is counted in each fragment
@@ -35,6 +36,10 @@ from .common import arrow_map, ids_and_text, redealt, spool, table, utf8
 WIDTH, PERCENT = 5, 75
 #: Bits of a shingle's hash that fragments hold; entries that a task packs at once.
 BITS, PACK = 48, 1 << 20
+#: Shingles that a fragment holds on average at most.
+FRAGMENT = 1 << 23
+#: Rows that no fragment reads: sizes and names of a task's sets, and places of its sets that hold a shingle counted for another.
+SETS, REPEATS = -1, -2
 #: Cuts of the global order (by log2 of a shingle's document count) into vertical fragments.
 PIVOTS = (2, 4, 7)
 STAR_ROUNDS = 2
@@ -102,7 +107,8 @@ def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def packed_shingles(docs: DataFrame, fragments: int) -> DataFrame:
-    """A task's shingles in each fragment with the places of their sets; in fragment -1 the sizes and names of its sets.
+    """A task's shingles in each fragment with the place of a set that holds them and how many do; the other places of such a pack
+    in fragment REPEATS; in fragment SETS the sizes and names of the task's sets.
 
     Of equal sets in a task only the first is packed.
     """
@@ -120,7 +126,12 @@ def packed_shingles(docs: DataFrame, fragments: int) -> DataFrame:
             idx = np.repeat(np.arange(base, base + len(held), dtype=np.uint64), [len(x) for x in held])
             order = np.argsort(h, kind="stable")
             h, idx = h[order], idx[order]
-            frag = (h * np.uint64(fragments)) >> np.uint64(BITS)
+            first = np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0
+            if not first.all():
+                yield _packed_rows([(part, REPEATS, _pack(np.diff(h[~first], prepend=np.uint64(0))), _pack(idx[~first]))])
+            times = np.diff(np.append(np.flatnonzero(first), len(h))).astype(np.uint64)
+            h, idx = h[first], idx[first] | times << np.uint64(32)
+            frag = ((h >> np.uint64(BITS - 32)) * np.uint64(fragments)) >> np.uint64(32)
             cuts = np.append(np.flatnonzero(np.diff(frag, prepend=np.uint64(1 << 62))), len(h))
             out = []
             for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
@@ -147,16 +158,16 @@ def packed_shingles(docs: DataFrame, fragments: int) -> DataFrame:
         if held:
             yield from packed()
         if sizes:
-            yield _packed_rows([(part, -1, _pack(np.array(sizes)), _pack(np.array(names, np.int64)))])
+            yield _packed_rows([(part, SETS, _pack(np.array(sizes)), _pack(np.array(names, np.int64)))])
 
     return arrow_map(ids_and_text(docs), run, _PACKED)
 
 
 def shared_shingles(packed: DataFrame) -> DataFrame:
     """For each fragment, the shingles of two or more sets, sent back to the tasks that packed them: place of the set and order key.
-    The rows of fragment -1 go through unchanged.
+    The rows of SETS and REPEATS go through unchanged, dealt out by task.
     """
-    sent = packed.repartition("frag").sortWithinPartitions("frag")
+    sent = packed.repartition("frag", F.when(F.col("frag") < 0, F.col("part"))).sortWithinPartitions("frag")
 
     def solve(frag: int, parts: list[tuple[int, bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         h = np.concatenate([np.cumsum(_unpack(a)) for _, a, _ in parts])
@@ -165,8 +176,9 @@ def shared_shingles(packed: DataFrame) -> DataFrame:
         order = np.argsort(h, kind="stable")
         h = h[order]
         head = np.flatnonzero(np.diff(h, prepend=h[0] ^ np.uint64(1)))
-        df = np.diff(np.append(head, len(h)))
-        times = np.repeat(df, df)
+        df = np.add.reduceat(idx[order] >> np.uint64(32), head)
+        idx &= np.uint64(0xFFFFFFFF)
+        times = np.repeat(df, np.diff(np.append(head, len(h))))
         kept = times > 1
         h, times, order = h[kept], times[kept], order[kept]
         key = (np.floor(np.log2(times)).astype(np.uint64) << np.uint64(BITS)) | h
@@ -203,10 +215,15 @@ def live_sets(packed: DataFrame) -> DataFrame:
     """The sets that can be linked: their shared shingles in global order, and how many of them lie in the prefix."""
     rows = shared_shingles(packed).repartition("part").sortWithinPartitions("part", "frag")
 
-    def solve(part: int, head: tuple[bytes, bytes], parts: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
+    def solve(part: int, head: tuple[bytes, bytes], parts: list[tuple[bytes, bytes]], repeats: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
         sizes, names = _unpack(head[0]).astype(np.int64), _unpack(head[1]).view(np.int64)
         idx = np.concatenate([_unpack(a) for a, _ in parts]).astype(np.int64)
         key = np.concatenate([_unpack(b) for _, b in parts]).astype(np.int64)
+        if repeats:
+            counted, at = np.unique(key & ((1 << BITS) - 1), return_index=True)
+            again = np.concatenate([np.cumsum(_unpack(a)) for a, _ in repeats]).astype(np.int64)
+            idx = np.concatenate([idx, *(_unpack(b).astype(np.int64) for _, b in repeats)])
+            key = np.concatenate([key, key[at[np.searchsorted(counted, again)]]])
         order = np.lexsort((key, idx))
         idx, key = idx[order], key[order]
         shared = np.bincount(idx, minlength=len(sizes))
@@ -221,19 +238,19 @@ def live_sets(packed: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(uid), pa.array(sizes[own], pa.int32()), pa.array(prefix[own], pa.int32()), keys], ["nid", "uid", "n", "n_prefix", "keys"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, head, parts = None, None, []
+        now, head, parts, repeats = None, None, [], []
         for batch in batches:
             for part, frag, a, b in zip(*(batch[c].to_pylist() for c in ("part", "frag", "a", "b")), strict=True):
                 if part != now:
                     if head and parts:
-                        yield from solve(now, head, parts)
-                    now, head, parts = part, None, []
-                if frag < 0:
+                        yield from solve(now, head, parts, repeats)
+                    now, head, parts, repeats = part, None, [], []
+                if frag == SETS:
                     head = (a, b)
                 else:
-                    parts.append((a, b))
+                    (repeats if frag == REPEATS else parts).append((a, b))
         if head and parts:
-            yield from solve(now, head, parts)
+            yield from solve(now, head, parts, repeats)
 
     return arrow_map(rows, run, _LIVE)
 
@@ -420,8 +437,9 @@ def link_components(live: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (equal for equal sets, null without words) of each row."""
     spark = docs.sparkSession
-    fragments = min(max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))), (1 << 16) - 1)
     members = spool(set_names(docs), "sets")
+    shingles = members.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
+    fragments = min(max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // FRAGMENT)), (1 << 31) - 1)
     live = spool(live_sets(packed_shingles(docs, fragments)), "live")
     one = live.groupBy("nid").agg(F.min("uid").alias("uid"))
     live = spool(live.join(one, ["nid", "uid"], "left_semi"), "live-one")

@@ -58,6 +58,23 @@ def test_near_copies(spark):
     assert result(spark.createDataFrame(rows, SCHEMA).repartition(7)) == brute(rows)
 
 
+def test_common_shingles(spark):
+    """A passage that most documents share is counted once a task and still takes part in every overlap, in packs of any size."""
+    rng = random.Random(9)
+    words = lambda n: [f"{rng.choice('abc')}{rng.randrange(5000)}" for _ in range(n)]
+    passage = words(50)
+    rows = [(i, " ".join(words(rng.randrange(0, 25)) + passage + words(rng.randrange(0, 25)))) for i in range(150)]
+    rows += [(len(rows) + i, " ".join(words(80))) for i in range(20)]
+    whole = result(spark.createDataFrame(rows, SCHEMA).repartition(4))
+    assert whole == brute(rows) and len({c for _, _, c in whole}) < len(rows) - 20
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    packed = J.packed_shingles(df, 1 << 20)
+    common = sum(len(J._unpack(r["a"])) for r in packed.where("frag >= 0").collect())
+    assert common < sum(n for _, n, _ in whole) - 140 * 46 and packed.where(f"frag = {J.SETS}").count() == 3
+    keys = {r["nid"]: len(r["keys"]) for r in J.live_sets(packed).collect()}
+    assert all(n == 46 for n in keys.values()) and len(keys) == sum(n <= 61 for _, n, _ in whole[:150]) > 20  # longer sets can have no link
+
+
 def test_components(spark):
     edges = [(1, 2), (2, 3), (10, 9), (3, 7), (20, 21), (21, 22), (22, 20)]
     got = {r["node"]: r["root"] for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
