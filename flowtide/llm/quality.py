@@ -2,12 +2,15 @@
 
 Counts of each whole text come from one Arrow stage. A sketch is a histogram of a rate (parts per thousand of a text's words,
 lines or characters) in buckets whose width grows with the value, five bits of precision: sketches of any two sets of documents
-merge by adding counts, which Spark's partial aggregation does. Each language x source gets an upper fence per metric from its
-sketch's quartiles; groups of fewer than ``LEAST_ROWS`` use their language's merged sketch, or that of all documents.
-The fences are joined back and a document above any fence isn't kept.
-
-Defined cases: null text has no words, so it fails the base rule; null lang or source is a group of its own; an empty table
-gives no rows; repeated rows count each.
+merge by adding counts, which Spark's partial aggregation does. The sketches hold the texts that pass the base rule. Each language x
+source gets fences per metric from its sketch's quartiles: an upper one for the rates, one on either side for the mean word length.
+A fence lies ``FENCE`` spreads from the median, at least the metric's slack. The spread is twice the smaller of the distances from the
+median to the quartiles, so junk in less than half of a group doesn't widen it; no fence is out of reach. Groups of fewer than
+``LEAST_ROWS`` use their language's merged sketch, or that of all documents. The fences are joined back and a document beyond any
+fence isn't kept.
+
+Defined cases: null text has no words, so it fails the base rule; null lang or source is a group of its own; a group whose texts all
+fail the base rule has no fences; an empty table gives no rows; repeated rows count each.
 """
 
 from __future__ import annotations
@@ -24,10 +27,13 @@ from .common import arrow_map, redealt, spool, table, utf8
 SYMBOLS = b"#*$%&|<>"
 #: Base rule.
 LEAST_WORDS, MOST_REPEATED_PERCENT = 10, 20
-#: Fences: a metric may exceed its upper quartile by FENCE interquartile ranges, at least by its slack (parts per thousand).
+#: Fences: a metric may differ from its median by FENCE spreads, at least by its slack (parts per thousand; hundredths of a character).
 FENCE, LEAST_ROWS = 6, 100
-SLACK = {"symbol_rate": 60, "dup_line_rate": 300, "repeat_rate": 150}
+SLACK = {"symbol_rate": 60, "dup_line_rate": 300, "repeat_rate": 150, "word_length": 130}
 METRICS = tuple(SLACK)
+#: The largest value of a rate; metrics with a lower fence too; bits of a bucket where they aren't five.
+MOST_RATE, TWO_SIDED, BITS = 1000, ("word_length",), {"word_length": 7}
+FENCES = (*(f"{m}_fence" for m in METRICS), *(f"{m}_low" for m in TWO_SIDED))
 _COUNTS = "doc_id long, lang string, source string, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_lines long"
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(SYMBOLS)] = True
@@ -91,25 +97,28 @@ def text_counts(docs: DataFrame) -> DataFrame:
 
 
 def rates(counts: DataFrame) -> DataFrame:
-    """Metrics in parts per thousand, whole numbers."""
-    per = lambda a, b: F.expr(f"{a} * 1000 div greatest({b}, 1)")
-    return counts.withColumns({"symbol_rate": per("n_symbols", "word_chars"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words")})
+    """Metrics in whole numbers: rates in parts per thousand, the mean word length in hundredths of a character."""
+    per = lambda a, b, unit=MOST_RATE: F.expr(f"{a} * {unit} div greatest({b}, 1)")
+    return counts.withColumns({
+        "symbol_rate": per("n_symbols", "word_chars"), "dup_line_rate": per("n_dup_lines", "n_lines"), "repeat_rate": per("n_repeat_words", "n_words"),
+        "word_length": per("word_chars", "n_words", 100),
+    })
 
 
-def bucket(value: Column) -> Column:
-    """The lower end of a value's bucket: exact below 32, then 16 buckets for each doubling."""
-    shift = F.greatest(F.length(F.bin(value)) - 5, F.lit(0))
-    return F.when(value < 32, value).otherwise(F.expr("cast(0 as bigint)") + F.floor(value / F.pow(F.lit(2.0), shift)) * F.pow(F.lit(2.0), shift)).cast("long")
+def bucket(value: Column, bits: int = 5) -> Column:
+    """The lower end of a value's bucket: with five bits exact below 32, then 16 buckets for each doubling."""
+    shift = F.greatest(F.length(F.bin(value)) - bits, F.lit(0))
+    return F.when(value < 1 << bits, value).otherwise(F.expr("cast(0 as bigint)") + F.floor(value / F.pow(F.lit(2.0), shift)) * F.pow(F.lit(2.0), shift)).cast("long")
 
 
 def sketches(rows: DataFrame) -> DataFrame:
-    """Mergeable sketches: lang, source, metric, bucket, n."""
-    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m)).alias("bucket")) for m in METRICS]))
+    """Mergeable sketches of the metrics that ``rows`` has: lang, source, metric, bucket, n."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), bucket(F.col(m), BITS.get(m, 5)).alias("bucket")) for m in METRICS if m in rows.columns]))
     return rows.select("lang", "source", pairs.alias("p")).groupBy("lang", "source", "p.metric", "p.bucket").agg(F.count("*").alias("n"))
 
 
 def merged_quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Quartiles of the sketches merged to ``keys`` x metric: q1, q3 and rows. A merged sketch has some hundred buckets at most."""
+    """Quartiles of the sketches merged to ``keys`` x metric: q1, q2, q3 and rows. A merged sketch has some hundred buckets at most."""
     merged = sketch.groupBy(*keys, "metric", "bucket").agg(F.sum("n").alias("n"))
     whole = merged.groupBy(*keys, "metric").agg(F.sort_array(F.collect_list(F.struct("bucket", "n"))).alias("cells"), F.sum("n").alias("rows"))
 
@@ -120,33 +129,39 @@ def merged_quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
         )
         return F.aggregate("cells", F.struct(F.lit(0).cast("long").alias("seen"), F.lit(None).cast("long").alias("value")), step, lambda acc: acc["value"])
 
-    return whole.select(*keys, "metric", "rows", quantile(0.25).alias("q1"), quantile(0.75).alias("q3"))
+    return whole.select(*keys, "metric", "rows", quantile(0.25).alias("q1"), quantile(0.5).alias("q2"), quantile(0.75).alias("q3"))
 
 
 def fences(sketch: DataFrame) -> DataFrame:
-    """lang, source and one column <metric>_fence each, from the group's sketch or the next wider one."""
+    """lang, source and the columns FENCES, from the group's sketch or the next wider one."""
     slack = F.create_map(*[F.lit(v) for m, n in SLACK.items() for v in (m, n)])[F.col("g.metric")]
-    fence = lambda t: (F.col(f"{t}.q3") + F.greatest((F.col(f"{t}.q3") - F.col(f"{t}.q1")) * FENCE, slack))
     g, by_lang, everything = merged_quantiles(sketch, ["lang", "source"]).alias("g"), merged_quantiles(sketch, ["lang"]).alias("l"), merged_quantiles(sketch, []).alias("a")
     both = g.join(by_lang, F.col("g.lang").eqNullSafe(F.col("l.lang")) & (F.col("g.metric") == F.col("l.metric"))).join(everything, F.col("g.metric") == F.col("a.metric"))
-    chosen = F.when(F.col("g.rows") >= LEAST_ROWS, fence("g")).when(F.col("l.rows") >= LEAST_ROWS, fence("l")).otherwise(fence("a"))
-    rows = both.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.metric").alias("metric"), chosen.alias("fence"))
-    return rows.groupBy("lang", "source").agg(*[F.max(F.when(F.col("metric") == m, F.col("fence"))).alias(f"{m}_fence") for m in METRICS])
+    chosen = lambda n: F.when(F.col("g.rows") >= LEAST_ROWS, F.col(f"g.{n}")).when(F.col("l.rows") >= LEAST_ROWS, F.col(f"l.{n}")).otherwise(F.col(f"a.{n}"))
+    rows = both.select(F.col("g.lang").alias("lang"), F.col("g.source").alias("source"), F.col("g.metric").alias("metric"), slack.alias("slack"), *[chosen(n).alias(n) for n in ("q1", "q2", "q3")])
+    room = F.greatest(F.least(F.col("q3") - F.col("q2"), F.col("q2") - F.col("q1")) * 2 * FENCE, F.col("slack"))
+    # a rate's fence is at most halfway from the median to the largest rate, a lower fence at least half of the median
+    high = F.col("q2") + F.when(F.col("metric").isin(*TWO_SIDED), room).otherwise(F.least(room, F.expr(f"({MOST_RATE} - q2) div 2")))
+    rows = rows.select("lang", "source", "metric", high.alias("fence"), F.greatest(F.col("q2") - room, F.expr("q2 div 2")).alias("low"))
+    of = lambda m, n, name: F.max(F.when(F.col("metric") == m, F.col(n))).alias(name)
+    return rows.groupBy("lang", "source").agg(*[of(m, "fence", f"{m}_fence") for m in METRICS], *[of(m, "low", f"{m}_low") for m in TWO_SIDED])
 
 
 def judge(docs: DataFrame) -> DataFrame:
     """The counts, metrics, fences, base_failed and kept of each document."""
-    rows = rates(spool(text_counts(docs), "quality"))
-    limits = redealt(fences(sketches(rows)).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *[f"{m}_fence" for m in METRICS]))
-    out = rows.join(limits, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s"))).drop("__l", "__s")
     failed = (F.col("n_words") < LEAST_WORDS) | (F.col("n_repeat_words") * 100 > F.col("n_words") * MOST_REPEATED_PERCENT)
+    rows = rates(spool(text_counts(docs), "quality")).withColumn("base_failed", failed)
+    limits = redealt(fences(sketches(rows.where(~F.col("base_failed")))).select(F.col("lang").alias("__l"), F.col("source").alias("__s"), *FENCES))
+    out = rows.join(limits, F.col("lang").eqNullSafe(F.col("__l")) & F.col("source").eqNullSafe(F.col("__s")), "left").drop("__l", "__s")
     passed = ~F.col("base_failed")
     for m in METRICS:
         passed = passed & (F.col(m) <= F.col(f"{m}_fence"))
-    return out.withColumn("base_failed", failed).withColumn("kept", passed)
+    for m in TWO_SIDED:
+        passed = passed & (F.col(m) >= F.col(f"{m}_low"))
+    return out.withColumn("kept", passed)
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op7_quality."""
     names = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"]
-    return judge(table(spark, sf_dir, "documents")).select(*names, *METRICS, *[f"{m}_fence" for m in METRICS])
+    return judge(table(spark, sf_dir, "documents")).select(*names, *METRICS, *FENCES)

@@ -52,3 +52,20 @@ def test_verdicts(spark, odd, odd_rows, empty):
     rows = quality.judge(odd).collect()
     assert len(rows) == len(odd_rows) and all(r["kept"] is not None and not (r["base_failed"] and r["kept"]) for r in rows)
     assert quality.judge(empty).count() == 0
+
+
+def test_fences_move_and_stay_reachable(spark):
+    """Fences follow the word lengths of a group, on either side; junk in two fifths of a group doesn't lift its fences out of reach."""
+    word = lambda n, seed, size: "".join("abcdefghijklmnopqrstuvwxyz"[(seed * 7 + k * (seed % 11 + 1) + n) % 26] for k in range(size))
+    text = lambda i, size: " ".join(word(k, i * 131 + k * 17, size + (k + i) % 3 - 1) for k in range(20 + i % 7))
+    rows = [(i, text(i, 4), "en", "short") for i in range(200)] + [(1000 + i, text(i, 12), "en", "long") for i in range(200)]
+    rows += [(2000, text(1, 12), "en", "short"), (2001, text(1, 4), "en", "long")]
+    lines = lambda i, dup: "\n".join(x for k in range(20) for x in ([f"u{i}x{k} v{k}y{i} w{i}z{k} r{k}s{i} t{i}q{k}"] + ["same"] * dup))
+    rows += [(3000 + i, lines(i, 0), "en", "lines") for i in range(120)] + [(4000 + i, lines(i, 1 + i % 3), "en", "lines") for i in range(80)]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert got[0]["word_length_fence"] < got[1000]["word_length_low"]
+    assert all(got[i]["kept"] for i in [*range(200), *range(1000, 1200), *range(3000, 3120)])
+    assert not got[2000]["kept"] and not got[2001]["kept"]
+    junk = [got[4000 + i] for i in range(80)]
+    assert all(r["dup_line_rate"] >= 450 and not r["base_failed"] and r["dup_line_rate_fence"] < 1000 for r in junk)
+    assert not any(r["kept"] for r in junk)
