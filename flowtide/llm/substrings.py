@@ -1,8 +1,9 @@
 """Substring dedup by sliding sentence spans.
 
-A text is cut into sentences at ``.``, ``!``, ``?`` followed by white space, and at line breaks. From each sentence starts one span:
-the shortest run of at least ``SENTENCES`` sentences with at least ``WORDS`` words, or the sentence alone where it has ``LONE_WORDS``.
-A span depends on its own sentences only, so a passage has the same spans wherever it is copied. Spans are compared by their words
+A text is cut into sentences at ``.``, ``!``, ``?`` followed by white space, and at line breaks. Spans are the shortest runs of at least
+``SENTENCES`` sentences with at least ``WORDS`` words that start or that end at a sentence, and sentences alone that have ``LONE_WORDS``.
+A span depends on its own sentences only, so a passage has the same spans wherever it is copied, and each sentence of a passage within
+these bounds lies in a span inside it: all of a repeated passage goes. Spans are compared by their words
 in ASCII lower case. Sentences that any span covers which isn't its first occurrence are removed.
 
 Defined cases: null or empty text has no sentence; a text shorter than any span stays; see :mod:`repeats` for repeated and null
@@ -30,24 +31,30 @@ def sentences(raw: bytes) -> list[tuple[int, int]]:
     return [m.span() for m in _SENTENCE.finditer(raw) if m[0] and not m[0].isspace()]
 
 
-def spans(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
-    """Sentences in normal form and the span that starts at each of them."""
-    lower = raw.lower()
-    words = [lower[s:e].split() for s, e in sentences(raw)]
-    sizes = [len(w) for w in words]
+def shortest_runs(sizes: list[int]) -> list[tuple[int, int]]:
+    """The shortest run of at least SENTENCES sentences and WORDS words from each sentence that starts one."""
     runs, end, total = [], 0, 0
     for start, size in enumerate(sizes):
-        if size >= LONE_WORDS:
-            runs.append((start, start + 1))
-        if end < start:
-            end, total = start, 0
         while end < len(sizes) and (end - start < SENTENCES or total < WORDS):
             total += sizes[end]
             end += 1
-        if end - start >= SENTENCES and total >= WORDS and size < LONE_WORDS:
-            runs.append((start, end))
+        if end - start < SENTENCES or total < WORDS:
+            break
+        runs.append((start, end))
         total -= size
-    return [b" ".join(w) for w in words], runs
+    return runs
+
+
+def spans(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
+    """Sentences in normal form and the spans over them, by place."""
+    lower = raw.lower()
+    words = [lower[s:e].split() for s, e in sentences(raw)]
+    sizes = [len(w) for w in words]
+    n = len(sizes)
+    runs = {(i, i + 1) for i, size in enumerate(sizes) if size >= LONE_WORDS}
+    runs.update(shortest_runs(sizes))
+    runs.update((n - end, n - start) for start, end in shortest_runs(sizes[::-1]))
+    return [b" ".join(w) for w in words], sorted(runs)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

@@ -1,3 +1,6 @@
+import random
+import re
+
 from flowtide.llm import lines, substrings
 
 
@@ -64,3 +67,34 @@ def test_sentences():
     assert [raw[s:e].strip() for s, e in substrings.sentences(raw)] == [b"One two.", b"Three!", b"Four", b"five?", b"x"]
 
 
+def brute_passages(rows):
+    """Sentences of each document that lie in any passage of two sentences and 20 words, or of one with 50 words, that occurs before."""
+    seen, out = set(), {}
+    for doc_id, text in rows:
+        units = [x.lower().split() for x in re.split(r"(?<=[.!?])\s+|\n", text) if x.strip()]
+        gone = set()
+        for s in range(len(units)):
+            for e in range(s + 1, len(units) + 1):
+                n = sum(map(len, units[s:e]))
+                if n >= 20 and e - s >= 2 or n >= 50 and e - s == 1:
+                    key = tuple(map(tuple, units[s:e]))
+                    if key in seen:
+                        gone |= set(range(s, e))
+                    seen.add(key)
+        if gone:
+            out[doc_id] = (len(units), len(gone), sum(len(units[i]) for i in range(len(units)) if i not in gone))
+    return out
+
+
+def test_whole_passages_go(spark):
+    sentence = lambda n, salt: " ".join(f"{salt}{k}" for k in range(n)) + "."
+    passage = lambda sizes, salt: " ".join(sentence(n, f"{salt}x{i}w") for i, n in enumerate(sizes))
+    rng, rows = random.Random(3), []
+    shapes = [[60, 45], [30, 30, 5, 4], [15, 3, 15], [5, 4, 70, 2], [3, 2]] + [[rng.choice([1, 3, 8, 14, 25, 55]) for _ in range(rng.randrange(2, 9))] for _ in range(25)]
+    for i, sizes in enumerate(shapes):
+        p = passage(sizes, f"p{i}")
+        rows += [(10 * i + k, f"{sentence(6, f'h{i}q{k}')} {p} {sentence(7, f't{i}q{k}')}") for k in range(2)]
+        rows.append((10 * i + 5, p + " " + p))
+    got = {r["doc_id"]: (r["n_sentences"], r["n_removed"], len(r["text"].split())) for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute_passages(rows)
+    assert got[1][2] == 13 and got[11][2] == 13  # of copies of [60, 45] and [30, 30, 5, 4] only head and tail stay
