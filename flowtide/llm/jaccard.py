@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, ids_and_text, redealt, spool, table, utf8
@@ -83,8 +83,13 @@ def set_name(h: np.ndarray) -> int:
     return int(np.frombuffer(xxhash.xxh3_64_digest(h.tobytes()), np.int64)[0])
 
 
+def text_hash() -> Column:
+    """64 bits of a text, which tell apart rows that share an id or have none."""
+    return F.xxhash64(F.col("text").cast("string"))
+
+
 def set_names(docs: DataFrame) -> DataFrame:
-    """doc_id, n and nid (the set's name, null without words) of each row."""
+    """doc_id, text_hash, n and nid (the set's name, null without words) of each row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -93,9 +98,9 @@ def set_names(docs: DataFrame) -> DataFrame:
                 h = shingle_hashes(raw)
                 sizes.append(len(h))
                 names.append(set_name(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sizes, pa.int32()), pa.array(names, pa.int64())], ["doc_id", "n", "nid"])
+            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int32()), pa.array(names, pa.int64())], ["doc_id", "text_hash", "n", "nid"])
 
-    return arrow_map(ids_and_text(docs), run, "doc_id long, n int, nid long")
+    return arrow_map(ids_and_text(docs, text_hash().alias("text_hash")), run, "doc_id long, text_hash long, n int, nid long")
 
 
 _PACKED = "part int, frag int, a binary, b binary"
@@ -434,8 +439,8 @@ def link_components(live: DataFrame) -> DataFrame:
     return labels
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (equal for equal sets, null without words) of each row."""
+def named_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The named sets of all rows; nid, root and low (no_id, doc_id, text_hash: the least row with that set, ids first) of each class."""
     spark = docs.sparkSession
     members = spool(set_names(docs), "sets")
     shingles = members.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
@@ -444,21 +449,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     one = live.groupBy("nid").agg(F.min("uid").alias("uid"))
     live = spool(live.join(one, ["nid", "uid"], "left_semi"), "live-one")
     roots = link_components(live)
-    classes = members.where(F.col("nid").isNotNull()).groupBy("nid").agg(F.min("doc_id").alias("low"))
-    named = classes.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
-    lows = named.groupBy("root").agg(F.min("low").alias("component_id"))
+    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
+    classes = members.where(F.col("nid").isNotNull()).groupBy("nid").agg(F.min(row).alias("low"))
+    return members, classes.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and class_id (equal for equal sets, null without words) of each row."""
+    members, named = named_components(docs)
+    lows = named.groupBy("root").agg(F.min("low.doc_id").alias("component_id"))
     found = spool(named.join(redealt(lows), "root").select("nid", "component_id"), "components")
     out = members.join(found, "nid", "left")
     return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("nid").alias("class_id"))
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id. Of rows that repeat an id one stays; rows with a null id that are
-    linked with nothing but one another stay as one row for each id-less component. All columns stay as they are."""
-    kept = near_duplicates(docs).where(F.col("component_id").eqNullSafe(F.col("doc_id"))).select(F.col("doc_id").alias("__id")).distinct()
+    """One row of each component: the one with the smallest doc_id, then the smallest hash of its text; a row with a null id only where
+    the component has no id. Rows with unlike, unlinked texts stay even if they share an id or have none; rows without words stay, one of
+    those that are equal in id and text. All columns stay as they are."""
+    members, named = named_components(docs)
+    kept = named.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.text_hash")
+    kept = kept.unionByName(members.where(F.col("nid").isNull()).select("doc_id", "text_hash").distinct())
+    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
     names = docs.columns
-    rows = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id"))).drop("__id")
-    return rows.dropDuplicates(["doc_id"]).select(*[F.col(f"`{n}`") for n in names])
+    rows = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_text": text_hash()})
+    rows = rows.join(kept, F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_text") == F.col("__text")))
+    return rows.dropDuplicates(["__row_id", "__row_text"]).select(*[F.col(f"`{n}`") for n in names])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -87,6 +87,15 @@ def test_drop(spark, odd):
     assert J.drop_near_duplicates(odd).columns == odd.columns
 
 
+def test_drop_keeps_unlike_texts(spark):
+    """Null ids and reused ids: each unlike text stays, and of a component with an id the row with the id."""
+    text = lambda salt: " ".join(f"{salt}{i}" for i in range(40))
+    rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("d")), (9, text("e")), (None, text("e")), (None, text("f") + " g"), (None, text("f")), (8, ""), (8, ""), (None, None)]
+    kept = sorted(map(tuple, J.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=str)
+    assert len(kept) == 8
+    assert set(kept) - {(None, text("f") + " g"), (None, text("f"))} == {(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("e")), (8, ""), (None, None)}
+
+
 def test_pack():
     x = np.array([0, 5, 2**40, 2**63], np.uint64)
     assert (J._unpack(J._pack(x)) == x).all()
