@@ -20,8 +20,6 @@ from .features import beyond_range, top_deviations, with_stats
 BANDS = {"Critical": 0.999, "High": 0.995, "Medium": 0.99, "Low": 0.975}
 BELOW = "Below thresholds"
 REVIEW = ("Critical", "High")
-#: Most reference scores that a calibration reads; beyond it a sample by hash.
-MOST_REFERENCE = 5_000_000
 #: Grid points in hundred-thousandths: every 0.001, and every 0.00001 from 0.99.
 GRID = [*range(0, 99_000, 100), *range(99_000, 100_001)]
 
@@ -50,13 +48,9 @@ def band_quantiles(bands: dict[str, float] | None = None, budgets: dict[str, flo
     return {name: 1 - b / windows_per_day for name, b in budgets.items()}
 
 
-def reference_scores(scores: DataFrame, raw: str, where: Column, most: int = MOST_REFERENCE) -> DataFrame:
-    """The finite scores of the reference period; a sample by hash if there are more than ``most``."""
-    rows = scores.where(where).select(finite(F.col(raw)).alias("s"), "src_ip", "window_start").where("s is not null")
-    if rows.count() <= most:
-        return rows.select("s")
-    order = (F.xxhash64("src_ip", "window_start"), F.col("src_ip"), F.col("window_start"))
-    return numbered(rows, order, "__place").where(F.col("__place") <= most).select("s")
+def reference_scores(scores: DataFrame, raw: str, where: Column) -> DataFrame:
+    """All finite scores of the reference period."""
+    return scores.where(where).select(finite(F.col(raw)).alias("s")).where("s is not null")
 
 
 def calibrate(reference: DataFrame, model: str, quantiles: dict[str, float]) -> Cutoffs:

@@ -37,3 +37,12 @@ def test_no_window_gathers_all_rows(spark):
     assert "windowspecdefinition(id" not in plan
     best = O.top(rows(spark), ["g"], (F.desc("v"), F.col("id")), 2, "r").collect()
     assert len(best) == 4 and all(r["v"] == 7.5 for r in best)
+
+
+def test_all_reference_scores_count(spark):
+    """Calibration reads every finite score of the reference period, however many there are."""
+    from flowtide.operators.ranking import reference_scores
+
+    n = 5_000_100
+    scores = spark.range(0, n + 2).selectExpr("cast(id as string) as src_ip", "timestamp_seconds(id) as window_start", f"case when id = {n} then double('nan') when id < {n} then double(id) end as a_raw")
+    assert reference_scores(scores, "a_raw", F.lit(True)).count() == n
