@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from .common import arrow_map, ids_and_text, release_memory, table, utf8
 
-#: Bounds of the training sample: documents of each language (expected, by hash), languages, and rows in all.
+#: Bounds of the training sample: documents of each language, languages, and rows in all (expected, by hash; a lower rate keeps all languages).
 PER_LANGUAGE, LANGUAGES, MOST_ROWS = 400, 32, 4000
 DIMENSIONS = 1 << 12
 EPOCHS, COST = 12, 4.0
@@ -138,7 +138,8 @@ def training_sample(docs: DataFrame) -> DataFrame:
     counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
     if not counts:
         return rows.limit(0).select("lang", F.lit(b"").alias("x"))
-    rates = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, PER_LANGUAGE / r["count"]))])
+    each = min(PER_LANGUAGE, MOST_ROWS / len(counts))
+    rates = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
     drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.coalesce(rates[F.col("lang")], F.lit(0.0)) * (1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,7 +147,7 @@ def training_sample(docs: DataFrame) -> DataFrame:
             x = [features(raw).tobytes() for raw in utf8(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(x, pa.binary())], ["lang", "x"])
 
-    return arrow_map(rows.where(drawn).select("lang", "text"), run, "lang string, x binary").limit(MOST_ROWS)
+    return arrow_map(rows.where(drawn).select("lang", "text"), run, "lang string, x binary")
 
 
 def fit(docs: DataFrame) -> Model | None:

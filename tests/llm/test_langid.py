@@ -38,3 +38,11 @@ def test_odd(spark, odd, empty):
     assert langid.identify(nothing).first()["lang_pred"] == "und"
     one = spark.createDataFrame([(i, "abc", "xx") for i in range(8)], "doc_id long, text string, lang string")
     assert {r["lang_pred"] for r in langid.identify(one).collect()} == {"xx"}
+
+
+def test_each_language_is_sampled(spark):
+    """With many languages, clustered, each keeps its share of the sample; the same rows are drawn whatever the partitions."""
+    rows = spark.range(0, 16 * 600).selectExpr("id as doc_id", "concat('word ', id) as text", "concat('l', id div 600) as lang")
+    counts = [dict(langid.training_sample(rows.repartitionByRange(n, "doc_id")).groupBy("lang").count().collect()) for n in (2, 5)]
+    assert counts[0] == counts[1] and len(counts[0]) == 16
+    assert all(170 < n < 330 for n in counts[0].values()) and sum(counts[0].values()) < 1.1 * langid.MOST_ROWS
