@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import ctypes
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,13 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship
+from ..sources.spool import discard as discard
+from ..sources.spool import spooled as spool
 
 #: A word: a run of characters that are no ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch where the session has Spark's default of 10 000: whole texts can be long, and JVM and Python each hold batches.
 BATCH_ROWS = 1000
-#: Used only where the session names no shared folder, as in tests.
-FALLBACK_CHECKPOINT_DIR = "/tmp/checkpoints/flowtide"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,21 +24,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``."""
-    return spark.conf.get("spark.checkpoint.dir", None) or FALLBACK_CHECKPOINT_DIR
-
-
-def spool(df: DataFrame, tag: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark).rstrip('/')}/spool/{tag}-{uuid.uuid4().hex}"
-    schema = df.schema
-    writer = df.write.mode("error")
-    (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(schema).parquet(path)
-
-
 def small_side(df: DataFrame, tag: str, most_rows: int = 20_000) -> DataFrame:
     """``df`` written out, and marked for broadcast if it has no more than ``most_rows`` rows; else joins shuffle it."""
     kept = spool(df, tag)

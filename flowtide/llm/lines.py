@@ -4,13 +4,13 @@ Windows run over the lines that hold a word (lines of ASCII white space only are
 with a smaller id or earlier in the same one, are removed; covered positions merge, so a long repeated passage goes as a whole and
 a single repeated line stays. Lines are compared byte by byte.
 
-Defined cases: null text stays null; texts with fewer than three lines with a word have no window and stay as they are; see
-:mod:`repeats` for repeated and null ids; an empty table gives no rows; extra columns stay untouched.
+Defined cases: null text stays null; texts with fewer than three lines with a word have no window and stay as they are; of equal
+windows the first one stays, by the order of :mod:`repeats`, which also says how repeated rows and null ids are told apart; a text of
+any length is one row in memory; an empty table gives no rows; extra columns stay untouched, whatever their names.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import arrow_map, table
-from .repeats import covered_units, later_runs, merged
+from .repeats import covered_units, later_runs, merged, numbered_rows
 
 WINDOW = 3
 
@@ -37,59 +37,61 @@ def windows(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
-    """``docs`` with text without the covered lines, and the columns __lines (with a word) and __removed."""
+    """doc (the row, its text without the covered lines), n_lines (with a word) and n_removed of each row."""
+    rows = numbered_rows(docs)
     names = docs.columns
-    cut = covered_units(later_runs(docs, windows)).select(F.col("doc_id").alias("__id"), F.col("spans").alias("__spans"))
-    rows = docs.withColumn("text", F.col("text").cast("string")).join(cut, F.col("doc_id").cast("long") == F.col("__id"), "left").drop("__id")
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__spans"), "__lines int, __removed int"])
+    cut = covered_units(later_runs(rows, windows)).select("key", "spans")
+    kinds = ", ".join(f"`{f.name}`: {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
+                fields = dict(zip(names, part["doc"].flatten(), strict=True))
                 texts, counts, removed = [], [], []
-                for raw, spans in zip(part["text"].cast(pa.binary()).to_pylist(), part["__spans"].to_pylist(), strict=True):
+                for raw, spans in zip(fields["text"].cast(pa.string()).cast(pa.binary()).to_pylist(), part["spans"].to_pylist(), strict=True):
                     lines, worded = worded_lines(raw or b"")
                     counts.append(len(worded))
                     gone = set(np.array(worded, int)[merged(spans, len(worded))].tolist()) if spans else set()
                     removed.append(len(gone))
                     texts.append(b"\n".join([x for i, x in enumerate(lines) if i not in gone]) if gone else raw)
-                columns = [pa.array(texts, pa.binary()).cast(pa.string()) if n == "text" else part[n] for n in names]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(counts, pa.int32()), pa.array(removed, pa.int32())], [*names, "__lines", "__removed"])
+                fields["text"] = pa.array(texts, pa.binary()).cast(pa.string())
+                yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(fields.values()), names), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["doc", "n_lines", "n_removed"])
 
-    return arrow_map(rows, run, schema)
+    return arrow_map(rows.join(cut, "key", "left").select("doc", "spans"), run, f"doc struct<{kinds}>, n_lines long, n_removed long")
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:
     """``docs`` with cleaned texts and, where there is such a column, n_chars of the cleaned text."""
-    out = dedup_lines(docs)
-    columns = [F.length("text").cast("long").alias(n) if n == "n_chars" else F.col(f"`{n}`") for n in docs.columns]
-    return out.select(*columns)
+    own = lambda n: F.col("doc").getField(n)
+    return dedup_lines(docs).select(*[(F.length(own("text")).cast("long") if n == "n_chars" else own(n)).alias(n) for n in docs.columns])
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op8_line_dedup: doc_id, n_lines, n_removed, kept_chars and the cleaned text's md5."""
     out = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    text = F.coalesce("text", F.lit(""))
-    return out.select("doc_id", F.col("__lines").cast("long").alias("n_lines"), F.col("__removed").cast("long").alias("n_removed"), F.length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("text_md5"))
+    text = F.coalesce("doc.text", F.lit(""))
+    return out.select("doc.doc_id", "n_lines", "n_removed", F.length(text).cast("long").alias("kept_chars"), F.md5(text.cast("binary")).alias("text_md5"))
 
 
 ORACLE = r"""
-WITH lines AS (
-  SELECT doc_id, i, l FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS l, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS i FROM documents)
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS key, doc_id, coalesce(text, '') AS text FROM documents
+), lines AS (
+  SELECT key, i, l FROM (SELECT key, unnest(string_split(text, chr(10))) AS l, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM docs)
 ), worded AS (
-  SELECT doc_id, i, l, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
+  SELECT key, i, l, row_number() OVER (PARTITION BY key ORDER BY i) AS k FROM lines WHERE regexp_matches(l, '[^\x20\x09-\x0D]')
 ), win AS (
-  SELECT a.doc_id, a.k, a.l || chr(10) || b.l || chr(10) || c.l AS w
-  FROM worded a JOIN worded b ON b.doc_id = a.doc_id AND b.k = a.k + 1 JOIN worded c ON c.doc_id = a.doc_id AND c.k = a.k + 2
+  SELECT a.key, a.k, a.l || chr(10) || b.l || chr(10) || c.l AS w
+  FROM worded a JOIN worded b ON b.key = a.key AND b.k = a.k + 1 JOIN worded c ON c.key = a.key AND c.k = a.k + 2
 ), later AS (
-  SELECT doc_id, k FROM (SELECT doc_id, k, row_number() OVER (PARTITION BY w ORDER BY doc_id, k) AS r FROM win) WHERE r > 1
+  SELECT key, k FROM (SELECT key, k, row_number() OVER (PARTITION BY w ORDER BY key, k) AS r FROM win) WHERE r > 1
 ), gone AS (
-  SELECT DISTINCT doc_id, k + d AS k FROM later, (SELECT unnest([0, 1, 2]) AS d)
+  SELECT DISTINCT key, k + d AS k FROM later, (SELECT unnest([0, 1, 2]) AS d)
 ), marked AS (
-  SELECT n.doc_id, n.i, n.l, w.k, g.k AS g FROM lines n LEFT JOIN worded w ON w.doc_id = n.doc_id AND w.i = n.i LEFT JOIN gone g ON g.doc_id = w.doc_id AND g.k = w.k
+  SELECT n.key, n.i, n.l, w.k, g.k AS g FROM lines n LEFT JOIN worded w ON w.key = n.key AND w.i = n.i LEFT JOIN gone g ON g.key = w.key AND g.k = w.k
 ), kept AS (
-  SELECT doc_id, count(k) AS n_lines, count(g) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE g IS NULL), '') AS t FROM marked GROUP BY doc_id
+  SELECT key, count(k) AS n_lines, count(g) AS n_removed, coalesce(string_agg(l, chr(10) ORDER BY i) FILTER (WHERE g IS NULL), '') AS t FROM marked GROUP BY key
 )
-SELECT doc_id, n_lines, n_removed, length(t) AS kept_chars, md5(t) AS text_md5 FROM kept
+SELECT doc_id, n_lines, n_removed, length(t) AS kept_chars, md5(t) AS text_md5 FROM kept JOIN docs USING (key)
 """

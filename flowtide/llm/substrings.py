@@ -6,8 +6,9 @@ A span depends on its own sentences only, so a passage has the same spans wherev
 these bounds lies in a span inside it: all of a repeated passage goes. Spans are compared by their words
 in ASCII lower case. Sentences that any span covers which isn't its first occurrence are removed.
 
-Defined cases: null or empty text has no sentence; a text shorter than any span stays; see :mod:`repeats` for repeated and null
-ids; an empty table gives no rows; extra columns are ignored.
+Defined cases: null or empty text has no sentence; a text shorter than any span stays; of equal spans the first one stays, by the
+order of :mod:`repeats`, which also says how repeated rows and null ids are told apart; a text of any length is one row in memory, cut
+in linear time; an empty table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,16 +20,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ids_and_text, table
-from .repeats import covered_units, later_runs, merged
+from .common import arrow_map, table, utf8
+from .repeats import covered_units, later_runs, merged, numbered_rows
 
 SENTENCES, WORDS, LONE_WORDS = 2, 20, 50
-_SENTENCE = re.compile(rb"[^\n]*?(?:[.!?]+(?=[\x20\x09-\x0D]|\Z)|\n|\Z)", re.S)
+_STOP = re.compile(rb"[.!?]++|\n")
+_BLANKS = b" \t\n\x0b\x0c\r"
 
 
 def sentences(raw: bytes) -> list[tuple[int, int]]:
-    """(start, end) bytes of each sentence that holds a word."""
-    return [m.span() for m in _SENTENCE.finditer(raw) if m[0] and not m[0].isspace()]
+    """(start, end) bytes of each sentence that holds a word. A run of stops is looked at once, so the work is linear."""
+    out, start, size = [], 0, len(raw)
+    for end in (m.end() for m in _STOP.finditer(raw)):
+        if end == size or raw[end] in _BLANKS or raw[end - 1] == 10:
+            if not raw[start:end].isspace():
+                out.append((start, end))
+            start = end
+    if start < size and not raw[start:].isspace():
+        out.append((start, size))
+    return out
 
 
 def shortest_runs(sizes: list[int]) -> list[tuple[int, int]]:
@@ -59,17 +69,18 @@ def spans(raw: bytes) -> tuple[list[bytes], list[tuple[int, int]]]:
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """The documents that lose something: doc_id, n_sentences, n_removed, removed_chars, first_doc_ids, text (what is left)."""
-    cut = covered_units(later_runs(docs, spans)).select(F.col("doc_id").alias("__id"), "spans", "first_doc_ids")
-    rows = ids_and_text(docs).join(cut, F.col("doc_id") == F.col("__id")).drop("__id")
+    rows = numbered_rows(docs.select("doc_id", "text"))
+    cut = covered_units(later_runs(rows, spans))
+    rows = rows.select("key", F.col("doc.doc_id").cast("long").alias("doc_id"), F.col("doc.text").cast("string").alias("text")).join(cut, "key").drop("key")
     schema = "doc_id long, n_sentences long, n_removed long, removed_chars long, first_doc_ids array<long>, text string"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, 500):
+                part = batch.slice(at, 500)
                 out = []
-                for raw, own in zip(part["text"].cast(pa.binary()).to_pylist(), part["spans"].to_pylist(), strict=True):
-                    places = sentences(raw or b"")
+                for raw, own in zip(utf8(part["text"]), part["spans"].to_pylist(), strict=True):
+                    places = sentences(raw)
                     gone = merged(own, len(places))
                     left, last, chars = [], 0, 0
                     for (s, e), g in zip(places, gone.tolist(), strict=True):
@@ -77,7 +88,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
                             left.append(raw[last:s])
                             chars += len(raw[s:e].decode())
                             last = e
-                    left.append((raw or b"")[last:])
+                    left.append(raw[last:])
                     out.append((len(places), int(gone.sum()), chars, b"".join(left)))
                 c = list(zip(*out, strict=True)) or [[]] * 4
                 columns = [part["doc_id"], *(pa.array(v, pa.int64()) for v in c[:3]), part["first_doc_ids"], pa.array(c[3], pa.binary()).cast(pa.string())]
