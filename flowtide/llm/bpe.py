@@ -6,7 +6,10 @@ table answers. Where no token fits, the last one is shortened to its longest pre
 entered again, so the work is linear in the text. Results equal those of applying all merges in order of rank.
 
 Pieces come from the pre-tokenizer's pattern. Encoded pieces and looked-up token pairs are kept in caches of bounded size.
-Decoding gathers bytes through an offset table with numpy. Null text is empty: no ids, and an empty decoded text.
+Decoding gathers bytes through an offset table with numpy.
+
+Defined cases: null text is empty: no ids, and an empty decoded text; repeated rows and null ids give a row each; a text of any length
+is one row in memory with its ids; an empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -229,24 +232,31 @@ def encode_documents(docs: DataFrame, path: str | None = None) -> DataFrame:
 _DIGEST = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, n_bytes long, round_trip boolean"
 
 
-def encode_and_decode(docs: DataFrame, path: str | None = None, cache_pieces: int = CACHE_PIECES) -> DataFrame:
-    """Encode each whole text, decode the ids, and digest both. cache_pieces trades a worker's memory for time."""
+def encode_and_decode(docs: DataFrame, path: str | None = None, cache_pieces: int = CACHE_PIECES, release: bool = False) -> DataFrame:
+    """Encode each whole text, decode the ids, and digest both. cache_pieces trades a worker's memory for time; release drops vocabulary
+    and caches after each task, for jobs whose other stages need the workers' memory."""
     path = path or default_path()
 
+    def digest(bpe: ByteBPE, part: pa.RecordBatch) -> pa.RecordBatch:
+        rows = []
+        for text, raw in zip(part["text"].to_pylist(), utf8(part["text"]), strict=True):
+            ids = np.frombuffer(bpe.encode_packed(text or ""), np.uint32)
+            back = bpe.decode_bytes(ids).decode("utf-8", "replace").encode()
+            rows.append((len(ids), hashlib.sha256(bpe.decimal(ids).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(raw), back == raw))
+        c = list(zip(*rows, strict=True)) or [[]] * 5
+        kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
+        return pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(v, t) for v, t in zip(c, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "round_trip"])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = load(path)
         bpe.most_known = cache_pieces
-        for batch in batches:
-            for cut in range(0, batch.num_rows, 500):
-                part = batch.slice(cut, 500)
-                rows = []
-                for text, raw in zip(part["text"].to_pylist(), utf8(part["text"]), strict=True):
-                    ids = np.frombuffer(bpe.encode_packed(text or ""), np.uint32)
-                    back = bpe.decode_bytes(ids).decode("utf-8", "replace").encode()
-                    rows.append((len(ids), hashlib.sha256(bpe.decimal(ids).encode()).hexdigest(), hashlib.sha256(back).hexdigest(), len(raw), back == raw))
-                c = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.string(), pa.string(), pa.int64(), pa.bool_())
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *(pa.array(v, t) for v, t in zip(c, kinds, strict=True))], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "n_bytes", "round_trip"])
+        try:
+            for batch in batches:
+                for cut in range(0, batch.num_rows, 500):
+                    yield digest(bpe, batch.slice(cut, 500))
+        finally:
+            if release:
+                load.cache_clear()
 
     return arrow_map(ids_and_text(docs), run, _DIGEST)
 

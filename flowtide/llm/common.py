@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..shipping import ship
 from ..sources.spool import discard as discard
@@ -35,7 +36,7 @@ def redealt(df: DataFrame) -> DataFrame:
     return df.hint("rebalance")
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``mapInArrow`` over whole rows; ``fn`` sees the batches of one task and must keep bounded state only."""
     ship(df.sparkSession)
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"

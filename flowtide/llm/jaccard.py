@@ -1,7 +1,7 @@
 """N-gram Jaccard join by vertical partitioning, and the components of its links.
 
-1. *Sets.* One Arrow pass cuts each whole text into words and hashes its 5-word shingles. Equal sets are one class: within a task
-   only the first document of a class goes on, and later only one of each class.
+1. *Sets.* One Arrow pass reads each whole text once, cuts it into words and hashes its 5-word shingles. Equal sets are one class:
+   within a task only the first document of a class goes on, and later only one of each class.
 2. *Global order.* A task packs its shingles into fragments by hash range, a few bytes each. It counts a shingle that several of
    its sets hold once, and keeps the others of them to itself, so a fragment gets a very common shingle once a pack. A fragment
    sums the counts. The global order is (log2 of that sum, hash), rare first. Shingles of one document overlap with nothing.
@@ -13,11 +13,12 @@
    are found by alternating large-star and small-star steps. Only pairs from different components are then compared, all of
    them; so a group of n near copies costs about n comparisons, and no link between components is lost.
 
-Sets are told apart by 64 bits of a hash of their shingles' 64-bit hashes, shingles in overlaps by 48 bits.
+Sets are told apart by 128 bits of a hash of their shingles' 64-bit hashes, shingles in overlaps by 48 bits.
 
 Defined cases: null or empty text has no shingles and is linked with nothing; with fewer than five words the whole sequence is the
-one shingle; repeated rows are documents with equal sets; a document with a null id takes part but is never the smallest id; an
-empty table gives no rows; extra columns are ignored.
+one shingle; repeated rows are documents with equal sets; a document with a null id takes part but is never the smallest id; ties
+between rows are ordered as in :mod:`repeats`; a text of any length is one row in memory; an empty table gives no rows; extra
+columns are ignored or, in :func:`drop_near_duplicates`, kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,18 +29,22 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import arrow_map, ids_and_text, redealt, spool, table, utf8
+from .common import arrow_map, discard, redealt, spool, table, utf8
+from .repeats import numbered_rows
 
 WIDTH, PERCENT = 5, 75
 #: Bits of a shingle's hash that fragments hold; entries that a task packs at once.
 BITS, PACK = 48, 1 << 20
 #: Shingles that a fragment holds on average at most.
 FRAGMENT = 1 << 23
-#: Rows that no fragment reads: sizes and names of a task's sets, and places of its sets that hold a shingle counted for another.
-SETS, REPEATS = -1, -2
+#: Bytes of text that a shingle takes at least on average: only the number of fragments depends on it.
+SHINGLE_BYTES = 4
+#: Rows that no fragment reads: sizes and names of a task's sets, places of its sets that hold a shingle counted for another, and the
+#: rows of the table with the names of their sets.
+SETS, REPEATS, MEMBERS = -1, -2, -3
 #: Cuts of the global order (by log2 of a shingle's document count) into vertical fragments.
 PIVOTS = (2, 4, 7)
 STAR_ROUNDS = 2
@@ -78,29 +83,9 @@ def _unpack(raw: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(8, -1).T).view("<u8").reshape(-1)
 
 
-def set_name(h: np.ndarray) -> int:
-    """The name of a set: a hash of its sorted shingles."""
-    return int(np.frombuffer(xxhash.xxh3_64_digest(h.tobytes()), np.int64)[0])
-
-
-def text_hash() -> Column:
-    """64 bits of a text, which tell apart rows that share an id or have none."""
-    return F.xxhash64(F.col("text").cast("string"))
-
-
-def set_names(docs: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n and nid (the set's name, null without words) of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, names = [], []
-            for raw in utf8(batch["text"]):
-                h = shingle_hashes(raw)
-                sizes.append(len(h))
-                names.append(set_name(h) if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text_hash"], pa.array(sizes, pa.int32()), pa.array(names, pa.int64())], ["doc_id", "text_hash", "n", "nid"])
-
-    return arrow_map(ids_and_text(docs, text_hash().alias("text_hash")), run, "doc_id long, text_hash long, n int, nid long")
+def set_name(h: np.ndarray) -> bytes:
+    """The name of a set: 128 bits of a hash of its sorted shingles."""
+    return xxhash.xxh3_128_digest(h.tobytes())
 
 
 _PACKED = "part int, frag int, a binary, b binary"
@@ -111,18 +96,18 @@ def _packed_rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], ["part", "frag", "a", "b"])
 
 
-def packed_shingles(docs: DataFrame, fragments: int) -> DataFrame:
+def packed_shingles(rows: DataFrame, fragments: int) -> DataFrame:
     """A task's shingles in each fragment with the place of a set that holds them and how many do; the other places of such a pack
-    in fragment REPEATS; in fragment SETS the sizes and names of the task's sets.
+    in fragment REPEATS; in fragment SETS the sizes and names of the task's sets, in MEMBERS the keys of its rows and their sets' names.
 
-    Of equal sets in a task only the first is packed.
+    Of equal sets in a task only the first is packed. rows: key and text.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part = TaskContext.get().partitionId()
-        seen: set[int] = set()
+        seen: set[bytes] = set()
         sizes: list[int] = []
-        names: list[int] = []
+        names: list[bytes] = []
         held: list[np.ndarray] = []
         base = n_held = 0
 
@@ -148,29 +133,35 @@ def packed_shingles(docs: DataFrame, fragments: int) -> DataFrame:
                 yield _packed_rows(out)
 
         for batch in batches:
+            own: list[tuple[int, bytes]] = []
             for raw in utf8(batch["text"]):
                 h = shingle_hashes(raw)
-                if not len(h) or (nid := set_name(h)) in seen:
+                name = set_name(h)
+                own.append((len(h), name))
+                if not len(h) or name in seen:
                     continue
-                seen.add(nid)
+                seen.add(name)
                 held.append(h)
                 sizes.append(len(h))
-                names.append(nid)
+                names.append(name)
                 n_held += len(h)
                 if n_held >= PACK:
                     yield from packed()
                     base, held, n_held = len(sizes), [], 0
+            if own:
+                keys = batch["key"].to_numpy(zero_copy_only=False).astype(np.int64)
+                yield _packed_rows([(part, MEMBERS, _pack(np.concatenate([keys, [n for n, _ in own]])), b"".join(name for _, name in own))])
         if held:
             yield from packed()
         if sizes:
-            yield _packed_rows([(part, SETS, _pack(np.array(sizes)), _pack(np.array(names, np.int64)))])
+            yield _packed_rows([(part, SETS, _pack(np.array(sizes)), b"".join(names))])
 
-    return arrow_map(ids_and_text(docs), run, _PACKED)
+    return arrow_map(rows.select("key", F.col("doc.text").cast("string").alias("text")), run, _PACKED)
 
 
 def shared_shingles(packed: DataFrame) -> DataFrame:
     """For each fragment, the shingles of two or more sets, sent back to the tasks that packed them: place of the set and order key.
-    The rows of SETS and REPEATS go through unchanged, dealt out by task.
+    The rows of SETS, REPEATS and MEMBERS go through unchanged, dealt out by task.
     """
     sent = packed.repartition("frag", F.when(F.col("frag") < 0, F.col("part"))).sortWithinPartitions("frag")
 
@@ -213,34 +204,48 @@ def shared_shingles(packed: DataFrame) -> DataFrame:
     return arrow_map(sent, run, _PACKED)
 
 
-_LIVE = "nid long, uid long, n int, n_prefix int, keys array<long>"
+_LIVE = "key long, name1 long, name2 long, nid long, n int, n_prefix int, keys array<long>"
 
 
-def live_sets(packed: DataFrame) -> DataFrame:
-    """The sets that can be linked: their shared shingles in global order, and how many of them lie in the prefix."""
+def named_sets(packed: DataFrame) -> DataFrame:
+    """The rows of the table (key, name1 and name2 of their sets, n) and the sets that can be linked (nid, name1, name2, n, their shared
+    shingles in global order, and how many of them lie in the prefix); key is null in the latter, nid in the former."""
     rows = shared_shingles(packed).repartition("part").sortWithinPartitions("part", "frag")
+    columns = [x.split()[0] for x in _LIVE.split(", ")]
+
+    def named(names: bytes | np.ndarray) -> list[pa.Array]:
+        both = np.frombuffer(names, np.int64).reshape(-1, 2)
+        return [pa.array(both[:, 0]), pa.array(both[:, 1])]
+
+    def members(a: bytes, b: bytes) -> pa.RecordBatch:
+        keys, sizes = _unpack(a).view(np.int64).reshape(2, -1)
+        none = pa.nulls(len(keys), pa.int64())
+        return pa.RecordBatch.from_arrays([pa.array(keys), *named(b), none, pa.array(sizes, pa.int32()), pa.nulls(len(keys), pa.int32()), pa.nulls(len(keys), pa.list_(pa.int64()))], columns)
 
     def solve(part: int, head: tuple[bytes, bytes], parts: list[tuple[bytes, bytes]], repeats: list[tuple[bytes, bytes]]) -> Iterator[pa.RecordBatch]:
-        sizes, names = _unpack(head[0]).astype(np.int64), _unpack(head[1]).view(np.int64)
-        idx = np.concatenate([_unpack(a) for a, _ in parts]).astype(np.int64)
+        sizes, names = _unpack(head[0]).astype(np.int64), np.frombuffer(head[1], np.int64).reshape(-1, 2)
+        idx = np.concatenate([_unpack(a).astype(np.uint32) for a, _ in parts])
         key = np.concatenate([_unpack(b) for _, b in parts]).astype(np.int64)
+        parts.clear()
         if repeats:
             counted, at = np.unique(key & ((1 << BITS) - 1), return_index=True)
             again = np.concatenate([np.cumsum(_unpack(a)) for a, _ in repeats]).astype(np.int64)
-            idx = np.concatenate([idx, *(_unpack(b).astype(np.int64) for _, b in repeats)])
+            idx = np.concatenate([idx, *(_unpack(b).astype(np.uint32) for _, b in repeats)])
             key = np.concatenate([key, key[at[np.searchsorted(counted, again)]]])
-        order = np.lexsort((key, idx))
+            del counted, at, again
+        order = np.argsort(idx, kind="stable")
         idx, key = idx[order], key[order]
+        del order
         shared = np.bincount(idx, minlength=len(sizes))
+        begin = np.concatenate([[0], np.cumsum(shared)])
         prefix = sizes - (PERCENT * sizes + 99) // 100 + 1 - (sizes - shared)
         live = np.flatnonzero(prefix > 0)
         for cut in range(0, len(live), 500):
             own = live[cut : cut + 500]
-            mask = np.isin(idx, own)
             ends = np.concatenate([[0], np.cumsum(shared[own])])
-            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(key[mask]))
-            uid = (np.int64(part) << 32) + own
-            yield pa.RecordBatch.from_arrays([pa.array(names[own]), pa.array(uid), pa.array(sizes[own], pa.int32()), pa.array(prefix[own], pa.int32()), keys], ["nid", "uid", "n", "n_prefix", "keys"])
+            keys = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.sort(key[begin[i] : begin[i + 1]]) for i in own.tolist()])))
+            nid = (np.int64(part) << 32) + own
+            yield pa.RecordBatch.from_arrays([pa.nulls(len(own), pa.int64()), *named(names[own].tobytes()), pa.array(nid), pa.array(sizes[own], pa.int32()), pa.array(prefix[own], pa.int32()), keys], columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, head, parts, repeats = None, None, [], []
@@ -250,7 +255,9 @@ def live_sets(packed: DataFrame) -> DataFrame:
                     if head and parts:
                         yield from solve(now, head, parts, repeats)
                     now, head, parts, repeats = part, None, [], []
-                if frag == SETS:
+                if frag == MEMBERS:
+                    yield members(a, b)
+                elif frag == SETS:
                     head = (a, b)
                 else:
                     (repeats if frag == REPEATS else parts).append((a, b))
@@ -277,26 +284,27 @@ def links_of(pairs: DataFrame, segs: DataFrame) -> DataFrame:
     return total.where(F.col("overlap") * 100 >= (F.col("na") + F.col("nb") - F.col("overlap")) * PERCENT).select("a", "b")
 
 
+def are_stars(e: DataFrame) -> bool:
+    """Whether each node u of the edges (u, v), u > v, has one v, and no v is a u: then each v is the least of its component."""
+    ends = e.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(e.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return not ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up > 0 and down > 0").limit(1).count()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, root (the smallest node of its component) of each node with an edge (a, b), by large-star and small-star steps."""
-    def state(df: DataFrame) -> tuple:
-        return tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
-
     e = spool(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
-    before = state(e)
-    while before[0]:
+    while not are_stars(e):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = redealt(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = spool(large, "large-star")
+        large = spool(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(redealt(least), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
-        e = spool(small.distinct(), "small-star")
-        now = state(e)
-        if now == before:
-            break
-        before = now
-    return e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+        small = spool(small.distinct(), "small-star")
+        discard(e, large)
+        e = small
+    out = e.select(F.col("u").alias("node"), F.col("v").alias("root"))
+    out._spool_path = e._spool_path
+    return out
 
 
 def clusters(postings: DataFrame) -> DataFrame:
@@ -408,7 +416,6 @@ def link_components(live: DataFrame) -> DataFrame:
     unique_before = F.col("n") - F.size("keys")
     postings = live.select("nid", "n", unique_before.alias("alone"), first).select("nid", "n", F.col("col").alias("key"), (F.col("pos") + F.col("alone")).alias("pos"))
     postings = spool(postings, "postings")
-    edges: DataFrame | None = None
     labels: DataFrame | None = None
     for step in range(STAR_ROUNDS + 1):
         named = postings.withColumn("comp", F.col("nid")) if labels is None else (
@@ -428,53 +435,65 @@ def link_components(live: DataFrame) -> DataFrame:
             met = mixed.join(ends, ["key", "class"]).where(F.col("comp") != F.col("comp_b"))
             counted = met.groupBy(F.col("nid").alias("a"), F.col("n").alias("na"), "b", "nb").agg(F.count("*").alias("lists"))
             pairs = counted.groupBy("a", "na").agg(F.max(F.struct("lists", "b", "nb")).alias("best")).select("a", "na", F.col("best.b").alias("b"), F.col("best.nb").alias("nb"))
-            links = spool(links_of(spool(pairs, "pairs"), segs), "links")
+            pairs = spool(pairs, "pairs")
+            links = spool(links_of(pairs, segs), "links")
+            discard(pairs)
         else:
             # all that is left: sets of different components that share a posting list, in blocks
-            links = spool(block_links(clusters(named), live, labels), "links")
+            members = clusters(named)
+            links = spool(block_links(members, live, labels), "links")
         edges = links if labels is None else links.unionByName(labels.select(F.col("node").alias("a"), F.col("root").alias("b")))
-        labels = components(edges)
+        before, labels = labels, components(edges)
+        discard(before, links, named)
+    discard(postings)
     if labels is None:
         return live.limit(0).select(F.col("nid").alias("node"), F.col("nid").alias("root"))
     return labels
 
 
-def named_components(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The named sets of all rows; nid, root and low (no_id, doc_id, text_hash: the least row with that set, ids first) of each class."""
-    spark = docs.sparkSession
-    members = spool(set_names(docs), "sets")
-    shingles = members.agg(F.sum(F.col("n").cast("long"))).first()[0] or 0
-    fragments = min(max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-shingles // FRAGMENT)), (1 << 31) - 1)
-    live = spool(live_sets(packed_shingles(docs, fragments)), "live")
-    one = live.groupBy("nid").agg(F.min("uid").alias("uid"))
-    live = spool(live.join(one, ["nid", "uid"], "left_semi"), "live-one")
-    roots = link_components(live)
-    row = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")
-    classes = members.where(F.col("nid").isNotNull()).groupBy("nid").agg(F.min(row).alias("low"))
-    return members, classes.join(roots.select(F.col("node").alias("nid"), "root"), "nid", "left").withColumn("root", F.coalesce("root", "nid"))
+def named_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From rows (key, place, doc) of :func:`repeats.numbered_rows`: key, place, n, name1, name2 of each row, and of each class of equal
+    sets its name1, name2, place (the first row that holds it) and first (the first row of its component)."""
+    spark = rows.sparkSession
+    size = rows.agg(F.sum(F.octet_length(F.col("doc.text").cast("string"))).alias("n")).first()[0] or 0
+    fragments = min(max(256, 2 * int(spark.conf.get("spark.sql.shuffle.partitions")), size // SHINGLE_BYTES // FRAGMENT), (1 << 31) - 1)
+    sets = spool(named_sets(packed_shingles(rows, fragments)), "sets")
+    members = sets.where("key is not null").select("key", "n", "name1", "name2")
+    plain = dict(rows.dtypes)["place"] == "bigint"
+    members = members.withColumn("place", F.col("key")) if plain else members.join(rows.select("key", "place"), "key")
+    live = sets.where("key is null").drop("key")
+    one = live.groupBy("name1", "name2").agg(F.min("nid").alias("nid"))
+    live = spool(live.join(one, ["name1", "name2", "nid"], "left_semi"), "live")
+    roots = link_components(live.drop("name1", "name2"))
+    classes = members.where("n > 0").groupBy("name1", "name2").agg(F.min("place").alias("place"))
+    linked = live.select("name1", "name2", "nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("name1", "name2", F.coalesce("root", "nid").alias("root"))
+    classes = spool(classes.join(linked, ["name1", "name2"], "left"), "classes")
+    firsts = classes.where("root is not null").groupBy("root").agg(F.min("place").alias("first"))
+    return members, classes.join(redealt(firsts), "root", "left").withColumn("first", F.coalesce("first", "place")).drop("root")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and class_id (equal for equal sets, null without words) of each row."""
-    members, named = named_components(docs)
-    lows = named.groupBy("root").agg(F.min("low.doc_id").alias("component_id"))
-    found = spool(named.join(redealt(lows), "root").select("nid", "component_id"), "components")
-    out = members.join(found, "nid", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), F.col("nid").alias("class_id"))
+    members, classes = named_components(numbered_rows(docs.select("doc_id", "text")))
+    own = lambda c: F.col(c) if dict(members.dtypes)["place"] == "bigint" else F.col(f"{c}.id")
+    found = spool(classes.select("name1", "name2", own("first").alias("component_id")), "components")
+    out = members.withColumn("doc_id", own("place")).join(found, ["name1", "name2"], "left")
+    some = F.col("n") > 0
+    return out.select(
+        "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(some, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
+        F.when(some, F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("name1", "name2")])).alias("class_id"),
+    )
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of each component: the one with the smallest doc_id, then the smallest hash of its text; a row with a null id only where
-    the component has no id. Rows with unlike, unlinked texts stay even if they share an id or have none; rows without words stay, one of
-    those that are equal in id and text. All columns stay as they are."""
-    members, named = named_components(docs)
-    kept = named.groupBy("root").agg(F.min("low").alias("low")).select("low.doc_id", "low.text_hash")
-    kept = kept.unionByName(members.where(F.col("nid").isNull()).select("doc_id", "text_hash").distinct())
-    kept = kept.select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__text"))
-    names = docs.columns
-    rows = docs.withColumns({"__row_id": F.col("doc_id").cast("long"), "__row_text": text_hash()})
-    rows = rows.join(kept, F.col("__row_id").eqNullSafe(F.col("__id")) & (F.col("__row_text") == F.col("__text")))
-    return rows.dropDuplicates(["__row_id", "__row_text"]).select(*[F.col(f"`{n}`") for n in names])
+    """The first row of each component, by doc_id and then as :mod:`repeats` orders rows; a row with a null id only where the component has
+    no id. Unlike, unlinked texts stay even if they share an id or have none; rows without words are linked with nothing and stay. All
+    columns stay as they are."""
+    rows = numbered_rows(docs)
+    members, classes = named_components(rows)
+    key = F.col("first") if dict(rows.dtypes)["place"] == "bigint" else F.col("first.row")
+    kept = classes.select(key.alias("key")).distinct().unionByName(members.where("n = 0").select("key"))
+    return rows.join(spool(kept, "kept"), "key", "left_semi").select(*[F.col("doc").getField(n).alias(n) for n in docs.columns])
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """Language ID by hierarchical discrimination: the family first, then one-versus-one linear SVMs inside it.
 
-Features are square roots of hashed byte trigram counts of the whole lower-cased text, scaled to length one. The classifiers are
-fitted on the driver on a bounded sample of labelled rows (``PER_LANGUAGE`` of each of at most ``LANGUAGES`` languages, chosen by
-hash); prediction runs on every row where it lies. ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction.
+Features are square roots of hashed byte trigram counts of the whole lower-cased text, scaled to length one. A family has one linear
+SVM against all others, so their number grows with the families only; each two languages of a family have one between them. The
+classifiers are fitted on the driver on a bounded sample of labelled rows: about ``PER_LANGUAGE`` of each language, fewer where the
+languages would exceed ``MOST_ROWS`` together, but ``LEAST_ROWS`` at least, drawn by hash; no language is left out. Prediction runs
+on every row where it lies. ``lang``, ``source`` and ``doc_id`` are no inputs of a prediction.
 
 Defined cases: null text or text without a letter is ``und`` with score 0; rows with a null lang or null doc_id aren't learned from;
 with nothing to learn from, all is ``und``; with one language, each text with a letter gets it. A language that no family lists is a
-family of its own. Empty tables give no rows, repeated rows repeat.
+family of its own. Of equal margins the language or family first by name wins. Empty tables give no rows, repeated rows repeat, a text
+of any length is one row in memory, extra columns are ignored or, in :func:`keep_known`, kept as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -20,11 +23,12 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
 from .common import arrow_map, ids_and_text, release_memory, table, utf8
 
-#: Bounds of the training sample: documents of each language, languages, and rows in all (expected, by hash; a lower rate keeps all languages).
-PER_LANGUAGE, LANGUAGES, MOST_ROWS = 400, 32, 4000
+#: Bounds of the training sample, in expected rows: of each language, of all languages, and of each language where those are many.
+PER_LANGUAGE, MOST_ROWS, LEAST_ROWS = 400, 4000, 100
 DIMENSIONS = 1 << 12
 EPOCHS, COST = 12, 4.0
 UNKNOWN = "und"
@@ -42,87 +46,110 @@ FAMILIES = {
 _LETTER = regex.compile(r"\p{L}")
 
 
-def features(raw: bytes) -> np.ndarray:
-    """The feature vector of a whole text."""
+def counts(raw: bytes) -> np.ndarray:
+    """Square roots of the hashed trigram counts of a whole text."""
     a = np.frombuffer(b" " + raw.lower() + b" ", np.uint8).astype(np.uint32)
     code = (a[:-2] << 16 | a[1:-1] << 8 | a[2:]) * np.uint32(2654435761) >> np.uint32(20) if len(a) > 2 else np.zeros(0, np.uint32)
-    x = np.sqrt(np.bincount(code, minlength=DIMENSIONS)).astype(np.float32)
+    return np.sqrt(np.bincount(code, minlength=DIMENSIONS)).astype(np.float32)
+
+
+def features(raw: bytes) -> np.ndarray:
+    """The feature vector of a whole text."""
+    x = counts(raw)
     norm = float(np.sqrt(x @ x))
     return x / norm if norm else x
 
 
+#: A feature vector by its places and values that aren't 0.
+Sparse = tuple[np.ndarray, np.ndarray]
+
+
+def packed(x: np.ndarray) -> bytes:
+    """A feature vector as places (16 bits) and values (32 bits)."""
+    at = np.flatnonzero(x).astype(np.uint16)
+    return at.tobytes() + x[at].tobytes()
+
+
+def unpacked(raw: bytes) -> Sparse:
+    n = len(raw) // 6
+    return np.frombuffer(raw, np.uint16, n).astype(np.int64), np.frombuffer(raw[2 * n :], np.float32)
+
+
 def family_of(lang: str) -> str:
     return next((f for f, members in FAMILIES.items() if lang in members), f"={lang}")
 
 
-def fit_svm(x: np.ndarray, y: np.ndarray, seed: int = 7) -> np.ndarray:
-    """Weights and bias (last) of a linear SVM with squared hinge loss, by dual coordinate descent."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-    counts = {s: max(1, int((y == s).sum())) for s in (-1, 1)}
-    cost = np.where(y > 0, COST * len(y) / (2 * counts[1]), COST * len(y) / (2 * counts[-1]))
-    w, alpha = np.zeros(x.shape[1], np.float64), np.zeros(len(x))
-    q = np.einsum("ij,ij->i", x, x, dtype=np.float64) + 0.5 / cost
+def fit_svm(rows: list[Sparse], y: np.ndarray, seed: int = 7) -> np.ndarray:
+    """Weights and bias (last) of a linear SVM with squared hinge loss, by dual coordinate descent; both classes weigh the same."""
+    sizes = {s: max(1, int((y == s).sum())) for s in (-1, 1)}
+    slack = 1 / (COST * len(y) / np.where(y > 0, sizes[1], sizes[-1]))  # 1 / (2 cost)
+    w, bias, alpha = np.zeros(DIMENSIONS), 0.0, np.zeros(len(rows))
+    q = np.array([float(v @ v) + 1 for _, v in rows]) + slack
     rng = np.random.default_rng(seed)
     for _ in range(EPOCHS):
-        for i in rng.permutation(len(x)):
-            g = y[i] * (w @ x[i]) - 1 + alpha[i] * 0.5 / cost[i]
+        for i in rng.permutation(len(rows)).tolist():
+            at, value = rows[i]
+            g = y[i] * (w[at] @ value + bias) - 1 + alpha[i] * slack[i]
             new = max(alpha[i] - g / q[i], 0.0)
             if new != alpha[i]:
-                w += (new - alpha[i]) * y[i] * x[i]
+                step = (new - alpha[i]) * y[i]
+                w[at] += step * value
+                bias += step
                 alpha[i] = new
-    return w.astype(np.float32)
+    return np.append(w, bias).astype(np.float32)
+
+
+def certainty(margin: float) -> float:
+    """Between 0 and 1, one half at no margin."""
+    return float(1 / (1 + np.exp(-4 * np.clip(margin, -10, 10))))
 
 
 @dataclass
 class Model:
-    """Stacked binary machines. A vote of a machine goes to ``first`` where its margin is positive."""
+    """Stacked binary machines: one for each family (none where there is one family only), then one for each two languages of a family.
+    A vote of a machine goes to ``first`` where its margin is positive."""
 
     languages: list[str]
     families: list[str]
     machines: np.ndarray  # [n, DIMENSIONS + 1]
-    family_pairs: list[tuple[int, int]]  # machines 0.., by number of family
-    language_pairs: list[tuple[int, int]]  # the machines after them, by number of language
+    pairs: list[tuple[int, int]]  # the machines after those of families, by number of language
 
     @classmethod
-    def fit(cls, x: np.ndarray, langs: list[str]) -> Model:
+    def fit(cls, rows: list[Sparse], langs: list[str]) -> Model:
         languages = sorted(set(langs))
         families = sorted({family_of(v) for v in languages})
-        lang_no = np.array([languages.index(v) for v in langs], int)
-        fam_no = np.array([families.index(family_of(v)) for v in langs], int)
-        family_pairs = list(combinations(range(len(families)), 2))
-        language_pairs = [(a, b) for a, b in combinations(range(len(languages)), 2) if family_of(languages[a]) == family_of(languages[b])]
-        machines = []
-        for pairs, number in ((family_pairs, fam_no), (language_pairs, lang_no)):
-            for a, b in pairs:
-                own = (number == a) | (number == b)
-                machines.append(fit_svm(x[own], np.where(number[own] == a, 1, -1)))
-        return cls(languages, families, np.array(machines, np.float32).reshape(-1, DIMENSIONS + 1), family_pairs, language_pairs)
-
-    @staticmethod
-    def _choose(margins: np.ndarray, pairs: list[tuple[int, int]], members: list[int]) -> tuple[int, float]:
-        """The member with most votes (then the largest sum of margins), and the share of confidence it gets."""
-        if len(members) == 1:
-            return members[0], 1.0
-        votes, sums, least = dict.fromkeys(members, 0), dict.fromkeys(members, 0.0), {m: np.inf for m in members}
-        for m, (a, b) in zip(margins, pairs, strict=True):
-            if a in votes and b in votes:
-                votes[a if m > 0 else b] += 1
-                sums[a] += m
-                sums[b] -= m
-                least[a], least[b] = min(least[a], m), min(least[b], -m)
-        best = max(members, key=lambda v: (votes[v], sums[v], -v))
-        return best, float(1 / (1 + np.exp(-4 * np.clip(least[best], -10, 10))))
+        numbers = {v: i for i, v in enumerate(languages)}
+        lang_no = np.array([numbers[v] for v in langs], int)
+        fam_no = np.array([families.index(family_of(v)) for v in languages], int)[lang_no]
+        pairs = [(a, b) for a, b in combinations(range(len(languages)), 2) if family_of(languages[a]) == family_of(languages[b])]
+        machines = [fit_svm(rows, np.where(fam_no == f, 1, -1)) for f in range(len(families))] if len(families) > 1 else []
+        for a, b in pairs:
+            own = np.flatnonzero((lang_no == a) | (lang_no == b))
+            machines.append(fit_svm([rows[i] for i in own.tolist()], np.where(lang_no[own] == a, 1, -1)))
+        return cls(languages, families, np.array(machines, np.float32).reshape(-1, DIMENSIONS + 1), pairs)
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """Language and score (0 to 1) of each feature vector."""
         margins = x @ self.machines[:, :-1].T + self.machines[:, -1] if len(self.machines) else np.zeros((len(x), 0))
-        cut = len(self.family_pairs)
-        inside = {f: [i for i, v in enumerate(self.languages) if family_of(v) == name] for f, name in enumerate(self.families)}
+        cut = len(self.families) if len(self.families) > 1 else 0
+        members: list[list[int]] = [[i for i, v in enumerate(self.languages) if family_of(v) == name] for name in self.families]
+        between = [[k for k, (a, _) in enumerate(self.pairs) if a in own] for own in map(set, members)]
         out = []
         for m in margins:
-            fam, p = self._choose(m[:cut], self.family_pairs, list(range(len(self.families))))
-            lang, q = self._choose(m[cut:], self.language_pairs, inside[fam])
-            out.append((self.languages[lang], p * q))
+            fam, p = 0, 1.0
+            if cut:
+                fam = int(np.argmax(m[:cut]))
+                p = certainty((m[fam] - np.max(np.delete(m[:cut], fam))) / 2)
+            own = members[fam]
+            votes, sums, least = dict.fromkeys(own, 0), dict.fromkeys(own, 0.0), dict.fromkeys(own, np.inf)
+            for k in between[fam]:
+                (a, b), margin = self.pairs[k], m[cut + k]
+                votes[a if margin > 0 else b] += 1
+                sums[a] += margin
+                sums[b] -= margin
+                least[a], least[b] = min(least[a], margin), min(least[b], -margin)
+            best = max(own, key=lambda v: (votes[v], sums[v], -v))
+            out.append((self.languages[best], p * (certainty(least[best]) if len(own) > 1 else 1.0)))
         return out
 
 
@@ -135,16 +162,16 @@ def training_sample(docs: DataFrame) -> DataFrame:
     """lang and features of the bounded sample."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rows = rows.where(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.col("count").desc(), "lang").limit(LANGUAGES).collect()
-    if not counts:
+    sizes = rows.groupBy("lang").count().orderBy("lang").collect()  # a row for each language
+    if not sizes:
         return rows.limit(0).select("lang", F.lit(b"").alias("x"))
-    each = min(PER_LANGUAGE, MOST_ROWS / len(counts))
-    rates = F.create_map(*[F.lit(v) for r in counts for v in (r["lang"], min(1.0, each / r["count"]))])
-    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < F.coalesce(rates[F.col("lang")], F.lit(0.0)) * (1 << 30)
+    each = max(LEAST_ROWS, min(PER_LANGUAGE, MOST_ROWS / len(sizes)))
+    rates = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, each / r["count"]))])
+    drawn = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < rates[F.col("lang")] * (1 << 30)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            x = [features(raw).tobytes() for raw in utf8(batch["text"])]
+            x = [packed(features(raw)) for raw in utf8(batch["text"])]
             yield pa.RecordBatch.from_arrays([batch["lang"], pa.array(x, pa.binary())], ["lang", "x"])
 
     return arrow_map(rows.where(drawn).select("lang", "text"), run, "lang string, x binary")
@@ -155,13 +182,8 @@ def fit(docs: DataFrame) -> Model | None:
     sample = training_sample(docs).toArrow().sort_by([("lang", "ascending"), ("x", "ascending")])
     if not sample.num_rows:
         return None
-    x = np.empty((sample.num_rows, DIMENSIONS), np.float32)
-    for i, row in enumerate(sample["x"]):
-        x[i] = np.frombuffer(row.as_buffer(), np.float32)
-    langs = sample["lang"].to_pylist()
+    model = Model.fit([unpacked(x) for x in sample["x"].to_pylist()], sample["lang"].to_pylist())
     del sample
-    model = Model.fit(x, langs)
-    del x
     release_memory()  # the driver keeps nothing of the sample
     return model
 
@@ -169,9 +191,10 @@ def fit(docs: DataFrame) -> Model | None:
 def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
     """doc_id, the columns named by ``keep``, lang_pred and score of each row."""
     rows = docs.select("doc_id", "text", *keep)
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "text" or "text" in keep] + ["lang_pred string", "score double"])
-    names = [f.name for f in rows.schema if f.name != "text" or "text" in keep]
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # LANGUAGES bounds it
+    kept = [f for f in rows.schema if f.name != "text" or "text" in keep]
+    names = [f.name for f in kept]
+    schema = StructType([*kept, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # a machine (16 KB) for each family and each two languages of one
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value

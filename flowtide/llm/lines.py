@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from .common import arrow_map, table
 from .repeats import covered_units, later_runs, merged, numbered_rows
@@ -41,7 +42,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
     rows = numbered_rows(docs)
     names = docs.columns
     cut = covered_units(later_runs(rows, windows)).select("key", "spans")
-    kinds = ", ".join(f"`{f.name}`: {'string' if f.name == 'text' else f.dataType.simpleString()}" for f in docs.schema)
+    doc = StructType([StructField(f.name, StringType()) if f.name == "text" else f for f in docs.schema])
+    schema = StructType([StructField("doc", doc), StructField("n_lines", LongType()), StructField("n_removed", LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -58,7 +60,7 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
                 fields["text"] = pa.array(texts, pa.binary()).cast(pa.string())
                 yield pa.RecordBatch.from_arrays([pa.StructArray.from_arrays(list(fields.values()), names), pa.array(counts, pa.int64()), pa.array(removed, pa.int64())], ["doc", "n_lines", "n_removed"])
 
-    return arrow_map(rows.join(cut, "key", "left").select("doc", "spans"), run, f"doc struct<{kinds}>, n_lines long, n_removed long")
+    return arrow_map(rows.join(cut, "key", "left").select("doc", "spans"), run, schema)
 
 
 def clean_documents(docs: DataFrame) -> DataFrame:

@@ -3,6 +3,7 @@ import random
 import numpy as np
 
 from flowtide.llm import jaccard as J
+from flowtide.llm.repeats import numbered_rows
 
 SCHEMA = "doc_id long, text string"
 
@@ -68,10 +69,12 @@ def test_common_shingles(spark):
     whole = result(spark.createDataFrame(rows, SCHEMA).repartition(4))
     assert whole == brute(rows) and len({c for _, _, c in whole}) < len(rows) - 20
     df = spark.createDataFrame(rows, SCHEMA).repartition(3)
-    packed = J.packed_shingles(df, 1 << 20)
+    packed = J.packed_shingles(numbered_rows(df), 1 << 20)
     common = sum(len(J._unpack(r["a"])) for r in packed.where("frag >= 0").collect())
     assert common < sum(n for _, n, _ in whole) - 140 * 46 and packed.where(f"frag = {J.SETS}").count() == 3
-    keys = {r["nid"]: len(r["keys"]) for r in J.live_sets(packed).collect()}
+    sets = J.named_sets(packed).collect()
+    assert sorted(r["key"] for r in sets if r["key"] is not None) == [i for i, _ in rows]
+    keys = {r["nid"]: len(r["keys"]) for r in sets if r["key"] is None}
     assert all(n == 46 for n in keys.values()) and len(keys) == sum(n <= 61 for _, n, _ in whole[:150]) > 20  # longer sets can have no link
 
 
@@ -92,10 +95,19 @@ def test_drop_keeps_unlike_texts(spark):
     text = lambda salt: " ".join(f"{salt}{i}" for i in range(40))
     rows = [(None, text("a")), (None, text("b")), (None, text("b")), (7, text("c")), (7, text("d")), (7, text("d")), (9, text("e")), (None, text("e")), (None, text("f") + " g"), (None, text("f")), (8, ""), (8, ""), (None, None)]
     kept = sorted(map(tuple, J.drop_near_duplicates(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()), key=str)
-    assert len(kept) == 8
+    assert len(kept) == 9  # rows without words all stay
     assert set(kept) - {(None, text("f") + " g"), (None, text("f"))} == {(None, text("a")), (None, text("b")), (7, text("c")), (7, text("d")), (9, text("e")), (8, ""), (None, None)}
 
 
+def test_drop_with_clashing_names(spark):
+    rows = [(1, "a b c d e f", 1, "x", 2, 3), (2, "a b c d e f", 1, "x", 2, 3), (None, "q r s", 4, "y", 5, 6)]
+    names = "doc_id long, text string, __id long, key string, place long, n long, name1 long, doc string, `odd name` string"
+    df = spark.createDataFrame([(*r, 7, "d", "o") for r in rows], names)
+    for d in (df, df.where("doc_id = 1")):
+        kept = J.drop_near_duplicates(d)
+        assert kept.columns == df.columns and sorted(map(str, kept.collect())) == sorted(map(str, d.where("doc_id is null or doc_id = 1").collect()))
+
+
 def test_pack():
     x = np.array([0, 5, 2**40, 2**63], np.uint64)
     assert (J._unpack(J._pack(x)) == x).all()

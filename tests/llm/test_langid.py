@@ -40,9 +40,32 @@ def test_odd(spark, odd, empty):
     assert {r["lang_pred"] for r in langid.identify(one).collect()} == {"xx"}
 
 
+@pytest.fixture(scope="module")
+def many(spark):
+    """40 languages, sorted by language: each has letters of its own."""
+    letters = [chr(0x4E00 + 40 * k) for k in range(40)]
+    rows = [(40 * i + k, " ".join(c + chr(ord(c) + (i * j) % 7) + "a" for j in range(12)), f"l{k:02d}") for k, c in enumerate(letters) for i in range(90)]
+    return spark.createDataFrame(rows, "doc_id long, text string, lang string").repartitionByRange(8, "lang").cache()
+
+
+def test_many_languages(spark, many):
+    """No language is left out, and reruns over other partitions agree."""
+    got = langid.identify(many).collect()
+    truth = {r["doc_id"]: r["lang"] for r in many.collect()}
+    own = [r for r in got if r["held_out"]]
+    assert {r["lang_pred"] for r in got} == set(truth.values()) and sum(r["lang_pred"] == truth[r["doc_id"]] for r in own) > 0.95 * len(own)
+    assert sorted(map(tuple, langid.identify(many.repartition(3)).collect())) == sorted(map(tuple, got))
+
+
 def test_each_language_is_sampled(spark):
     """With many languages, clustered, each keeps its share of the sample; the same rows are drawn whatever the partitions."""
     rows = spark.range(0, 16 * 600).selectExpr("id as doc_id", "concat('word ', id) as text", "concat('l', id div 600) as lang")
     counts = [dict(langid.training_sample(rows.repartitionByRange(n, "doc_id")).groupBy("lang").count().collect()) for n in (2, 5)]
     assert counts[0] == counts[1] and len(counts[0]) == 16
     assert all(170 < n < 330 for n in counts[0].values()) and sum(counts[0].values()) < 1.1 * langid.MOST_ROWS
+
+
+def test_packed():
+    x = langid.features("Öl und Wasser, 日本".encode())
+    at, value = langid.unpacked(langid.packed(x))
+    assert (x[at] == value).all() and len(at) == (x > 0).sum()
