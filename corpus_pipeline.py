@@ -1,6 +1,10 @@
 """A corpus pipeline of five stages, each written and read again as Parquet in the shared folder.
 
 Language ID -> line dedup -> n-gram Jaccard join (one document of each group stays) -> mixing to target weights -> BPE.
+
+Defined cases, for every stage: nulls in any column, empty and very long texts, repeated rows, null or reused ids and an empty table are
+handled as the stage's operator says; columns of any name beside those of documents pass through all stages but the last. Rejected are
+texts without a letter and texts of an uncertain language; a text that line dedup empties stays as an empty document.
 """
 
 from __future__ import annotations
@@ -40,7 +44,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def bpe_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of the mixture's documents."""
-    return bpe.encode_and_decode(docs, cache_pieces=CACHE_PIECES)
+    return bpe.encode_and_decode(docs, cache_pieces=CACHE_PIECES, release=True)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
