@@ -16,4 +16,4 @@ QUERIES = {
     "op9_licenses": licenses.op9,
     "op10_bpe": bpe.op10,
 }
-ORACLES = {"op3_mix": mixing.ORACLE, "op8_line_dedup": lines.ORACLE}
+ORACLES = {"op3_mix": mixing.ORACLE, "op7_quality": quality.ORACLE, "op8_line_dedup": lines.ORACLE}

@@ -31,17 +31,45 @@ def test_counts(text):
 def test_bucket(spark):
     got = spark.range(0, 5000).select("id", quality.bucket(F.col("id")).alias("b")).collect()
     for r in got:
-        shift = max(0, r["id"].bit_length() - 5)
+        shift = max(0, r["id"].bit_length() - quality.BITS)
         assert r["b"] == r["id"] >> shift << shift
 
 
+def counted(spark, rows):
+    """Rows of (lang, source, n_symbols) as counts of texts with 998 characters in 98 words."""
+    columns = "lang string, source string, n_symbols long, word_chars long, n_dup_lines long, n_lines long, n_repeat_words long, n_words long"
+    return quality.rates(spark.createDataFrame([(*r, 998, 0, 8, 0, 98) for r in rows], columns))
+
+
 def test_sketches_merge(spark):
-    rows = spark.createDataFrame([("en" if i % 2 else None, f"s{i % 3}", i, 0, 0) for i in range(900)], "lang string, source string, symbol_rate long, dup_line_rate long, repeat_rate long")
-    half = quality.sketches(rows.where("symbol_rate < 300")).unionByName(quality.sketches(rows.where("symbol_rate >= 300")))
+    rows = counted(spark, [("en" if i % 2 else None, f"s{i % 3}", i) for i in range(900)])
+    half = quality.sketches(rows.where("n_symbols < 300")).unionByName(quality.sketches(rows.where("n_symbols >= 300")))
     a, b = (sorted(map(tuple, quality.merged_quantiles(x, ["lang"]).collect()), key=str) for x in (half, quality.sketches(rows)))
     assert a == b
     q = quality.merged_quantiles(half, []).where("metric = 'symbol_rate'").first()
-    assert abs(q["q1"] - 225) <= 16 and abs(q["q3"] - 675) <= 32
+    assert abs(q["q1"] - 226_000) <= 4096 and abs(q["q3"] - 676_000) <= 8192
+
+
+def test_fences_follow_a_metric(spark):
+    """A source that uses more symbols gets a fence further up, one with a wider spread a wider fence: no constant decides."""
+    low, high, wide = ([(("en", s, f(i))) for i in range(400)] for s, f in (("low", lambda i: 1 + i % 3), ("high", lambda i: 40 + i % 30), ("wide", lambda i: 1 + i % 60)))
+    got = {r["source"]: r["symbol_rate_fence"] for r in quality.fences(quality.sketches(counted(spark, low + high + wide))).collect()}
+    assert 3000 < got["low"] < 100_000 < got["high"] < got["wide"] < quality.UNIT
+    shifted = {r["source"]: r["symbol_rate_fence"] for r in quality.fences(quality.sketches(counted(spark, [(a, b, n + 20) for a, b, n in low]))).collect()}
+    assert shifted["low"] > got["low"]
+
+
+def test_oracle(spark, odd, tmp_path):
+    import duckdb
+
+    rows = odd.select("doc_id", "text", "lang", "source")
+    more = spark.range(600).selectExpr("100 + id as doc_id", "concat_ws(' ', transform(sequence(1, 12 + cast(id % 40 as int)), k -> concat(if((id * k) % 17 = 0, '#', 'w'), id % 7, '-', k))) as text", "concat('l', id % 2) as lang", "concat('s', id % 5) as source")
+    rows.unionByName(more).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = quality.op7(spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({quality.ORACLE})").fetchall()
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
 
 
 def test_verdicts(spark, odd, odd_rows, empty):
@@ -67,5 +95,5 @@ def test_fences_move_and_stay_reachable(spark):
     assert all(got[i]["kept"] for i in [*range(200), *range(1000, 1200), *range(3000, 3120)])
     assert not got[2000]["kept"] and not got[2001]["kept"]
     junk = [got[4000 + i] for i in range(80)]
-    assert all(r["dup_line_rate"] >= 450 and not r["base_failed"] and r["dup_line_rate_fence"] < 1000 for r in junk)
+    assert all(r["dup_line_rate"] >= 450_000 and not r["base_failed"] and r["dup_line_rate_fence"] < quality.UNIT for r in junk)
     assert not any(r["kept"] for r in junk)
