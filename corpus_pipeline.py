@@ -17,7 +17,7 @@ from flowtide.llm import bpe, jaccard, langid, lines, mixing
 from flowtide.llm.common import spool, table
 
 #: Documents whose language is less certain than this are rejected, as are those without a letter.
-LEAST_LANGUAGE_SCORE = 0.3
+LEAST_LANGUAGE_SCORE = 0.25
 #: Pieces in each generation of the encoder's cache: less memory than its default, since five stages share the workers.
 CACHE_PIECES = 100_000
 
