@@ -79,6 +79,18 @@ def annotation_overlap(scores: DataFrame, model: str, category: Column, review:
     return both.withColumns({f"{c}_ratio": F.try_divide(F.col(f"{c}_share"), F.col("base_share")) for c in ("review", "top")})
 
 
+def buffer_sensitivity(scores: DataFrame, model: str, near: dict[float, Column], review: Sequence[str], k: int) -> DataFrame:
+    """For each buffer width (hours) and period, the share of windows, review windows and daily top-k in an annotation or its buffer, and
+    their ratios to the share of all windows. near: what counts as such at each width. All widths are counted in one pass."""
+    each = F.explode(F.array(*[F.struct(F.lit(float(h)).alias("buffer_hours"), c.alias("near")) for h, c in near.items()])).alias("x")
+    hit = F.col(f"{model}_band").isin(*review)
+    part = lambda cond: F.try_divide(F.count_if(cond & F.col("x.near")), F.count_if(cond))
+    base = scores.select("period", hit.alias("hit"), each).groupBy("x.buffer_hours", "period").agg(part(F.lit(True)).alias("base_share"), part(F.col("hit")).alias("review_share"))
+    tops = top_per_day(scores, model, k).select("period", each).groupBy("x.buffer_hours", "period").agg(part(F.lit(True)).alias("top_share"))
+    both = base.join(tops, ["buffer_hours", "period"], "left")
+    return both.withColumns({f"{c}_ratio": F.try_divide(F.col(f"{c}_share"), F.col("base_share")) for c in ("review", "top")})
+
+
 def model_agreement(scores: DataFrame, a: str, b: str, top_n: int, k: int, review: Sequence[str]) -> DataFrame:
     """Per period: Spearman, Jaccard of the top n, mean overlap of daily top-k, and review counts."""
     rows = spooled(scores.select("period", "flow_date", "src_ip", "window_start", *[f"{m}_{c}" for m in (a, b) for c in ("raw", "band")]), "agreement")

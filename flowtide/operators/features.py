@@ -158,11 +158,15 @@ def with_stats(table: DataFrame, stats: DataFrame) -> DataFrame:
     return table.crossJoin(F.broadcast(stats))  # one row
 
 
+def largest_deviations(names: Sequence[str], k: int = 3) -> Column:
+    """The k largest deviations (a: absolute, to six places; f: feature; v: value; z), ties by name, last first."""
+    cells = F.array(*[F.struct(F.round(F.abs(robust_z(n)), 6).alias("a"), F.lit(n).alias("f"), F.col(n).cast("double").alias("v"), F.round(robust_z(n), 6).alias("z")) for n in names])
+    return F.slice(F.sort_array(F.filter(cells, lambda c: c["a"].isNotNull()), asc=False), 1, k)
+
+
 def top_deviations(names: Sequence[str], k: int = 3) -> Column:
     """The k largest deviations as text ``feature=value (z +x)``."""
-    cells = F.array(*[F.struct(F.abs(robust_z(n)).alias("a"), F.lit(n).alias("f"), F.col(n).cast("double").alias("v"), robust_z(n).alias("z")) for n in names])
-    top = F.slice(F.sort_array(F.filter(cells, lambda c: c["a"].isNotNull()), asc=False), 1, k)
-    return F.array_join(F.transform(top, lambda c: F.format_string("%s=%.2f (z %+.2f)", c["f"], c["v"], c["z"])), "; ")
+    return F.array_join(F.transform(largest_deviations(names, k), lambda c: F.format_string("%s=%.2f (z %+.2f)", c["f"], c["v"], c["z"])), "; ")
 
 
 def training_sample(table: DataFrame, train: Column, max_rows: int, n_days: int, seed: int, key: Column | None = None) -> DataFrame:

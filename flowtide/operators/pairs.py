@@ -29,8 +29,8 @@ class RelParams:
     novelty_lookback_days: float = 7
     baseline_lookback_days: float = 7
     warmup_days: float = 7
-    min_support: int = 3
-    log2_threshold: float = 1.0
+    min_support: int = 4
+    log2_threshold: float = 2.0
     group_by_port: bool = False
     group_by_protocol: bool = False
 
@@ -185,6 +185,41 @@ def analyze(flows: DataFrame, p: RelParams, out: str, start: datetime | None = N
     return {"start": begin, "end": until, "pair_windows": row["n"]}
 
 
+def copy_history(spark: SparkSession, path: str, target: str) -> None:
+    """The state of a run, written again elsewhere."""
+    for part in ("summary", "recent"):
+        spark.read.parquet(f"{path}/{part}").write.mode("overwrite").parquet(f"{target}/{part}")
+    spark.read.text(f"{path}/state").coalesce(1).write.mode("overwrite").text(f"{target}/state")
+
+
+def status_counts(signals: DataFrame) -> DataFrame:
+    """Pair windows of each novelty and each change status: signal, status, n."""
+    each = F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(f"{s}_status").alias("status")) for s in ("novelty", "change")]))
+    return signals.select(each.alias("x")).groupBy("x.signal", "x.status").agg(F.count("*").alias("n"))
+
+
+def top_new_pairs(evidence: DataFrame, p: RelParams, n: int) -> DataFrame:
+    """The n new or recently unseen pair windows with the most flows, then bytes; ties by window and pair."""
+    rows = evidence.where(F.col("novelty_status").isin("never_seen", "recently_unseen"))
+    return rows.orderBy(F.desc("flows"), F.desc(F.coalesce("bytes", F.lit(0.0))), "window_start", *p.pair_cols).limit(n)
+
+
+def top_changes(evidence: DataFrame, p: RelParams, n: int) -> DataFrame:
+    """The n pair windows that changed most, by absolute log2 change, then flows; ties by window and pair."""
+    rows = evidence.where(F.col("change_status").isin("increase", "decrease"))
+    return rows.orderBy(F.desc(F.round(F.abs("log2_change"), 9)), F.desc("flows"), "window_start", *p.pair_cols).limit(n)
+
+
+def top_hosts(signals: DataFrame, n: int = 10) -> DataFrame:
+    """The n hosts with the most new or recently unseen pair windows, then increases."""
+    of = lambda column, status: F.count_if(F.col(f"{column}_status") == status)
+    rows = signals.groupBy("src_ip").agg(
+        of("novelty", "never_seen").alias("never_seen"), of("novelty", "recently_unseen").alias("recently_unseen"), of("change", "increase").alias("increases"),
+        of("change", "decrease").alias("decreases"), F.countDistinct("window_start").alias("windows"),
+    )
+    return rows.orderBy(F.desc(F.col("never_seen") + F.col("recently_unseen")), F.desc("increases"), "src_ip").limit(n)
+
+
 def extend_features(table: DataFrame, host_windows: DataFrame) -> DataFrame:
     """The feature table with the six pair features."""
     cols = ["rel_pairs", "rel_new_dst", "rel_recently_unseen_dst", "rel_freq_increase", "rel_freq_decrease", "rel_max_abs_log2_change"]

@@ -13,7 +13,6 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.scalars import finite
-from ..sources.spool import spooled
 from .ordering import numbered, ordered_counts
 from .features import beyond_range, top_deviations, with_stats
 
@@ -48,32 +47,45 @@ def band_quantiles(bands: dict[str, float] | None = None, budgets: dict[str, flo
     return {name: 1 - b / windows_per_day for name, b in budgets.items()}
 
 
-def reference_scores(scores: DataFrame, raw: str, where: Column) -> DataFrame:
-    """All finite scores of the reference period."""
-    return scores.where(where).select(finite(F.col(raw)).alias("s")).where("s is not null")
+def reference_scores(scores: DataFrame, models: Sequence[str], where: Column) -> DataFrame:
+    """model and s: all finite scores of each model in the reference period."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), finite(F.col(f"{m}_raw")).alias("s")) for m in models]))
+    return scores.where(where).select(each.alias("x")).select("x.model", "x.s").where("s is not null")
 
 
-def calibrate(reference: DataFrame, model: str, quantiles: dict[str, float]) -> Cutoffs:
-    """Observed scores at place ceil(q (n - 1)), and the percentile grid at places floor(q (n - 1)); needs 10 scores."""
-    counted = spooled(ordered_counts(reference.select(F.lit(0).alias("g"), "s"), ["g"], "s"), "reference")
-    first = counted.agg(F.max("total")).first()[0]
-    n = first or 0
-    if n < 10:
-        raise BandError(f"{model}: {n} reference scores; 10 are needed")
-    cuts = {b: math.ceil(round(q * (n - 1), 9)) for b, q in quantiles.items()}
-    wanted = np.unique([*cuts.values(), *(m * (n - 1) // 100_000 for m in GRID)])
+def wanted_places(n: int, quantiles: dict[str, float]) -> tuple[dict[str, int], np.ndarray]:
+    """Of n ordered scores, the place ceil(q (n - 1)) of each band's cutoff, and the places floor(q (n - 1)) of the percentile grid."""
+    return {b: math.ceil(round(q * (n - 1), 9)) for b, q in quantiles.items()}, np.array([m * (n - 1) // 100_000 for m in GRID])
 
-    @F.pandas_udf("boolean")
-    def holds(before: pd.Series, times: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(wanted, before.to_numpy()) < np.searchsorted(wanted, (before + times).to_numpy()))
 
-    found = counted.where(holds("before", "times")).orderBy("before").select("s", (F.col("before") + F.col("times")).alias("upto")).collect()  # at most a row for each wanted place
-    values, upto = np.array([r["s"] for r in found]), np.array([r["upto"] for r in found])
-    pick = lambda i: float(values[np.searchsorted(upto, i, side="right")])
-    thresholds = {b: pick(i) for b, i in cuts.items()}
-    places = np.searchsorted(upto, np.array([m * (n - 1) // 100_000 for m in GRID]), side="right")
-    kept = np.unique(places)
-    return Cutoffs(model, n, thresholds, values[kept].tolist(), (upto[kept] / n).tolist())
+def calibrate(reference: DataFrame, models: Sequence[str], quantiles: dict[str, float]) -> dict[str, Cutoffs]:
+    """Observed scores at the wanted places of each model (rows of ``reference``: model, s); needs 10 scores.
+
+    One sort by range serves all models, and at most a row for each wanted place comes to the driver.
+    """
+    counted = ordered_counts(reference, ["model"], "s")
+
+    @F.pandas_udf("boolean")
+    def holds(before: pd.Series, times: pd.Series, total: pd.Series) -> pd.Series:
+        out = np.zeros(len(before), bool)
+        for n in total.unique().tolist():
+            cuts, grid = wanted_places(n, quantiles)
+            wanted, own = np.unique([*cuts.values(), *grid]), (total == n).to_numpy()
+            out[own] = np.searchsorted(wanted, before[own].to_numpy()) < np.searchsorted(wanted, (before + times)[own].to_numpy())
+        return pd.Series(out)
+
+    found = counted.where(holds("before", "times", "total")).select("model", "s", (F.col("before") + F.col("times")).alias("upto"), "total").collect()
+    out = {}
+    for m in models:
+        rows = sorted((r["upto"], r["s"], r["total"]) for r in found if r["model"] == m)
+        n = rows[0][2] if rows else 0
+        if n < 10:
+            raise BandError(f"{m}: {n} reference scores; 10 are needed")
+        upto, values = np.array([r[0] for r in rows]), np.array([r[1] for r in rows])
+        cuts, grid = wanted_places(n, quantiles)
+        kept = np.unique(np.searchsorted(upto, grid, side="right"))
+        out[m] = Cutoffs(m, n, {b: float(values[np.searchsorted(upto, i, side="right")]) for b, i in cuts.items()}, values[kept].tolist(), (upto[kept] / n).tolist())
+    return out
 
 
 def band(raw: Column, thresholds: dict[str, float], below: str = BELOW) -> Column:
@@ -119,6 +131,12 @@ def in_review(models: Sequence[str], review: Sequence[str] = REVIEW) -> Column:
     return out
 
 
+def beyond_range_counts(scores: DataFrame, models: Sequence[str], review: Sequence[str] = REVIEW) -> DataFrame:
+    """One row: windows outside training with an input beyond its training range, and those of them in no review band."""
+    beyond = (F.size("beyond_train_range") > 0) & (F.col("period") != "train")
+    return scores.agg(F.count_if(beyond).alias("windows_beyond"), F.count_if(beyond & ~in_review(models, review)).alias("not_in_review"))
+
+
 def best_band(models: Sequence[str], order: Sequence[str]) -> Column:
     """The highest band over the models."""
     out = F.lit(BELOW)

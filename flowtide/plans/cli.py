@@ -1,4 +1,7 @@
-"""Command line: profile, features, run, test, score-new, bands, search, docs."""
+"""Command line: profile, features, train, score, report, run, test, score-new, bands, search, docs.
+
+train fits and stores the models, score applies them to the development windows, report (or bands, with other bands) makes all outputs
+from what is stored; run does all three and the reserved period."""
 
 from __future__ import annotations
 
@@ -14,7 +17,8 @@ from ..sources.files import footer_rows
 from ..sources.flows import FIELDS
 from ..sources.profile import profile_days, profile_flows
 from .config import load_config
-from .runs import finalize, load_bundle, open_context, run_experiment, score, search, train_models
+from ..sources.spool import discard_all
+from .runs import finalize, load_bundle, open_context, run_experiment, score, score_development, search, train
 
 
 def documents() -> str:
@@ -26,7 +30,7 @@ def documents() -> str:
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Runs one command."""
     p = argparse.ArgumentParser(prog="flowtide", description=__doc__)
-    p.add_argument("command", choices=["profile", "features", "run", "test", "score-new", "bands", "search", "docs"])
+    p.add_argument("command", choices=["profile", "features", "train", "score", "report", "run", "test", "score-new", "bands", "search", "docs"])
     p.add_argument("--config")
     p.add_argument("--bundle")
     p.add_argument("--inputs", nargs="*", default=[])
@@ -50,13 +54,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         print(out)
         if cfg.split.test or (not cfg.split.train and cfg.split.fractions.get("test")):
             print(score(spark, cfg, load_bundle(Path(cfg.output) / "bundles" / bundle), cfg.inputs, "test"))
-    elif a.command == "bands":
+    elif a.command in ("train", "score", "report", "bands"):
         ctx = open_context(spark, cfg)
-        print(finalize(spark, ctx, train_models(ctx), Path(cfg.output) / "experiments" / ctx.id))
+        print(train(ctx) if a.command == "train" else score_development(ctx) if a.command == "score" else finalize(spark, ctx))
     elif a.command == "search":
         print(json.dumps(search(spark, cfg), default=str))
     else:
         print(score(spark, cfg, load_bundle(a.bundle), a.inputs or cfg.inputs, "test" if a.command == "test" else "new", a.history))
+    discard_all(spark)
     return 0
 
 

@@ -61,13 +61,17 @@ class BandSettings(Strict):
 
 
 class RelationshipSettings(Strict):
+    """Pair analysis. It is for the report only, unless include_model_features makes its host summaries inputs of the models."""
+
     enabled: bool = False
+    include_model_features: bool = False
     window_minutes: int | None = None
     novelty_lookback_days: float = 7
     baseline_lookback_days: float = 7
     warmup_days: float = 7
-    min_support: int = 3
-    log2_threshold: float = 1.0
+    min_support: int = 4
+    log2_threshold: float = 2.0
+    top_pairs: int = 25
     group_by_port: bool = False
     group_by_protocol: bool = False
 
@@ -77,6 +81,7 @@ class Config(Strict):
 
     inputs: list[str]
     output: str
+    allow_inside_repository: bool = False
     field_map: dict[str, str] = {}
     epoch_unit: str | None = None
     window_minutes: int = 60
@@ -99,6 +104,11 @@ class Config(Strict):
         for m in (self.window_minutes, self.relationships.window_minutes or self.window_minutes):
             if m <= 0 or 1440 % m:
                 raise ValueError("windows must divide a day")
+        r = self.relationships
+        if r.include_model_features and not r.enabled:
+            raise ValueError("relationships.include_model_features needs relationships.enabled")
+        if r.include_model_features and r.window_minutes not in (None, self.window_minutes):
+            raise ValueError("pair features join the host windows: relationships.window_minutes must be window_minutes")
         return self
 
     def rel_params(self) -> RelParams:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import chart_data as C
 from ..operators import diagnostics as D
+from ..operators import pairs as P
 from ..operators import ranking as R
 from ..operators.features import BY_NAME, PAIR_FEATURES
 from ..operators.ordering import quantiles
@@ -95,7 +96,19 @@ def chart_section(scores: DataFrame, cutoffs: dict[str, R.Cutoffs], review: Sequ
     return out
 
 
-def write_report(spark: SparkSession, out: Path, manifest: dict, cutoffs: dict[str, R.Cutoffs], review: Sequence[str] = R.REVIEW, pairs: str | None = None, top: int = 20) -> None:
+def pair_section(spark: SparkSession, pairs: str, p: P.RelParams, n: int) -> list[str]:
+    """Status counts, the largest new pairs and changes, and the hosts with most of them."""
+    signals, evidence = (spark.read.parquet(f"{pairs}/{x}") for x in ("pair_windows", "evidence"))
+    counts, hosts = P.status_counts(signals).orderBy("signal", "status"), P.top_hosts(signals)
+    new = [*p.pair_cols, "window_start", "novelty_status", "flows", "bytes", "last_seen_before", "reason"]
+    changed = [*p.pair_cols, "window_start", "change_status", "flows", "baseline_flows_median", "baseline_support", "log2_change", "reason"]
+    return [
+        "## Pairs", table(counts.columns, _rows(counts, *counts.columns)), "### New and recently unseen", table(new, _rows(P.top_new_pairs(evidence, p, n), *new)),
+        "### Largest changes", table(changed, _rows(P.top_changes(evidence, p, n), *changed)), "### Hosts with most new pairs", table(hosts.columns, _rows(hosts, *hosts.columns)),
+    ]
+
+
+def write_report(spark: SparkSession, out: Path, manifest: dict, cutoffs: dict[str, R.Cutoffs], review: Sequence[str] = R.REVIEW, pairs: str | None = None, top: int = 20, rel: P.RelParams | None = None, top_pairs: int = 25) -> None:
     """report.md and report.html of an experiment or a run."""
     daily = spark.read.parquet(str(out / "daily")).orderBy("flow_date")
     alerts, entities = (spark.read.parquet(str(out / n)) for n in ("alerts", "entities"))
@@ -106,8 +119,12 @@ def write_report(spark: SparkSession, out: Path, manifest: dict, cutoffs: dict[s
     parts += ["## Days", table(daily.columns, _rows(daily.limit(400), *daily.columns))]
     cols = ["alert_rank", "src_ip", "window_start", "review_band", "max_pct", "top_deviations", "trace_flow_count"]
     parts += ["## Candidates", table(cols, _rows(alerts.where(F.col("alert_rank") <= top).orderBy("alert_rank"), *cols))]
+    n, low = R.beyond_range_counts(spark.read.parquet(str(out / "scores")), models, review).first()
+    parts.append(f"Outside training, {n} windows have an input beyond its training range; {low} of them are in no review band. A model can't tell how far beyond they are.")
     cols = ["src_ip", "windows", "flows", *[f"{m}_review" for m in models]]
     parts += ["## Hosts", table(cols, _rows(entities.orderBy(F.desc(f"{models[0]}_review"), "src_ip").limit(top), *cols))]
+    if pairs and rel:
+        parts += pair_section(spark, pairs, rel, top_pairs)
     parts += ["## Warnings", *(f"- {w}" for w in manifest.get("warnings", [])), "## How to read this", *(f"- {n}" for n in NOTES)]
     text = "\n".join(parts)
     (out / "report.md").write_text("\n".join(p for p in text.split("\n") if not p.startswith("<figure")))

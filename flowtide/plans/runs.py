@@ -6,7 +6,7 @@ import hashlib
 import json
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass
-from datetime import date, datetime, time, timedelta
+from datetime import UTC, date, datetime, time, timedelta
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -19,13 +19,13 @@ from ..operators import pairs as P
 from ..operators import periods as PE
 from ..operators import ranking as R
 from ..operators.ordering import discrete_quantile
-from ..sources.files import check_outside
+from ..sources.files import check_outside, repository
 from ..sources.flows import Source, open_source
 from ..sources.spool import spooled
 from .config import Config, load_annotations
 from .report import write_report
 
-BUNDLE_VERSION = 1
+BUNDLE_VERSION = 2
 
 
 class RunError(ValueError):
@@ -46,9 +46,10 @@ def feature_table(spark: SparkSession, source: Source, names: Sequence[str], min
     """The features, from the cache where it has them; partitioned by day."""
     key = digest("features", source.fingerprint, list(names), minutes, sorted((n, m.source, m.conversion) for n, m in source.report.fields.items()))
     path = cache / f"features-{key}"
+    made = FT.host_window_features(source.flows, minutes, names)
     if rebuild or not (path / "_SUCCESS").exists():
-        FT.host_window_features(source.flows, minutes, names).write.mode("overwrite").partitionBy("flow_date").option("compression", "zstd").parquet(str(path))
-    return spark.read.parquet(str(path)).withColumn("flow_date", F.col("flow_date").cast("date")), key
+        made.write.mode("overwrite").partitionBy("flow_date").option("compression", "zstd").parquet(str(path))
+    return spark.read.schema(made.schema).parquet(str(path)), key
 
 
 @dataclass
@@ -97,10 +98,21 @@ def resolve_split(cfg: Config, days: Sequence[date]) -> list[PE.Period]:
     return periods
 
 
+def check_places(cfg: Config, inputs: Sequence[str], guard: str | None = None) -> None:
+    """Keeps data and what is made of it out of the checkout that this package runs from (or out of ``guard``), before anything is
+    created. ``allow_inside_repository`` is for made-up data: with input from elsewhere the output must still lie outside."""
+    guard = guard or repository()
+    if guard is None:
+        return
+    if not cfg.allow_inside_repository:
+        check_outside([*inputs, cfg.output], guard, "path")
+    elif not all(Path(p).resolve().is_relative_to(Path(guard).resolve()) for p in inputs):
+        check_outside([cfg.output], guard, "output for input from elsewhere")
+
+
 def open_context(spark: SparkSession, cfg: Config, rebuild: bool = False, guard: str | None = None) -> Context:
     """Open the input, build features, split, add pair features, screen."""
-    if guard:
-        check_outside([*cfg.inputs, cfg.output], guard, "path")
+    check_places(cfg, cfg.inputs, guard)
     source = open_source(spark, cfg.inputs, cfg.field_map, cfg.epoch_unit)
     names = FT.select_features(source.available_features(), [n for n in cfg.include or [] if n not in FT.PAIR_FEATURES] or None, [n for n in cfg.exclude if n not in FT.PAIR_FEATURES])
     table, key = feature_table(spark, source, names, cfg.window_minutes, Path(cfg.output) / "cache", rebuild)
@@ -113,7 +125,7 @@ def open_context(spark: SparkSession, cfg: Config, rebuild: bool = False, guard:
         if rebuild or not (out / "history").exists():
             P.analyze(source.flows, cfg.rel_params(), str(out), end=datetime.combine(test.start, time()) if test else None)
         ctx.pairs = str(out)
-        if cfg.rel_params().window_minutes == cfg.window_minutes:
+        if cfg.relationships.include_model_features:
             ctx.table = P.extend_features(table, spark.read.parquet(str(out / "host_windows")))
             ctx.features = names + [n for n in FT.PAIR_FEATURES if n not in cfg.exclude and (cfg.include is None or n in cfg.include)]
     quality = FT.feature_quality(ctx.table, ctx.features, ctx.train()).collect()
@@ -140,7 +152,7 @@ def calibrate(ctx_scores: DataFrame, ids: Sequence[str], where: Column, cfg: Con
     """Cutoffs and grids of all models from the reference period."""
     row = ctx_scores.where(where).agg((F.count("*") / F.countDistinct("flow_date")).alias("w")).first()
     q = R.band_quantiles(cfg.bands.quantiles, cfg.bands.budgets, row["w"])
-    return {m: R.calibrate(R.reference_scores(ctx_scores, f"{m}_raw", where), m, q) for m in ids}
+    return R.calibrate(R.reference_scores(ctx_scores, ids, where), ids, q)
 
 
 def write_outputs(out: Path, table: DataFrame, flows: DataFrame, ids: list[str], cutoffs: dict[str, R.Cutoffs], stats: DataFrame, hosts: DataFrame, features: list[str], period: Column, category: Column, cfg: Config) -> dict:
@@ -164,19 +176,52 @@ def write_outputs(out: Path, table: DataFrame, flows: DataFrame, ids: list[str],
 def run_experiment(spark: SparkSession, cfg: Config, rebuild: bool = False, guard: str | None = None) -> Path:
     """Train, score development windows, calibrate, write outputs, diagnostics, bundle and report. The test period isn't scored."""
     ctx = open_context(spark, cfg, rebuild, guard)
-    out = Path(cfg.output) / "experiments" / ctx.id
-    fitted = train_models(ctx)
-    raw = out / "raw_scores"
-    M.score_table(ctx.table.where(ctx.development()), fitted).write.mode("overwrite").parquet(str(raw))
-    finalize(spark, ctx, fitted, out)
+    out = train(ctx)
+    score_development(ctx)
     if cfg.robustness_seeds:
-        write_json(out / "robustness.json", robustness(ctx, fitted))
+        write_json(out / "robustness.json", robustness(ctx, stored_models(out)))
+    finalize(spark, ctx)
+    return out
+
+
+def experiment_dir(ctx: Context) -> Path:
+    return Path(ctx.cfg.output) / "experiments" / ctx.id
+
+
+def train(ctx: Context) -> Path:
+    """Fit and store the models."""
+    out, sums = experiment_dir(ctx), {}
+    for m in train_models(ctx):
+        data = m.to_bytes()
+        (out / "models").mkdir(parents=True, exist_ok=True)
+        (out / "models" / f"{m.spec.model_id}.npz").write_bytes(data)
+        sums[m.spec.model_id] = hashlib.sha256(data).hexdigest()
+    write_json(out / "models.json", {"order": list(sums), "sha256": sums})
     return out
 
 
-def finalize(spark: SparkSession, ctx: Context, fitted: list[M.FittedModel], out: Path, cfg: Config | None = None) -> Path:
-    """Everything after raw scores; with other bands it re-bands without a refit, under a new bundle id."""
-    cfg = cfg or ctx.cfg
+def stored_models(out: Path) -> list[M.FittedModel]:
+    """The models that :func:`train` stored."""
+    if not (out / "models.json").exists():
+        raise RunError(f"{out} holds no models: train first")
+    meta = json.loads((out / "models.json").read_text())
+    return [M.FittedModel.from_bytes((out / "models" / f"{n}.npz").read_bytes(), meta["sha256"][n]) for n in meta["order"]]
+
+
+def score_development(ctx: Context) -> Path:
+    """Raw scores of the stored models over the development windows."""
+    out = experiment_dir(ctx)
+    M.score_table(ctx.table.where(ctx.development()), stored_models(out)).write.mode("overwrite").parquet(str(out / "raw_scores"))
+    return out
+
+
+def finalize(spark: SparkSession, ctx: Context, cfg: Config | None = None) -> Path:
+    """Everything after raw scores, from the stored models and scores: nothing is fitted. With other bands it makes a new bundle, and the
+    manifest keeps a revision for each time."""
+    cfg, out = cfg or ctx.cfg, experiment_dir(ctx)
+    fitted = stored_models(out)
+    if not (out / "raw_scores" / "_SUCCESS").exists():
+        raise RunError(f"{out} holds no scores: score first")
     ids = [m.spec.model_id for m in fitted]
     raw = spark.read.parquet(str(out / "raw_scores"))
     reference = "validation" if ctx.period("validation") else "train"
@@ -187,9 +232,11 @@ def finalize(spark: SparkSession, ctx: Context, fitted: list[M.FittedModel], out
     stats, hosts = (spark.read.parquet(str(bundle / n)) for n in ("train_stats", "train_hosts"))
     counts = write_outputs(out, raw, ctx.source.flows, ids, cutoffs, stats, hosts, ctx.features, PE.period_label(ctx.periods, F.col("window_start")), ctx.category(), cfg)
     write_json(out / "diagnostics.json", diagnose(spark.read.parquet(str(out / "scores")), ids, cfg))
-    manifest = {"experiment": ctx.id, "bundle": bundle.name, "features": ctx.features, "periods": [asdict(p) for p in ctx.periods], "models": ids, "warnings": ctx.warnings, "fingerprint": ctx.source.fingerprint, "reference": reference, **counts}
+    past = json.loads((out / "manifest.json").read_text())["revisions"] if (out / "manifest.json").exists() else []
+    revision = {"at": datetime.now(UTC).isoformat(), "bands": cfg.bands.model_dump(), "reference": reference, "cutoffs": {m: c.thresholds for m, c in cutoffs.items()}, "bundle": bundle.name}
+    manifest = {"experiment": ctx.id, "bundle": bundle.name, "features": ctx.features, "periods": [asdict(p) for p in ctx.periods], "models": ids, "warnings": ctx.warnings, "fingerprint": ctx.source.fingerprint, "reference": reference, "revisions": [*past, revision], **counts}
     write_json(out / "manifest.json", manifest)
-    write_report(spark, out, manifest, cutoffs, cfg.bands.review, ctx.pairs)
+    write_report(spark, out, manifest, cutoffs, cfg.bands.review, ctx.pairs, rel=cfg.rel_params(), top_pairs=cfg.relationships.top_pairs)
     return bundle
 
 
@@ -245,7 +292,8 @@ def search(spark: SparkSession, cfg: Config) -> list[dict]:
 
 def save_bundle(ctx: Context, cfg: Config, fitted: list[M.FittedModel], cutoffs: dict[str, R.Cutoffs], stats: DataFrame, hosts: DataFrame, out: Path) -> Path:
     """Freeze models, mapping, cutoffs, grids, training references and pair history."""
-    bundle = Path(cfg.output) / "bundles" / digest(ctx.id, {m: c.thresholds for m, c in cutoffs.items()}, asdict(cfg.rel_params()) if cfg.relationships.enabled else None)
+    rel = {"params": asdict(cfg.rel_params()), "include_model_features": cfg.relationships.include_model_features} if cfg.relationships.enabled else None
+    bundle = Path(cfg.output) / "bundles" / digest(ctx.id, {m: c.thresholds for m, c in cutoffs.items()}, rel)
     bundle.mkdir(parents=True, exist_ok=True)
     sums = {}
     for m in fitted:
@@ -254,9 +302,11 @@ def save_bundle(ctx: Context, cfg: Config, fitted: list[M.FittedModel], cutoffs:
         sums[m.spec.model_id] = hashlib.sha256(data).hexdigest()
     stats.write.mode("overwrite").parquet(str(bundle / "train_stats"))
     hosts.write.mode("overwrite").parquet(str(bundle / "train_hosts"))
+    if ctx.pairs:
+        P.copy_history(stats.sparkSession, f"{ctx.pairs}/history", str(bundle / "history"))
     meta = {
         "version": BUNDLE_VERSION, "id": bundle.name, "experiment": ctx.id, "models": sums, "features": ctx.features, "window_minutes": cfg.window_minutes, "field_map": cfg.field_map, "epoch_unit": cfg.epoch_unit,
-        "sources": {n: m.source for n, m in ctx.source.report.fields.items() if m.status == "ok"}, "cutoffs": {m: asdict(c) for m, c in cutoffs.items()}, "periods": [asdict(p) for p in ctx.periods], "fingerprint": ctx.source.fingerprint,
+        "sources": {n: m.source for n, m in ctx.source.report.fields.items() if m.status == "ok"}, "cutoffs": {m: asdict(c) for m, c in cutoffs.items()}, "periods": [asdict(p) for p in ctx.periods], "fingerprint": ctx.source.fingerprint, "relationships": rel, "review": cfg.bands.review, "bands": list(cfg.bands.quantiles),
     }
     write_json(bundle / "bundle.json", meta)
     return bundle
@@ -288,9 +338,21 @@ def load_bundle(path: str | Path) -> Bundle:
         if m.features != meta["features"]:
             raise RunError(f"{name} has other inputs")
         models.append(m)
+    if meta["relationships"] and not (path / "history" / "state").exists():
+        raise RunError("the bundle lacks its pair history")
     return Bundle(path, meta, models, {m: R.Cutoffs(**c) for m, c in meta["cutoffs"].items()})
 
 
+def history_dir(bundle: Bundle, history: str | None) -> str:
+    """Where the pair history to continue lies: of a bundle or a run that is named, else the bundle's own."""
+    if history is None:
+        return str(bundle.path / "history")
+    for place in (Path(history) / "pairs" / "history", Path(history) / "history", Path(history)):
+        if (place / "state").exists():
+            return str(place)
+    raise RunError(f"{history} holds no pair history")
+
+
 def check_compatible(bundle: Bundle, source: Source) -> None:
     """The same source columns must be there and usable."""
     usable = {n: m.source for n, m in source.report.fields.items() if m.status == "ok"}
@@ -300,8 +362,10 @@ def check_compatible(bundle: Bundle, source: Source) -> None:
 
 
 def score(spark: SparkSession, cfg: Config, bundle: Bundle, inputs: Sequence[str], kind: str, history: str | None = None) -> Path:
-    """Score a reserved period (``test``) or new files (``new``) with frozen models, cutoffs and references. Nothing is fitted."""
+    """Score a reserved period (``test``) or new files (``new``) with frozen models, cutoffs, references and pair settings. Nothing is
+    fitted. Pair analysis continues the bundle's history, or that of the bundle or run that ``history`` names."""
     meta = bundle.meta
+    check_places(cfg, inputs)
     source = open_source(spark, inputs, meta["field_map"], meta["epoch_unit"])
     check_compatible(bundle, source)
     base = [n for n in meta["features"] if n not in FT.PAIR_FEATURES]
@@ -312,24 +376,36 @@ def score(spark: SparkSession, cfg: Config, bundle: Bundle, inputs: Sequence[str
         period = next((p for p in fixed if p.name == "test"), None)
         if period is None:
             raise RunError("the bundle has no test period")
+        if source.fingerprint != meta["fingerprint"]:
+            warnings.append("the input differs from the one that the bundle was developed on: this isn't the reserved period of the same data")
     else:
         row = table.agg(F.min("flow_date"), F.max("flow_date")).first()
+        if row[0] is None:
+            raise RunError("the new files hold no usable flows")
         period = PE.Period("new", row[0], row[1] + timedelta(days=1))
         if source.fingerprint == meta["fingerprint"]:
             warnings.append("these are the files that the models were trained on")
-        warnings += [f"overlaps {p.name}" for p in fixed if p.start < period.end and period.start < p.end]
-    run_id = digest(meta["id"], source.fingerprint, kind, [period.start, period.end], history)
+    warnings += [f"overlaps {p.name}: those windows fitted or calibrated the models" for p in fixed if p.name != "test" and p.start < period.end and period.start < p.end]
+    rel = meta["relationships"]
+    before = history_dir(bundle, history) if rel else None
+    run_id = digest(meta["id"], source.fingerprint, kind, [period.start, period.end], before)
     out = Path(cfg.output) / "runs" / run_id
     table = table.where(period.where(F.col("window_start")) & period.where_date(F.col("flow_date")))
-    if cfg.relationships.enabled:
+    if not table.limit(1).count():
+        raise RunError(f"no host windows in {period.name}, {period.start} to {period.end}")
+    analyzed = False
+    if rel:
+        params = P.RelParams(**rel["params"])
+        old = P.load_history(spark, before, params)
         try:
-            old = P.load_history(spark, history, cfg.rel_params()) if history else None
-            P.analyze(source.flows, cfg.rel_params(), str(out / "pairs"), datetime.combine(period.start, time()), datetime.combine(period.end, time()), old)
-            table = P.extend_features(table, spark.read.parquet(str(out / "pairs" / "host_windows")))
+            P.analyze(source.flows, params, str(out / "pairs"), datetime.combine(period.start, time()), datetime.combine(period.end, time()), old)
+            analyzed = True
         except P.RelationshipError as e:
-            if set(meta["features"]) & set(FT.PAIR_FEATURES):
+            if rel["include_model_features"]:  # the models need the summaries: no score from a history that isn't theirs
                 raise
             warnings.append(f"pair analysis left out: {e}")
+        if rel["include_model_features"]:
+            table = P.extend_features(table, spark.read.parquet(str(out / "pairs" / "host_windows")))
     if missing := [n for n in meta["features"] if n not in table.columns]:
         raise RunError(f"inputs are missing: {missing}")
     raw = M.score_table(table, bundle.models)
@@ -342,7 +418,7 @@ def score(spark: SparkSession, cfg: Config, bundle: Bundle, inputs: Sequence[str
     if kind == "test":
         info["use"] = ledger(Path(cfg.output) / "ledger.json", period, source.fingerprint, meta["id"], run_id)
     write_json(out / "run.json", info)
-    write_report(spark, out, info, bundle.cutoffs, cfg.bands.review, str(out / "pairs") if (out / "pairs" / "history").exists() else None)
+    write_report(spark, out, info, bundle.cutoffs, meta["review"], str(out / "pairs") if analyzed else None, rel=P.RelParams(**rel["params"]) if rel else None, top_pairs=cfg.relationships.top_pairs)
     return out
 
 

@@ -12,6 +12,7 @@ from datetime import date, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .functions.scalars import text_time
 from .operators import chart_data as C
@@ -22,7 +23,8 @@ from .operators import pairs as P
 from .operators import periods as PE
 from .operators import ranking as R
 from .operators.ordering import discrete_quantile
-from .sources.driver_tables import event_flows, lineitem_flows
+from .sources.driver_tables import event_export, event_flows, lineitem_flows
+from .sources.flows import build_mapping, canonical_flows
 from .sources.spool import spooled
 
 PERIODS = [PE.Period("train", date(2024, 1, 1), date(2024, 1, 16)), PE.Period("validation", date(2024, 1, 16), date(2024, 1, 23)), PE.Period("test", date(2024, 1, 23), date(2024, 1, 31))]
@@ -80,7 +82,7 @@ def scored(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cutoffs(s: DataFrame) -> dict[str, R.Cutoffs]:
-    return {m: R.calibrate(R.reference_scores(s, f"{m}_raw", F.col("period") == "validation"), m, R.BANDS) for m in MODELS}
+    return R.calibrate(R.reference_scores(s, MODELS, F.col("period") == "validation"), MODELS, R.BANDS)
 
 
 def banded(spark: SparkSession, d: str) -> DataFrame:
@@ -166,6 +168,17 @@ def flow_projection(spark: SparkSession, d: str) -> DataFrame:
     return rounded(FT.usable(FT.with_derived(event_flows(spark, d))).drop("source_file"))
 
 
+@query("flow_mapping", f"""WITH {_FLOWS} SELECT epoch_us(flow_start) AS start_us, 'ok' AS flow_start_status, epoch_us(flow_end) AS end_us, 'no_offset' AS flow_end_status, src_ip, dst_ip, dst_port, protocol, bytes, packets,
+  round(duration_s, 6) AS duration_s, dst_is_private, source_row_index FROM rows_""")
+def flow_mapping(spark: SparkSession, d: str) -> DataFrame:
+    """The table as a raw export, with text times, padded addresses, narrow integers and negative sizes, through the explicit mapping."""
+    raw = event_export(spark, d)
+    own = [f for f in raw.schema if not f.name.startswith("source_")]
+    report = build_mapping(StructType(own), {f.name: 1 for f in own}, 1)
+    rows = FT.usable(canonical_flows(raw, report))
+    return rounded(rows.select(F.unix_micros("flow_start").alias("start_us"), "flow_start_status", F.unix_micros("flow_end").alias("end_us"), "flow_end_status", "src_ip", "dst_ip", "dst_port", "protocol", "bytes", "packets", "duration_s", "dst_is_private", "source_row_index"))
+
+
 _TEXTS = ["2024-01-02 03:04:05", "2024-01-02T03:04:05Z", "2024-01-02 03:04:05.123456+05:30", "2024-01-02 03:04", "2024-02-30 00:00:00", "2024-01-02", "x", "2024-01-02 03:04:05 UTC", "2024-01-02 03:04:05-0330", "2024-01-02 03:04:05+15:00", None]
 _WANT = [("2024-01-02 03:04:05", "no_offset"), ("2024-01-02 03:04:05", "ok"), ("2024-01-01 21:34:05.123456", "ok"), ("2024-01-02 03:04:00", "no_offset"), (None, "invalid"), (None, "invalid"), (None, "invalid"), ("2024-01-02 03:04:05", "ok"), ("2024-01-02 06:34:05", "ok"), (None, "invalid"), (None, None)]
 _lit = lambda v: "NULL" if v is None else f"'{v}'"
@@ -180,11 +193,12 @@ def timestamp_parse_status(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("input_profile", f"""WITH {_FLOWS} SELECT count(*) AS n_rows, count(*) FILTER (WHERE bytes IS NULL) AS null_bytes, count(*) FILTER (WHERE packets IS NULL) AS null_packets, count(*) FILTER (WHERE dst_port IS NULL) AS null_ports,
-  count(*) FILTER (WHERE flow_end < flow_start) AS ends_before_start, count(*) FILTER (WHERE dst_is_private IS NULL) AS dst_not_ipv4, min(flow_start) AS first_start, max(flow_start) AS last_start, count(DISTINCT src_ip) AS n_src, count(DISTINCT dst_ip) AS n_dst FROM rows_""")
+  count(*) FILTER (WHERE flow_end < flow_start) AS ends_before_start, count(*) FILTER (WHERE dst_is_private IS NULL) AS dst_not_ipv4, min(flow_start) AS first_start, max(flow_start) AS last_start, count(DISTINCT src_ip) AS n_src, count(DISTINCT dst_ip) AS n_dst,
+  count(DISTINCT dst_port) AS n_ports, count(DISTINCT (src_ip, time_bucket(INTERVAL {MINUTES} MINUTE, flow_start, TIMESTAMP '2000-01-01'))) AS n_host_windows, 0 AS invalid_starts, 0 AS starts_without_offset FROM rows_""")
 def input_profile(spark: SparkSession, d: str) -> DataFrame:
     from .sources.profile import profile_flows
 
-    return profile_flows(event_flows(spark, d), exact=True)
+    return profile_flows(event_flows(spark, d), exact=True, minutes=MINUTES)
 
 
 @query("daily_profile", f"WITH {_FLOWS} SELECT CAST(flow_start AS DATE) AS flow_date, count(*) AS flows, count(DISTINCT src_ip) AS hosts FROM rows_ GROUP BY 1")
@@ -266,7 +280,7 @@ def band_budget(spark: SparkSession, d: str) -> DataFrame:
     s = scored(spark, d)
     row = s.where(F.col("period") == "validation").agg((F.count("*") / F.countDistinct("flow_date")).alias("w")).first()
     q = R.band_quantiles(budgets=_BUDGET, windows_per_day=row["w"])
-    c = R.calibrate(R.reference_scores(s, "a_raw", F.col("period") == "validation"), "a", q)
+    c = R.calibrate(R.reference_scores(s, ["a"], F.col("period") == "validation"), ["a"], q)["a"]
     return spark.createDataFrame([(b, round(q[b], 9), c.thresholds[b]) for b in _BUDGET], "band string, quantile double, cutoff double")
 
 
@@ -305,9 +319,7 @@ _DEV = "unnest([" + ", ".join(f"{{'a': round(abs({z}), 6), 'f': '{n}', 'v': CAST
 def alert_deviations(spark: SparkSession, d: str) -> DataFrame:
     b = banded(spark, d)
     rows = FT.with_stats(R.ranked_alerts(b, MODELS), FT.training_stats(b, SCORED, is_train()))
-    cells = F.array(*[F.struct(F.round(F.abs(FT.robust_z(n)), 6).alias("a"), F.lit(n).alias("f"), F.col(n).cast("double").alias("v"), F.round(FT.robust_z(n), 6).alias("z")) for n in SCORED])
-    top = F.slice(F.sort_array(F.filter(cells, lambda c: c["a"].isNotNull()), asc=False), 1, 3)
-    out = rows.select("src_ip", "window_start", F.posexplode(top).alias("p", "c"))
+    out = rows.select("src_ip", "window_start", F.posexplode(FT.largest_deviations(SCORED)).alias("p", "c"))
     return out.select("src_ip", "window_start", (F.col("p") + 1).alias("place"), F.col("c.f").alias("feature"), F.round("c.v", 6).alias("value"), F.round("c.z", 4).alias("z"))
 
 
@@ -389,6 +401,23 @@ def annotation_overlap(spark: SparkSession, d: str) -> DataFrame:
     return rounded(D.annotation_overlap(banded(spark, d), "a", category(), R.REVIEW, 10))
 
 
+_BUFFERS = (0, 6, 24)
+
+
+@query("annotation_buffers", f"""{_BD}, {_TOPK.format(src='banded')}, """ + ", ".join(f"""x{h} AS (SELECT {h}.0::DOUBLE AS buffer_hours, period, count(*) FILTER (WHERE {_OVER(h)}) / count(*) AS b, count(*) FILTER (WHERE ({_OVER(h)}) AND a_band IN ('Critical', 'High')) / nullif(count(*) FILTER (WHERE a_band IN ('Critical', 'High')), 0) AS r FROM banded GROUP BY period),
+  y{h} AS (SELECT period, count(*) FILTER (WHERE {_OVER(h)}) / count(*) AS t FROM top GROUP BY period)""" for h in _BUFFERS) + " " + " UNION ALL ".join(f"SELECT buffer_hours, period, round(b, 6) AS base_share, round(r, 6) AS review_share, round(t, 6) AS top_share, round(r / nullif(b, 0), 6) AS review_ratio, round(t / nullif(b, 0), 6) AS top_ratio FROM x{h} LEFT JOIN y{h} USING (period)" for h in _BUFFERS))
+def annotation_buffers(spark: SparkSession, d: str) -> DataFrame:
+    near = {h: PE.annotation_category(F.col("window_start"), F.col("window_end"), NOTES, h, ntz=True) != "outside" for h in _BUFFERS}
+    return rounded(D.buffer_sensitivity(banded(spark, d), "a", near, R.REVIEW, 10))
+
+
+@query("beyond_range", f"""{_BD} SELECT count(*) AS windows_beyond, count(*) FILTER (WHERE NOT {_REVIEW}) AS not_in_review FROM banded, stats WHERE period <> 'train' AND ({' OR '.join(f'CAST({n} AS DOUBLE) < min_{n} OR CAST({n} AS DOUBLE) > max_{n}' for n in SCORED)})""")
+def beyond_range(spark: SparkSession, d: str) -> DataFrame:
+    b = banded(spark, d)
+    rows = FT.with_stats(b, FT.training_stats(b, SCORED, is_train())).withColumn("beyond_train_range", FT.beyond_range(SCORED))
+    return R.beyond_range_counts(rows, MODELS)
+
+
 _RANKS = """r AS (SELECT *, rank() OVER (PARTITION BY period ORDER BY a_raw) AS ra, rank() OVER (PARTITION BY period ORDER BY b_raw) AS rb, row_number() OVER (PARTITION BY period ORDER BY a_raw DESC, src_ip, window_start) AS na, row_number() OVER (PARTITION BY period ORDER BY b_raw DESC, src_ip, window_start) AS nb,
   row_number() OVER (PARTITION BY period, flow_date ORDER BY a_raw DESC, src_ip, window_start) AS da, row_number() OVER (PARTITION BY period, flow_date ORDER BY b_raw DESC, src_ip, window_start) AS db FROM {src})"""
 
@@ -519,6 +548,27 @@ def pair_evidence(spark: SparkSession, d: str) -> DataFrame:
     return P.pair_evidence(signals(spark, d)).select("src_ip", "dst_ip", "window_start", "novelty_status", "change_status", "reason")
 
 
+@query("pair_status_counts", f"{_SIG} SELECT 'novelty' AS signal, novelty_status AS status, count(*) AS n FROM signals GROUP BY 2 UNION ALL SELECT 'change', change_status, count(*) FROM signals GROUP BY 2")
+def pair_status_counts(spark: SparkSession, d: str) -> DataFrame:
+    return P.status_counts(signals(spark, d))
+
+
+@query("pair_top_new", f"{_SIG} SELECT src_ip, dst_ip, window_start, novelty_status, flows, bytes FROM signals WHERE novelty_status IN ('never_seen', 'recently_unseen') ORDER BY flows DESC, coalesce(bytes, 0) DESC, window_start, src_ip, dst_ip LIMIT 25")
+def pair_top_new(spark: SparkSession, d: str) -> DataFrame:
+    return P.top_new_pairs(P.pair_evidence(signals(spark, d)), REL, 25).select("src_ip", "dst_ip", "window_start", "novelty_status", "flows", "bytes")
+
+
+@query("pair_top_changes", f"{_SIG} SELECT src_ip, dst_ip, window_start, change_status, flows, round(log2_change, 6) AS log2_change FROM signals WHERE change_status IN ('increase', 'decrease') ORDER BY round(abs(log2_change), 9) DESC, flows DESC, window_start, src_ip, dst_ip LIMIT 25")
+def pair_top_changes(spark: SparkSession, d: str) -> DataFrame:
+    return rounded(P.top_changes(P.pair_evidence(signals(spark, d)), REL, 25).select("src_ip", "dst_ip", "window_start", "change_status", "flows", "log2_change"))
+
+
+@query("pair_top_hosts", f"""{_SIG} SELECT src_ip, count(*) FILTER (WHERE novelty_status = 'never_seen') AS never_seen, count(*) FILTER (WHERE novelty_status = 'recently_unseen') AS recently_unseen, count(*) FILTER (WHERE change_status = 'increase') AS increases,
+  count(*) FILTER (WHERE change_status = 'decrease') AS decreases, count(DISTINCT window_start) AS windows FROM signals GROUP BY src_ip ORDER BY never_seen + recently_unseen DESC, increases DESC, src_ip LIMIT 10""")
+def pair_top_hosts(spark: SparkSession, d: str) -> DataFrame:
+    return P.top_hosts(signals(spark, d))
+
+
 @query("pair_state", f"{_PAIRS} SELECT src_ip, dst_ip, min(window_start) AS first_seen, max(window_start) AS last_seen, count(*) AS active_windows FROM pw GROUP BY src_ip, dst_ip")
 def pair_state(spark: SparkSession, d: str) -> DataFrame:
     """The summary of the first half merged with that of the second."""

@@ -26,6 +26,18 @@ def event_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def event_export(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same flows as a raw export has them: starts as text with an offset, ends as text without, padded addresses, negative sizes."""
+    text = lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    e = event_flows(spark, sf_dir)
+    return e.select(
+        F.concat(text(F.col("flow_start") + F.expr("INTERVAL '05:30' HOUR TO MINUTE")), F.lit("+05:30")).alias("flow_start_time"), text(F.col("flow_end")).alias("flow_end_time"),
+        F.concat(F.lit("  "), "src_ip", F.lit(" ")).alias("src_id_addr"), F.col("dst_ip").alias("dist_id_addr"), F.col("dst_port").cast("int").alias("dist_port"),
+        F.col("protocol").cast("short").alias("ip_protocol_id"), F.coalesce("bytes", F.lit(-1.0)).alias("num_bytes"), F.col("packets").cast("float").alias("num_packets"),
+        F.lit("x").alias("unused"), "source_file", "source_row_index",
+    )
+
+
 def lineitem_flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table lineitem as flows from suppliers to parts."""
     t = spark.read.parquet(f"{sf_dir}/lineitem.parquet")

@@ -71,6 +71,12 @@ def footer_rows(files: Sequence[SourceFile]) -> dict[str, int]:
     return {"min": min(rows), "max": max(rows), "sum": sum(rows)}
 
 
+def repository() -> str | None:
+    """The checkout that this package runs from; None where it is installed or shipped."""
+    root = Path(__file__).resolve().parents[2]
+    return str(root) if (root / ".git").exists() else None
+
+
 def check_outside(paths: Iterable[str], root: str, what: str, allow: Sequence[str] = ()) -> None:
     """Refuses paths inside a guarded folder, before anything is created."""
     guarded = Path(root).resolve()

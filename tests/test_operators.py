@@ -41,13 +41,13 @@ def test_periods():
 
 
 def test_calibration(spark):
-    c = R.calibrate(spark.range(1000).select(F.col("id").cast("double").alias("s")), "m", R.BANDS)
+    c = R.calibrate(spark.range(1000).select(F.lit("m").alias("model"), F.col("id").cast("double").alias("s")), ["m"], R.BANDS)["m"]
     assert list(c.thresholds.values()) == [999, 995, 990, 975]
     assert c.grid == sorted(set(c.grid)) and c.shares[-1] == 1.0
     df = spark.createDataFrame([(-1.0,), (0.0,), (500.5,), (5000.0,)], "x double").select(R.percentile_of(F.col("x"), c).alias("p"), R.band(F.col("x"), c.thresholds).alias("b"))
     assert [(round(r["p"], 3), r["b"]) for r in df.collect()] == [(0.0, R.BELOW), (0.001, R.BELOW), (0.501, R.BELOW), (1.0, "Critical")]
     with pytest.raises(R.BandError):
-        R.calibrate(spark.range(9).select(F.col("id").cast("double").alias("s")), "m", R.BANDS)
+        R.calibrate(spark.range(9).select(F.lit("m").alias("model"), F.col("id").cast("double").alias("s")), ["m"], R.BANDS)
     with pytest.raises(R.BandError):
         R.band_quantiles(budgets={"High": 10}, windows_per_day=5)
 

@@ -45,4 +45,4 @@ def test_all_reference_scores_count(spark):
 
     n = 5_000_100
     scores = spark.range(0, n + 2).selectExpr("cast(id as string) as src_ip", "timestamp_seconds(id) as window_start", f"case when id = {n} then double('nan') when id < {n} then double(id) end as a_raw")
-    assert reference_scores(scores, "a_raw", F.lit(True)).count() == n
+    assert reference_scores(scores, ["a"], F.lit(True)).count() == n

@@ -6,9 +6,12 @@ import pytest
 import yaml
 from pyspark.sql import functions as F
 
+from flowtide.operators import features as FT
 from flowtide.operators import models as M
+from flowtide.operators import pairs as P
 from flowtide.plans import cli, runs
 from flowtide.plans.config import ConfigError, load_annotations, load_config
+from flowtide.sources.files import SourceError
 from flowtide.sources.flows import open_source
 from flowtide.streaming.incremental import stream_pairs, windowed_flows
 
@@ -25,7 +28,7 @@ def project(tmp_path_factory):
     (root / "notes.yaml").write_text(yaml.safe_dump({"intervals": [{"name": "work", "start": day(1), "end": day(1)}]}))
     cfg = {
         "inputs": ["raw"], "output": "out", "annotations": "notes.yaml", "split": {"train": [day(0), day(4)], "validation": [day(4), day(6)], "test": [day(6), day(8)]},
-        "models": [{"kind": "iforest", "settings": {"n_estimators": 50}}, {"kind": "ocsvm", "max_rows": 400}], "relationships": {"enabled": True, "warmup_days": 1}, "exclude": ["rel_pairs", "rel_new_dst", "rel_recently_unseen_dst", "rel_freq_increase", "rel_freq_decrease", "rel_max_abs_log2_change"],
+        "models": [{"kind": "iforest", "settings": {"n_estimators": 50}}, {"kind": "ocsvm", "max_rows": 400}], "relationships": {"enabled": True, "warmup_days": 1},
         "robustness_seeds": [5],
     }
     (root / "config.yaml").write_text(yaml.safe_dump(cfg))
@@ -70,6 +73,69 @@ def test_new_files(spark, project, experiment):
         runs.check_compatible(b, other)
 
 
+def test_pair_features_are_a_choice(spark, project, experiment):
+    cfg = load_config(str(project / "config.yaml"))
+    assert not set(json.loads((experiment / "manifest.json").read_text())["features"]) & set(FT.PAIR_FEATURES)
+    with pytest.raises(ValueError):
+        load_config(str(project / "config.yaml"), {"relationships": {"include_model_features": True}})
+    with pytest.raises(ValueError):
+        load_config(str(project / "config.yaml"), {"relationships": {"enabled": True, "include_model_features": True, "window_minutes": 1440}})
+    chosen = cfg.model_copy(update={"relationships": cfg.relationships.model_copy(update={"include_model_features": True})})
+    ctx = runs.open_context(spark, chosen)
+    assert set(ctx.features) & set(FT.PAIR_FEATURES) and ctx.id != experiment.name
+
+
+def test_history_goes_on(spark, project, experiment):
+    """The reserved period continues the bundle's history: what the run says of pairs equals a single pass over all days."""
+    cfg, b = load_config(str(project / "config.yaml")), runs.load_bundle(bundle_of(project, experiment))
+    out = runs.score(spark, cfg, b, cfg.inputs, "test")
+    whole = project / "whole"
+    P.analyze(open_source(spark, cfg.inputs).flows, cfg.rel_params(), str(whole))
+    start = str((START + timedelta(days=6)).date())
+    rows = lambda d: sorted(map(str, spark.read.parquet(f"{d}/pair_windows").where(F.col("flow_date") >= start).drop("first_seen").collect()))
+    assert rows(out / "pairs") == rows(whole) and rows(whole)
+    other = load_config(str(project / "config.yaml"), {"relationships": {"enabled": True, "warmup_days": 3}})  # the bundle's parameters hold, not these
+    after = runs.score(spark, other, b, [str(project / "new")], "new", str(out))
+    statuses = {r[0] for r in spark.read.parquet(str(after / "pairs" / "pair_windows")).select("novelty_status").distinct().collect()}
+    assert statuses and "warmup" not in statuses
+    with pytest.raises(runs.RunError):
+        runs.score(spark, cfg, b, [str(project / "new")], "new", str(project / "raw"))
+    late = runs.score(spark, cfg, b, [str(project / "raw")], "new", str(out))  # older than that history: left out, since the models don't need it
+    assert any("pair analysis left out" in w for w in json.loads((late / "run.json").read_text())["warnings"])
+
+
+def test_bands_without_a_refit(spark, project, experiment, monkeypatch):
+    for kind in M.KINDS.values():
+        monkeypatch.setattr(kind, "fit", None)
+    before = json.loads((experiment / "manifest.json").read_text())
+    wider = project / "bands.yaml"
+    wider.write_text(yaml.safe_dump({"quantiles": {"Critical": 0.99, "High": 0.9}, "review": ["Critical", "High"]}))
+    assert cli.main(["bands", "--config", str(project / "config.yaml"), "--bands", str(wider)], spark) == 0
+    after = json.loads((experiment / "manifest.json").read_text())
+    assert after["experiment"] == before["experiment"] and after["bundle"] != before["bundle"] and after["alerts"] > before["alerts"]
+    assert [r["bundle"] for r in after["revisions"]] == [*[r["bundle"] for r in before["revisions"]], after["bundle"]]
+    assert cli.main(["report", "--config", str(project / "config.yaml")], spark) == 0
+    assert json.loads((experiment / "manifest.json").read_text())["bundle"] == before["bundle"]
+
+
+def test_nothing_to_score(spark, project, experiment, tmp_path):
+    cfg, b = load_config(str(project / "config.yaml")), runs.load_bundle(bundle_of(project, experiment))
+    rows = spark.read.parquet(str(project / "new"))
+    rows.where("false").coalesce(1).write.parquet(str(tmp_path / "none"))
+    with pytest.raises(runs.RunError):
+        runs.score(spark, cfg, b, [str(tmp_path / "none")], "new")
+
+
+def test_places(project):
+    cfg = load_config(str(project / "config.yaml"))
+    runs.check_places(cfg, cfg.inputs)
+    inside = str(Path(runs.repository()) / "out")
+    for update, inputs in (({"output": inside}, cfg.inputs), ({}, [inside]), ({"output": inside, "allow_inside_repository": True}, cfg.inputs)):
+        with pytest.raises(SourceError):
+            runs.check_places(cfg.model_copy(update=update), inputs)
+    runs.check_places(cfg.model_copy(update={"output": inside, "allow_inside_repository": True}), [inside])
+
+
 def test_tampering(project, experiment, tmp_path):
     import shutil
 
@@ -119,6 +185,6 @@ def test_streams(spark, project, tmp_path):
 
 def test_report_has_all_charts(experiment):
     page = (experiment / "report.html").read_text()
-    for title in ("windows over time", "bands over time", "reference quantile", "scores from", "highest percentile by host", "rarity of", "stability index", "review windows around", "pair windows by novelty"):
+    for title in ("windows over time", "bands over time", "reference quantile", "scores from", "highest percentile by host", "rarity of", "stability index", "review windows around", "pair windows by novelty", "New and recently unseen", "Largest changes", "Hosts with most new pairs", "beyond its training range"):
         assert title in page, title
     assert "<svg" not in (experiment / "report.md").read_text()
