@@ -1,7 +1,7 @@
 """Chat formatting: conversations through a compiled template, with a loss mask and an exact way back.
 
-Turns are rows. A conversation is dealt to one task, sorted by turn, and streamed through the template one turn at a time, so
-a conversation of any length needs the memory of one turn. Ties in ``turn`` are ordered by role, then text (nulls first). Null
+Turns are rows. A conversation is dealt to one task, sorted by turn, and streamed through the template as one rendering, so
+a conversation of any length needs the memory of two turns. Ties in ``turn`` are ordered by role, then text (nulls first). Null
 role or text is empty, rows with a null conv_id form one conversation with a null id, an empty table gives no rows, and
 columns other than the four are ignored.
 """
@@ -10,14 +10,15 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .chat_template import compile_template
+from .chat_template import Piece, Stream, compile_template
 from .common import arrow_map, table
 
 #: Turn marks of the default template; texts can't hold them unescaped.
@@ -61,10 +62,20 @@ def read_turns(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def format_turns(turns: list[dict], template: str = TEMPLATE) -> tuple[str, list[tuple[int, int]]]:
+FIELDS = ("role", "text")
+#: Turns and characters that a task gives out at once.
+FLUSH_TURNS, FLUSH_CHARS = 1000, 1 << 22
+
+
+def renderer(template: str, values: dict[str, str] | None = None) -> Callable[[dict], Iterator[Piece]]:
+    """The compiled template; it may read the turns, in one loop, and the named values."""
+    return compile_template(template, FILTERS, {"turns": None, **dict.fromkeys(values or {}, ())}, {"turns": FIELDS}, "turns")
+
+
+def format_turns(turns: list[dict], template: str = TEMPLATE, values: dict[str, str] | None = None) -> tuple[str, list[tuple[int, int]]]:
     """The formatted conversation and the spans (code points) under the loss mask."""
     out, spans, at = [], [], 0
-    for text, inside in compile_template(template, FILTERS)({"turns": turns}):
+    for text, inside in renderer(template, values)({**(values or {}), "turns": turns}):
         if inside and text:
             spans.append((at, at + len(text)))
         out.append(text)
@@ -75,35 +86,70 @@ def format_turns(turns: list[dict], template: str = TEMPLATE) -> tuple[str, list
 _TURN = "conv_id long, turn_no long, role string, formatted string, spans array<struct<start:long,end:long>>"
 
 
-def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
+def rendered_turns(rows: Iterator[tuple], render: Callable[[dict], Iterator[Piece]], values: dict[str, str]) -> Iterator[tuple]:
+    """(conv, number, role, formatted, spans) of each row (conv, role, text); a conversation's rows stand together, in order.
+
+    A conversation is one rendering, so loop state, and text before and after the loop, come out as the template says: what stands
+    before the first turn goes to it, what stands after the last one to that. A turn and the next one are held.
+    """
+    head = next(rows, None)
+    while head is not None:
+        conv, roles = head[0], deque()
+
+        def turns(conv: int | None = conv, roles: deque = roles) -> Iterator[dict]:
+            nonlocal head
+            while head is not None and head[0] == conv:
+                now, head = head, next(rows, None)
+                roles.append(now[1])
+                yield {"role": now[1] or "", "text": now[2] or ""}
+
+        number, pieces, spans, at = -1, [], [], 0
+        for piece, inside in render({**values, "turns": Stream(turns())}):
+            if inside is None:
+                if number >= 0:
+                    yield conv, number, roles.popleft(), "".join(pieces), spans
+                    pieces, spans, at = [], [], 0
+                number += 1
+                continue
+            if inside and piece:
+                spans.append({"start": at, "end": at + len(piece)})
+            pieces.append(piece)
+            at += len(piece)
+        if number >= 0:
+            yield conv, number, roles.popleft(), "".join(pieces), spans
+        while head is not None and head[0] == conv:  # a template whose loop lies in a branch that wasn't taken
+            head = next(rows, None)
+
+
+def format_conversations(conversations: DataFrame, template: str = TEMPLATE, values: dict[str, str] | None = None) -> DataFrame:
     """Each turn as the template writes it: conv_id, turn_no (0-based), role, formatted, spans.
 
     The formatted conversation is the concatenation over turn_no; ``spans`` are the turn's loss-mask spans, in code points of
-    ``formatted``. The template must render a list of turns as the concatenation of its turns.
+    ``formatted``. The template loops over ``turns`` once and may read ``values`` by name; other names are refused.
     """
+    values = values or {}
+    renderer(template, values)  # refuses here what it would refuse in the tasks
     rows = conversations.select(
         F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"),
         F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
     ).repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
+
+    def flushed(made: list[tuple]) -> pa.RecordBatch:
+        c = list(zip(*made, strict=True)) or [[]] * 5
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds, strict=True)], ["conv_id", "turn_no", "role", "formatted", "spans"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        render = compile_template(template, FILTERS)
-        last, number = object(), 0
-        for batch in batches:
-            made: list[tuple] = []
-            for conv, role, text in zip(batch["conv_id"].to_pylist(), batch["role"].to_pylist(), batch["text"].to_pylist(), strict=True):
-                number = number + 1 if conv == last else 0
-                last = conv
-                pieces, spans, at = [], [], 0
-                for piece, inside in render({"turns": ({"role": role or "", "text": text or ""},)}):
-                    if inside and piece:
-                        spans.append({"start": at, "end": at + len(piece)})
-                    pieces.append(piece)
-                    at += len(piece)
-                made.append((conv, number, role, "".join(pieces), spans))
-            c = list(zip(*made, strict=True)) or [[]] * 5
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.string(), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(c, kinds, strict=True)], ["conv_id", "turn_no", "role", "formatted", "spans"])
+        given = (row for batch in batches for row in zip(*(batch[c].to_pylist() for c in ("conv_id", "role", "text")), strict=True))
+        made: list[tuple] = []
+        chars = 0
+        for turn in rendered_turns(given, renderer(template, values), values):
+            made.append(turn)
+            chars += len(turn[3])
+            if len(made) >= FLUSH_TURNS or chars >= FLUSH_CHARS:
+                yield flushed(made)
+                made, chars = [], 0
+        yield flushed(made)
 
     return arrow_map(rows, run, _TURN)
 

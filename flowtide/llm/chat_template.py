@@ -6,7 +6,9 @@ attribute access on Python objects and no call except the named filters, so a te
 Syntax: ``{{ expr }}``, ``{% for x in expr %}..{% endfor %}``, ``{% if e %}..{% elif e %}..{% else %}..{% endif %}``,
 ``{% generation %}..{% endgeneration %}`` (marks text that a model is trained on), ``{# comment #}``. Expressions: names,
 dotted fields of mappings, string and integer literals, ``+ == != and or not in``, parentheses and filters ``expr | name``.
-``{%-`` and ``-%}`` strip the white space beside them. Missing names and null values render as empty.
+``{%-`` and ``-%}`` strip the white space beside them. Inside a loop, ``loop`` has index, index0, first, last, previtem and nextitem;
+an inner loop has its own. Null values and fields that an item lacks render as empty. Where the names that a template may read are
+given, any other name or field is refused when it is compiled; else missing names render as empty too.
 """
 
 from __future__ import annotations
@@ -16,8 +18,27 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 Scope = dict
+#: The fields of ``loop``.
+LOOP = ("index", "index0", "first", "last", "previtem", "nextitem")
+#: Names that a template may read, with the fields of each (None: any).
+Names = dict[str, tuple[str, ...] | None]
 #: One rendered piece: text and whether it lies in a generation block.
-Piece = tuple[str, bool]
+Piece = tuple[str, bool | None]
+
+
+class Stream:
+    """A sequence that can be looped over once. A loop over it gives out :data:`STEP` before each item."""
+
+    def __init__(self, items: Iterator) -> None:
+        self.items = items
+
+    def __iter__(self) -> Iterator:
+        return self.items
+
+
+#: The piece before each item of a stream: no text, and no place in or out of a generation block.
+STEP = ("", None)
+_END = object()
 
 
 class TemplateError(ValueError):
@@ -348,14 +369,91 @@ def _node(node: object, filters: dict) -> Callable[[Scope, bool], Iterator[Piece
     var, source, body = node.var, _expr(node.source, filters), _body(node.body, filters)
 
     def loop(scope: Scope, inside: bool) -> Iterator[Piece]:
-        for item in source(scope) or ():
-            yield from body({**scope, var: item}, inside)
+        items = source(scope) or ()
+        rest, before, index = iter(items), None, 0
+        item = next(rest, _END)
+        while item is not _END:
+            after = next(rest, _END)
+            if isinstance(items, Stream):
+                yield STEP
+            state = {"index": index + 1, "index0": index, "first": not index, "last": after is _END, "previtem": before, "nextitem": None if after is _END else after}
+            yield from body({**scope, var: item, "loop": state}, inside)
+            before, item, index = item, after, index + 1
 
     return loop
 
 
-def compile_template(source: str, filters: dict[str, Callable[[str], str]] | None = None) -> Callable[[Scope], Iterator[Piece]]:
-    """A function from a scope to the rendered pieces. Loops over iterators stream: no more than one item is held."""
+def check_names(node: object, names: Names, items: dict[str, tuple[str, ...]]) -> None:
+    """Refuses names and fields that aren't bound. items: for a sequence, the fields of its items."""
+    if isinstance(node, tuple):
+        for x in node:
+            check_names(x, names, items)
+    elif isinstance(node, Name):
+        head, *fields = node.path
+        if head not in names:
+            raise TemplateError(f"{head!r} isn't known")
+        known = names[head]
+        if fields and known is not None and fields[0] not in known:
+            raise TemplateError(f"{head!r} has no field {fields[0]!r}")
+        if head == "loop" and len(fields) > 1 and fields[0] in ("previtem", "nextitem") and names.get("loop items") is not None and fields[1] not in names["loop items"]:
+            raise TemplateError(f"items have no field {fields[1]!r}")
+    elif isinstance(node, For):
+        check_names(node.source, names, items)
+        fields = items.get(node.source.path[0]) if isinstance(node.source, Name) and len(node.source.path) == 1 else None
+        check_names(node.body, {**names, node.var: fields, "loop": LOOP, "loop items": fields}, items)
+    elif isinstance(node, If):
+        for cond, body in node.arms:
+            check_names(cond, names, items)
+            check_names(body, names, items)
+    elif isinstance(node, Generation):
+        check_names(node.body, names, items)
+    elif isinstance(node, Output):
+        check_names(node.expr, names, items)
+    elif isinstance(node, Filter):
+        check_names(node.arg, names, items)
+    elif isinstance(node, Op):
+        check_names(node.args, names, items)
+
+
+def uses(node: object, name: str) -> int:
+    """How often a name is read."""
+    if isinstance(node, Name):
+        return int(node.path[0] == name)
+    if isinstance(node, tuple):
+        return sum(uses(x, name) for x in node)
+    parts = getattr(node, "__dict__", {})
+    return sum(uses(x, name) for x in parts.values())
+
+
+def check_streamed(tree: tuple, name: str) -> None:
+    """Refuses a template unless its one use of ``name`` is a loop over it that is in no other loop: then it can be read once, in order."""
+
+    def loops(node: object) -> int:
+        if isinstance(node, tuple):
+            return sum(map(loops, node))
+        if isinstance(node, For):
+            return int(node.source == Name((name,)))
+        if isinstance(node, If):
+            return sum(loops(body) for _, body in node.arms)
+        return loops(node.body) if isinstance(node, Generation) else 0
+
+    if loops(tree) != 1 or uses(tree, name) != 1:
+        raise TemplateError(f"{name!r} must be looped over once and not be read otherwise")
+
+
+def compile_template(
+    source: str, filters: dict[str, Callable[[str], str]] | None = None, names: Names | None = None, items: dict[str, tuple[str, ...]] | None = None, streamed: str | None = None,
+) -> Callable[[Scope], Iterator[Piece]]:
+    """A function from a scope to the rendered pieces. Loops over iterators stream: no more than an item and the next one are held.
+
+    names: what may be read; items: the fields of a sequence's items; streamed: a sequence that must be read once.
+    """
     filters = filters or {}
-    run = _body(fold(parse(source, filters), filters), filters)
+    tree = parse(source, filters)
+    if names is not None:
+        check_names(tree, names, items or {})
+    tree = fold(tree, filters)
+    if streamed:
+        check_streamed(tree, streamed)
+    run = _body(tree, filters)
     return lambda scope: run(dict(scope), False)

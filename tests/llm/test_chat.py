@@ -1,4 +1,5 @@
 import hashlib
+import random
 
 import pytest
 from hypothesis import given, settings
@@ -20,6 +21,37 @@ def test_template_language():
     assert render("{{ missing.field }}|{{ not a and (b or 1) }}", {"a": 0}) == "|1"
 
 
+def test_loop_state():
+    source = "{% for t in turns %}{% if loop.first %}[{% endif %}{{ loop.index }}{% if loop.previtem and loop.previtem.role == t.role %}={% endif %}{% for x in t.parts %}{{ loop.index0 }}{% endfor %}{% if loop.last %}]{% else %},{% endif %}{% endfor %}"
+    assert render(source, {"turns": [{"role": "a", "parts": "xy"}, {"role": "a"}, {"role": "b"}]}) == "[101,2=,3]"
+
+
+CROSS = (
+    "{{ bos }}head {% for m in turns %}{% if loop.first %}FIRST {% endif %}{% if loop.previtem and loop.previtem.role == m.role %}again {% endif %}<{{ m.role }}>"
+    "{% generation %}{{ m.text }}{% endgeneration %}{% if loop.last %} LAST{% elif loop.nextitem.role == 'user' %} next{% endif %}{% endfor %} foot"
+)
+
+
+def test_whole_conversations(spark):
+    """What depends on other turns, and text around the loop, comes out as in one rendering, over batches of any size."""
+    rng = random.Random(2)
+    convs = {c: [(rng.choice(["user", "assistant", None]), rng.choice(["x", "", None, "y" * 40])) for _ in range(rng.randrange(1, 9))] for c in range(40)}
+    rows = [(c, i, r, t, None) for c, turns in convs.items() for i, (r, t) in enumerate(turns)]
+    got = {}
+    for r in sorted(chat.format_conversations(spark.createDataFrame(rows, CONV).repartition(5), CROSS, {"bos": "B"}).collect(), key=lambda r: (r["conv_id"], r["turn_no"])):
+        text, spans = got.setdefault(r["conv_id"], ("", []))
+        got[r["conv_id"]] = (text + r["formatted"], spans + [(len(text) + s["start"], len(text) + s["end"]) for s in r["spans"]])
+    for c, turns in convs.items():
+        assert got[c] == chat.format_turns([{"role": r or "", "text": t or ""} for r, t in turns], CROSS, {"bos": "B"})
+    assert got[0][0].startswith("Bhead FIRST <") and got[0][0].endswith(" LAST foot")
+
+
+@pytest.mark.parametrize("bad", ["{% for t in turns %}{{ bos_token }}{% endfor %}", "{% for t in turns %}{{ t.content }}{% endfor %}", "{% for t in turns %}{{ loop.length }}{% endfor %}", "{{ turns }}", "no loop", "{% for t in turns %}a{% endfor %}{% for t in turns %}b{% endfor %}", "{% for t in turns %}{% for u in turns %}{% endfor %}{% endfor %}"])
+def test_refused_templates(spark, bad):
+    with pytest.raises(TemplateError):
+        chat.format_conversations(spark.createDataFrame([], CONV), bad)
+
+
 def test_folding():
     assert fold(parse("a{{ 'b' + 'c' }}{% if 1 == 1 %}d{% else %}e{% endif %}{% if '' %}f{% endif %}", {}), {}) == (Text("abcd"),)
 
