@@ -147,6 +147,13 @@ def bin_of(value: Column, edges: Sequence[float]) -> Column:
     return out.otherwise(F.lit(len(edges)))
 
 
+def training_edges(table: DataFrame, names: Sequence[str], train: Column, parts: int = 10) -> dict[str, list[float]]:
+    """Quantiles of each feature in training, which bound the bins of its drift; a feature without a value there has none."""
+    cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), F.col(n).cast("double").alias("v")) for n in names]))
+    rows = quantiles(table.where(train).select(cells.alias("c")).select("c.*"), ["feature"], "v", [i / parts for i in range(1, parts)])
+    return {r["feature"]: sorted({q for q in r["q"] if q is not None}) for r in rows.collect() if r["q"] is not None}
+
+
 def feature_drift(table: DataFrame, edges: dict[str, list[float]], train: Column, bucket: Column) -> DataFrame:
     """Population stability index of each feature and time bucket against training; all features in one pass, shares floored."""
     cells = F.explode(F.array(*[F.struct(F.lit(n).alias("feature"), bin_of(F.col(n), e).alias("bin")) for n, e in edges.items()]))

@@ -92,6 +92,12 @@ def annotation_category(start: Column, end: Column, annotations: Sequence[Annota
     return first_match(arms, "outside")
 
 
+def day_category(day: Column, annotations: Sequence[Annotation], buffer_hours: float, ntz: bool = False) -> Column:
+    """The category of a whole day."""
+    at = lambda d: d.cast("timestamp_ntz" if ntz else "timestamp")
+    return annotation_category(at(day), at(F.date_add(day, 1)), annotations, buffer_hours, ntz)
+
+
 def annotation_names(start: Column, end: Column, annotations: Sequence[Annotation], buffer_hours: float, ntz: bool = False) -> Column:
     """Names of the intervals that a row touches, buffers included, joined by commas; null if none."""
     names = [F.when(_overlaps(start, end, a, buffer_hours, ntz), F.lit(a.name)) for a in annotations]

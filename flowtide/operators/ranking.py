@@ -190,13 +190,15 @@ def alert_traces(alerts: DataFrame, flows: DataFrame, top_n: int, k: int) -> Dat
     )
 
 
-def daily_summary(scores: DataFrame, models: Sequence[str], order: Sequence[str] = tuple(BANDS), below: str = BELOW) -> DataFrame:
-    """Per flow_date: period, windows, hosts, flows, counts of each band, maxima."""
+def daily_summary(scores: DataFrame, models: Sequence[str], order: Sequence[str] = tuple(BANDS), below: str = BELOW, day_category: Column | None = None) -> DataFrame:
+    """Per flow_date: period, windows, hosts, flows, counts of each band, maxima, and the annotation category of the day, an expression
+    over flow_date."""
     aggs = [F.max("period").alias("period"), F.count("*").alias("windows"), F.countDistinct("src_ip").alias("hosts"), F.sum("flows").alias("flows")]
     for m in models:
         aggs += [F.count_if(F.col(f"{m}_band") == b).alias(f"{m}_{b.lower()}") for b in order]
         aggs += [F.count_if(F.col(f"{m}_band") == below).alias(f"{m}_below"), F.max(f"{m}_raw").alias(f"{m}_max_raw"), F.max(f"{m}_pct").alias(f"{m}_max_pct")]
-    return scores.groupBy("flow_date").agg(*aggs)
+    out = scores.groupBy("flow_date").agg(*aggs)
+    return out if day_category is None else out.withColumn("day_category", day_category)
 
 
 def entity_summary(scores: DataFrame, models: Sequence[str], review: Sequence[str] = REVIEW) -> DataFrame:

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import html
+from bisect import bisect_left
 from collections.abc import Sequence
+from dataclasses import dataclass
+from datetime import date, datetime, time, timedelta
 
 COLOURS = ["#4a6fa5", "#c8553d", "#588b8b", "#e0a030", "#7a5195", "#8d99ae"]
 WIDTH, HEIGHT, PAD = 720, 180, 8
@@ -22,19 +25,42 @@ def _scale(values: Sequence[float], size: float, flip: bool = False) -> dict[flo
     return {v: size - at(v) if flip else at(v) for v in values}
 
 
-def bars(values: Sequence[tuple[object, float]], title: str) -> str:
-    """Bars in the given order."""
-    return stacked([(n, "", v) for n, v in values], title)
+@dataclass(frozen=True)
+class Backdrop:
+    """What lies behind bars over time: annotated spans (start, end, opacity), and where periods start."""
 
+    spans: Sequence[tuple[datetime, datetime, float]] = ()
+    marks: Sequence[tuple[str, datetime]] = ()
 
-def stacked(cells: Sequence[tuple[object, str, float]], title: str) -> str:
+    def draw(self, buckets: Sequence[date], step: float) -> str:
+        """Spans cover each bucket that they touch; a bucket lasts as long as the shortest distance of two, or a day."""
+        at = [b if isinstance(b, datetime) else datetime.combine(b, time()) for b in buckets]
+        long = min((b - a for a, b in zip(at, at[1:], strict=False)), default=timedelta(days=1))
+        out = []
+        for start, end, opacity in self.spans:
+            hit = [i for i, t in enumerate(at) if t < end and t + long > start]
+            if hit:
+                out.append(f'<rect class="span" x="{hit[0] * step:.1f}" y="0" width="{(hit[-1] + 1 - hit[0]) * step:.1f}" height="{HEIGHT}" fill="#999999" fill-opacity="{opacity}"/>')
+        for name, start in self.marks:
+            if at and at[0] <= start < at[-1] + long:
+                x = bisect_left(at, start) * step
+                out.append(f'<line class="mark" x1="{x:.1f}" y1="0" x2="{x:.1f}" y2="{HEIGHT}" stroke="#333333" stroke-dasharray="4 3"/><text x="{x + 3:.1f}" y="10" font-size="10">{html.escape(name)}</text>')
+        return "".join(out)
+
+
+def bars(values: Sequence[tuple[object, float]], title: str, behind: Backdrop | None = None) -> str:
+    """Bars in the given order; with a backdrop the buckets are dates or times in order."""
+    return stacked([(n, "", v) for n, v in values], title, behind)
+
+
+def stacked(cells: Sequence[tuple[object, str, float]], title: str, behind: Backdrop | None = None) -> str:
     """Stacked bars of (bucket, series, value)."""
     buckets, series = list(dict.fromkeys(c[0] for c in cells)), list(dict.fromkeys(c[1] for c in cells))
     sums: dict[object, float] = {}
     for b, _, v in cells:
         sums[b] = sums.get(b, 0.0) + v
     most, step = max(sums.values(), default=0.0) or 1.0, WIDTH / max(1, len(buckets))
-    base, out = dict.fromkeys(buckets, 0.0), []
+    base, out = dict.fromkeys(buckets, 0.0), [behind.draw(buckets, step)] if behind else []
     for b, s, v in cells:
         tall = v / most * HEIGHT
         base[b] += tall

@@ -13,6 +13,7 @@ import yaml
 from pyspark.sql import SparkSession
 
 from ..operators.features import FEATURES, PAIR_FEATURES
+from ..sources.contract import load_contract
 from ..sources.files import footer_rows
 from ..sources.flows import FIELDS
 from ..sources.profile import profile_days, profile_flows
@@ -21,10 +22,10 @@ from ..sources.spool import discard_all
 from .runs import finalize, load_bundle, open_context, run_experiment, score, score_development, search, train
 
 
-def documents() -> str:
-    """Reference of features and fields, generated from the registries."""
+def documents(contract: str | None = None) -> str:
+    """Reference of features, fields and raw columns, generated from the registries and the contract."""
     lines = ["# Features", *(f"- `{f.name}`: {f.doc}; needs {', '.join(f.needs) or 'nothing'}" for f in FEATURES), *(f"- `{n}`: pair analysis" for n in PAIR_FEATURES), "# Fields", *(f"- `{f.name}` <- `{f.default}` ({f.kind}{', required' if f.required else ''})" for f in FIELDS)]
-    return "\n".join(lines)
+    return "\n".join([*lines, load_contract(contract).to_markdown()])
 
 
 def main(args: list[str] | None = None, spark: SparkSession | None = None) -> int:
@@ -38,14 +39,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     p.add_argument("--bands", help="YAML with band settings")
     a = p.parse_args(args)
     if a.command == "docs":
-        print(documents())
+        print(documents(load_config(a.config).contract if a.config else None))
         return 0
     cfg = load_config(a.config, {"bands": yaml.safe_load(Path(a.bands).read_text())} if a.bands else None)
     spark = spark or SparkSession.builder.appName("flowtide").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     if a.command in ("profile", "features"):
         ctx = open_context(spark, cfg)
         if a.command == "profile":
-            print(json.dumps({"footers": footer_rows(ctx.source.files), "flows": profile_flows(ctx.source.flows).first().asDict(), "days": [r.asDict() for r in profile_days(ctx.source.flows).collect()]}, default=str))
+            print(json.dumps({"footers": footer_rows(ctx.source.footers), "flows": profile_flows(ctx.source.flows).first().asDict(), "days": [r.asDict() for r in profile_days(ctx.source.flows).collect()]}, default=str))
         else:
             print(ctx.features)
     elif a.command == "run":

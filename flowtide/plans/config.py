@@ -13,6 +13,8 @@ from pydantic import BaseModel, ConfigDict, model_validator
 from ..operators.pairs import RelParams
 from ..operators.periods import Annotation
 from ..operators.ranking import BANDS
+from ..sources.contract import load_contract
+from ..sources.flows import FIELDS
 
 
 class ConfigError(ValueError):
@@ -76,12 +78,24 @@ class RelationshipSettings(Strict):
     group_by_protocol: bool = False
 
 
+class DiagnosticSettings(Strict):
+    """Daily top-k, top n of a period, buffer widths (hours) that are compared, rows in one model's top but not the other's, and the
+    quantile of training scores beyond which a refit leaves rows out."""
+
+    top_k_per_day: int = 20
+    top_n: int = 200
+    buffers: list[float] = [0, 24, 72, 168]
+    disagreements: int = 15
+    trim_quantile: float = 0.99
+
+
 class Config(Strict):
     """All settings."""
 
     inputs: list[str]
     output: str
     allow_inside_repository: bool = False
+    contract: str | None = None
     field_map: dict[str, str] = {}
     epoch_unit: str | None = None
     window_minutes: int = 60
@@ -94,6 +108,7 @@ class Config(Strict):
     buffer_hours: float = 6
     exclude_annotated: bool = False
     relationships: RelationshipSettings = RelationshipSettings()
+    diagnostics: DiagnosticSettings = DiagnosticSettings()
     top_n_traces: int = 50
     trace_rows: int = 5
     robustness_seeds: list[int] = []
@@ -111,6 +126,11 @@ class Config(Strict):
             raise ValueError("pair features join the host windows: relationships.window_minutes must be window_minutes")
         return self
 
+    def mapping(self) -> dict[str, str]:
+        """The source column of canonical fields: what the contract says, and field_map before that."""
+        named = load_contract(self.contract).field_map(f.name for f in FIELDS) if self.contract else {}
+        return named | self.field_map
+
     def rel_params(self) -> RelParams:
         r = self.relationships
         return RelParams(r.window_minutes or self.window_minutes, r.novelty_lookback_days, r.baseline_lookback_days, r.warmup_days, r.min_support, r.log2_threshold, r.group_by_port, r.group_by_protocol)
@@ -139,7 +159,7 @@ def load_config(path: str, overrides: dict | None = None) -> Config:
     base = Path(path).resolve().parent
     at = lambda p: str(p if Path(p).is_absolute() else base / p)
     data["inputs"] = [at(p) for p in data.get("inputs", [])]
-    for key in ("output", "annotations"):
+    for key in ("output", "annotations", "contract"):
         if data.get(key):
             data[key] = at(data[key])
     return Config(**data)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import hashlib
 import json
 from collections.abc import Sequence
-from dataclasses import asdict, dataclass
+from dataclasses import asdict, dataclass, field
 from datetime import UTC, date, datetime, time, timedelta
 from pathlib import Path
 
@@ -18,14 +18,15 @@ from ..operators import models as M
 from ..operators import pairs as P
 from ..operators import periods as PE
 from ..operators import ranking as R
+from ..operators.chart_data import bucket
 from ..operators.ordering import discrete_quantile
 from ..sources.files import check_outside, repository
-from ..sources.flows import Source, open_source
+from ..sources.flows import FIELDS, Source, open_source
 from ..sources.spool import spooled
 from .config import Config, load_annotations
-from .report import write_report
+from .report import Subject, levels, write_report, write_run_report
 
-BUNDLE_VERSION = 2
+BUNDLE_VERSION = 3
 
 
 class RunError(ValueError):
@@ -65,6 +66,7 @@ class Context:
     warnings: list[str]
     id: str
     pairs: str | None = None
+    quality: list[dict] = field(default_factory=list)
 
     def period(self, name: str) -> PE.Period | None:
         return next((p for p in self.periods if p.name == name), None)
@@ -113,7 +115,7 @@ def check_places(cfg: Config, inputs: Sequence[str], guard: str | None = None) -
 def open_context(spark: SparkSession, cfg: Config, rebuild: bool = False, guard: str | None = None) -> Context:
     """Open the input, build features, split, add pair features, screen."""
     check_places(cfg, cfg.inputs, guard)
-    source = open_source(spark, cfg.inputs, cfg.field_map, cfg.epoch_unit)
+    source = open_source(spark, cfg.inputs, cfg.mapping(), cfg.epoch_unit)
     names = FT.select_features(source.available_features(), [n for n in cfg.include or [] if n not in FT.PAIR_FEATURES] or None, [n for n in cfg.exclude if n not in FT.PAIR_FEATURES])
     table, key = feature_table(spark, source, names, cfg.window_minutes, Path(cfg.output) / "cache", rebuild)
     periods = resolve_split(cfg, [r[0] for r in table.select("flow_date").distinct().collect()])
@@ -128,11 +130,11 @@ def open_context(spark: SparkSession, cfg: Config, rebuild: bool = False, guard:
         if cfg.relationships.include_model_features:
             ctx.table = P.extend_features(table, spark.read.parquet(str(out / "host_windows")))
             ctx.features = names + [n for n in FT.PAIR_FEATURES if n not in cfg.exclude and (cfg.include is None or n in cfg.include)]
-    quality = FT.feature_quality(ctx.table, ctx.features, ctx.train()).collect()
-    for q in quality:
+    ctx.quality = [r.asDict() for r in FT.feature_quality(ctx.table, ctx.features, ctx.train()).collect()]
+    for q in ctx.quality:
         if q["status"] != "ok":
             ctx.warnings.append(f"{q['feature']} is {q['status']} in training and isn't used")
-    ctx.features = [q["feature"] for q in quality if q["status"] == "ok"]
+    ctx.features = [q["feature"] for q in ctx.quality if q["status"] == "ok"]
     ctx.id = digest("experiment", key, ctx.features, [asdict(p) for p in periods], [m.model_dump() for m in cfg.models], cfg.exclude_annotated, [asdict(a) for a in notes], cfg.buffer_hours)
     return ctx
 
@@ -148,17 +150,18 @@ def train_models(ctx: Context, where: Column | None = None, chosen: list | None
     return [M.fit_model(ctx.table, ctx.features, ctx.train() if where is None else where, s, days, n) for s, n in chosen or specs(ctx.cfg)]
 
 
-def calibrate(ctx_scores: DataFrame, ids: Sequence[str], where: Column, cfg: Config) -> dict[str, R.Cutoffs]:
-    """Cutoffs and grids of all models from the reference period."""
+def calibrate(ctx_scores: DataFrame, ids: Sequence[str], where: Column, cfg: Config) -> tuple[dict[str, R.Cutoffs], dict[str, float]]:
+    """Cutoffs and grids of all models from the reference period, and the quantile of each band."""
     row = ctx_scores.where(where).agg((F.count("*") / F.countDistinct("flow_date")).alias("w")).first()
     q = R.band_quantiles(cfg.bands.quantiles, cfg.bands.budgets, row["w"])
-    return R.calibrate(R.reference_scores(ctx_scores, ids, where), ids, q)
+    return R.calibrate(R.reference_scores(ctx_scores, ids, where), ids, q), q
 
 
-def write_outputs(out: Path, table: DataFrame, flows: DataFrame, ids: list[str], cutoffs: dict[str, R.Cutoffs], stats: DataFrame, hosts: DataFrame, features: list[str], period: Column, category: Column, cfg: Config) -> dict:
+def write_outputs(out: Path, table: DataFrame, flows: DataFrame, ids: list[str], cutoffs: dict[str, R.Cutoffs], stats: DataFrame, hosts: DataFrame, features: list[str], period: Column, notes: list[PE.Annotation], cfg: Config) -> dict:
     """Scores, alerts with context and traces, daily and per-host summaries. table carries raw scores."""
     spark = table.sparkSession
     order, review = list(cfg.bands.quantiles), cfg.bands.review
+    category = PE.annotation_category(F.col("window_start"), F.col("window_end"), notes, cfg.buffer_hours)
     s = R.scored_windows(table, ids, cutoffs).withColumns({"period": period, "annotation_category": category})
     s = FT.with_stats(s, stats).withColumn("beyond_train_range", FT.beyond_range(features)).drop(*stats.columns)
     s.write.mode("overwrite").option("compression", "zstd").parquet(str(out / "scores"))
@@ -168,7 +171,7 @@ def write_outputs(out: Path, table: DataFrame, flows: DataFrame, ids: list[str],
     bucketed = FT.bucketed(FT.usable(flows), cfg.window_minutes).select("src_ip", "window_start", "flow_start", "source_file", "source_row_index")
     traces = R.alert_traces(alerts, bucketed, cfg.top_n_traces, cfg.trace_rows).drop("alert_rank")
     full.join(traces, ["src_ip", "window_start"], "left").orderBy("alert_rank").write.mode("overwrite").parquet(str(out / "alerts"))
-    R.daily_summary(s, ids, order).write.mode("overwrite").parquet(str(out / "daily"))
+    R.daily_summary(s, ids, order, day_category=PE.day_category(F.col("flow_date"), notes, cfg.buffer_hours)).write.mode("overwrite").parquet(str(out / "daily"))
     R.entity_summary(s, ids, review).write.mode("overwrite").parquet(str(out / "entities"))
     return {"windows": s.count(), "alerts": spark.read.parquet(str(out / "alerts")).count()}
 
@@ -225,39 +228,65 @@ def finalize(spark: SparkSession, ctx: Context, cfg: Config | None = None) -> Pa
     ids = [m.spec.model_id for m in fitted]
     raw = spark.read.parquet(str(out / "raw_scores"))
     reference = "validation" if ctx.period("validation") else "train"
-    cutoffs = calibrate(raw, ids, ctx.where(reference), cfg)
+    cutoffs, quantiles = calibrate(raw, ids, ctx.where(reference), cfg)
     stats = FT.training_stats(ctx.table, ctx.features, ctx.where("train"))
     hosts = FT.host_context(ctx.table, ctx.where("train"), [n for n in ("flows", "bytes_total", "uniq_dst_ip", "uniq_dst_port") if n in ctx.table.columns])
-    bundle = save_bundle(ctx, cfg, fitted, cutoffs, stats, hosts, out)
+    bundle = save_bundle(ctx, cfg, fitted, cutoffs, quantiles, stats, hosts)
     stats, hosts = (spark.read.parquet(str(bundle / n)) for n in ("train_stats", "train_hosts"))
-    counts = write_outputs(out, raw, ctx.source.flows, ids, cutoffs, stats, hosts, ctx.features, PE.period_label(ctx.periods, F.col("window_start")), ctx.category(), cfg)
-    write_json(out / "diagnostics.json", diagnose(spark.read.parquet(str(out / "scores")), ids, cfg))
+    counts = write_outputs(out, raw, ctx.source.flows, ids, cutoffs, stats, hosts, ctx.features, PE.period_label(ctx.periods, F.col("window_start")), ctx.notes, cfg)
+    found = diagnose(spark.read.parquet(str(out / "scores")), cutoffs, ctx, cfg)
+    write_json(out / "diagnostics.json", found)
     past = json.loads((out / "manifest.json").read_text())["revisions"] if (out / "manifest.json").exists() else []
     revision = {"at": datetime.now(UTC).isoformat(), "bands": cfg.bands.model_dump(), "reference": reference, "cutoffs": {m: c.thresholds for m, c in cutoffs.items()}, "bundle": bundle.name}
-    manifest = {"experiment": ctx.id, "bundle": bundle.name, "features": ctx.features, "periods": [asdict(p) for p in ctx.periods], "models": ids, "warnings": ctx.warnings, "fingerprint": ctx.source.fingerprint, "reference": reference, "revisions": [*past, revision], **counts}
+    manifest = {"experiment": ctx.id, "bundle": bundle.name, "features": ctx.features, "periods": [asdict(p) for p in ctx.periods], "models": ids, "warnings": ctx.warnings, "fingerprint": ctx.source.fingerprint, "reference": reference, "revisions": [*past, revision], "coverage": coverage(ctx, fitted), **counts}
     write_json(out / "manifest.json", manifest)
-    write_report(spark, out, manifest, cutoffs, cfg.bands.review, ctx.pairs, rel=cfg.rel_params(), top_pairs=cfg.relationships.top_pairs)
+    refits = json.loads((out / "robustness.json").read_text()) if (out / "robustness.json").exists() else []
+    subject = Subject(out, cutoffs, cfg.bands.review, ctx.notes, cfg.buffer_hours, ctx.periods, ctx.pairs, cfg.rel_params(), cfg.relationships.top_pairs, top_k=cfg.diagnostics.top_k_per_day)
+    write_report(spark, subject, manifest, found, refits)
     return bundle
 
 
-def diagnose(scores: DataFrame, ids: list[str], cfg: Config, k: int = 100) -> dict:
-    """The diagnostics as JSON-ready rows."""
+def coverage(ctx: Context, fitted: Sequence[M.FittedModel]) -> dict:
+    """How fields were read, what was assumed, the quality of the features, and the rows that models were fitted on."""
+    report = ctx.source.report
+    return {
+        "fields": [asdict(m) for m in report.fields.values()], "unmapped": report.unmapped, "assumptions": report.assumptions, "quality": ctx.quality,
+        "exclude_annotated": ctx.cfg.exclude_annotated, "fits": [{"model": m.spec.model_id, "train_rows": m.n_train} for m in fitted],
+    }
+
+
+def diagnose(scores: DataFrame, cutoffs: dict[str, R.Cutoffs], ctx: Context, cfg: Config) -> dict:
+    """All diagnostics of the development windows as rows."""
     rows = lambda df: [r.asDict(recursive=True) for r in df.collect()]
-    out = {"distribution": rows(D.score_distribution(scores, ids))}
+    ids, d, review = list(cutoffs), cfg.diagnostics, cfg.bands.review
+    focus = next(p for p in reversed(ctx.periods) if p.name != "test").name
+    near = {h: PE.annotation_category(F.col("window_start"), F.col("window_end"), ctx.notes, h) != "outside" for h in sorted({*d.buffers, cfg.buffer_hours})}
+    edges = D.training_edges(scores, ctx.features, F.col("period") == "train")
+    at = bucket(scores.agg(F.countDistinct("flow_date")).first()[0])
+    out: dict = {"distribution": rows(D.score_distribution(scores, ids)), "drift": rows(D.feature_drift(scores, edges, F.col("period") == "train", at)) if edges else []}
     for m in ids:
-        out[m] = {"volume": rows(D.band_volume(scores, m)), "concentration": rows(D.concentration(scores, m, k)), "overlap": rows(D.annotation_overlap(scores, m, F.col("annotation_category"), cfg.bands.review, k)), "training": rows(D.training_concentration(scores, f"{m}_raw", 0.99, 10))}
+        out[m] = {
+            "volume": rows(D.band_volume(scores, m)), "curve": rows(D.cutoff_curve(scores, m, levels(cutoffs[m], D.CURVE))), "concentration": rows(D.concentration(scores, m, d.top_k_per_day)),
+            "overlap": rows(D.annotation_overlap(scores, m, F.col("annotation_category"), review, d.top_k_per_day)), "training": rows(D.training_concentration(scores, f"{m}_raw", 0.99, 10)),
+            "buffers": rows(D.buffer_sensitivity(scores, m, near, review, d.top_k_per_day)) if ctx.notes else [],
+            "categories": rows(D.top_categories(scores.where(F.col("period") == focus), f"{m}_raw", d.top_n, F.col("annotation_category"))),
+        }
     for a, b in zip(ids, ids[1:], strict=False):
-        out[f"{a} x {b}"] = rows(D.model_agreement(scores, a, b, k, k, cfg.bands.review))
+        out[f"{a} x {b}"] = {
+            "period": focus, "top": d.disagreements, "agreement": rows(D.model_agreement(scores, a, b, d.top_n, d.top_k_per_day, review)),
+            "disagreements": rows(D.disagreements(scores, a, b, focus, d.disagreements)),
+        }
     return out
 
 
 def robustness(ctx: Context, fitted: list[M.FittedModel]) -> list[dict]:
     """Refits with other seeds, the other treatment of annotated rows, and without each model's top training rows; compared on validation."""
-    out, period = [], ctx.where("validation")
+    out, period, d = [], ctx.where("validation"), ctx.cfg.diagnostics
+    tops = lambda t, raw: {r["cat"]: r["share"] for r in D.top_categories(t, raw, d.top_n, ctx.category()).collect()}
     for f in fitted:
         raw = f"{f.spec.model_id}_raw"
         base = spooled(M.score_table(ctx.table.where(ctx.development()), [f]), "robustness")
-        cut = discrete_quantile(base.where(ctx.train()), raw, 0.99).first()["cut"]
+        cut = discrete_quantile(base.where(ctx.train()), raw, d.trim_quantile).first()["cut"]
         kept = base.where(ctx.train() & (F.col(raw) < F.lit(cut))).select("src_ip", "window_start")
         variants = [(f"seed {s}", ctx, M.ModelSpec(f.spec.kind, f.spec.label, f.spec.scaler, f.spec.settings, s), ctx.train()) for s in ctx.cfg.robustness_seeds]
         if ctx.notes:
@@ -266,9 +295,9 @@ def robustness(ctx: Context, fitted: list[M.FittedModel]) -> list[dict]:
             table = ctx.table.join(kept, ["src_ip", "window_start"], "left_semi") if c is None else ctx.table
             p = ctx.period("train")
             other = M.fit_model(table, ctx.features, where, spec, (p.end - p.start).days, f.n_train)
-            again = M.score_table(ctx.table.where(period), [other])
-            row = D.rank_agreement(base.where(period), raw, again, raw, 200).first()
-            out.append({"model": f.spec.model_id, "variant": name, **row.asDict()})
+            again = spooled(M.score_table(ctx.table.where(period), [other]), "refit")
+            row = D.rank_agreement(base.where(period), raw, again, raw, d.top_n).first()
+            out.append({"model": f.spec.model_id, "variant": name, "train_rows": other.n_train, "categories": tops(base.where(period), raw), "variant_categories": tops(again, raw), **row.asDict()})
     return out
 
 
@@ -285,12 +314,12 @@ def search(spark: SparkSession, cfg: Config) -> list[dict]:
             other = train_models(ctx, chosen=[(spec, None)])
             raw = f"{f.spec.model_id}_raw"
             rows = M.score_table(ctx.table.where(ctx.where("validation")), [f]), M.score_table(ctx.table.where(ctx.where("validation")), other)
-            out.append({"model": f.spec.model_id, "change": change, **D.rank_agreement(rows[0], raw, rows[1], raw, 200).first().asDict()})
+            out.append({"model": f.spec.model_id, "change": change, **D.rank_agreement(rows[0], raw, rows[1], raw, cfg.diagnostics.top_n).first().asDict()})
     write_json(Path(cfg.output) / "search.json", out)
     return out
 
 
-def save_bundle(ctx: Context, cfg: Config, fitted: list[M.FittedModel], cutoffs: dict[str, R.Cutoffs], stats: DataFrame, hosts: DataFrame, out: Path) -> Path:
+def save_bundle(ctx: Context, cfg: Config, fitted: list[M.FittedModel], cutoffs: dict[str, R.Cutoffs], quantiles: dict[str, float], stats: DataFrame, hosts: DataFrame) -> Path:
     """Freeze models, mapping, cutoffs, grids, training references and pair history."""
     rel = {"params": asdict(cfg.rel_params()), "include_model_features": cfg.relationships.include_model_features} if cfg.relationships.enabled else None
     bundle = Path(cfg.output) / "bundles" / digest(ctx.id, {m: c.thresholds for m, c in cutoffs.items()}, rel)
@@ -305,8 +334,8 @@ def save_bundle(ctx: Context, cfg: Config, fitted: list[M.FittedModel], cutoffs:
     if ctx.pairs:
         P.copy_history(stats.sparkSession, f"{ctx.pairs}/history", str(bundle / "history"))
     meta = {
-        "version": BUNDLE_VERSION, "id": bundle.name, "experiment": ctx.id, "models": sums, "features": ctx.features, "window_minutes": cfg.window_minutes, "field_map": cfg.field_map, "epoch_unit": cfg.epoch_unit,
-        "sources": {n: m.source for n, m in ctx.source.report.fields.items() if m.status == "ok"}, "cutoffs": {m: asdict(c) for m, c in cutoffs.items()}, "periods": [asdict(p) for p in ctx.periods], "fingerprint": ctx.source.fingerprint, "relationships": rel, "review": cfg.bands.review, "bands": list(cfg.bands.quantiles),
+        "version": BUNDLE_VERSION, "id": bundle.name, "experiment": ctx.id, "models": sums, "features": ctx.features, "window_minutes": cfg.window_minutes, "field_map": cfg.mapping(), "epoch_unit": cfg.epoch_unit,
+        "sources": {n: {"source": m.source, "conversion": m.conversion} for n in required_fields(ctx.features, rel) if (m := ctx.source.report.fields[n])}, "quantiles": quantiles, "cutoffs": {m: asdict(c) for m, c in cutoffs.items()}, "periods": [asdict(p) for p in ctx.periods], "fingerprint": ctx.source.fingerprint, "relationships": rel, "review": cfg.bands.review, "bands": list(cfg.bands.quantiles),
     }
     write_json(bundle / "bundle.json", meta)
     return bundle
@@ -353,12 +382,26 @@ def history_dir(bundle: Bundle, history: str | None) -> str:
     raise RunError(f"{history} holds no pair history")
 
 
-def check_compatible(bundle: Bundle, source: Source) -> None:
-    """The same source columns must be there and usable."""
-    usable = {n: m.source for n, m in source.report.fields.items() if m.status == "ok"}
-    wrong = [n for n, s in bundle.meta["sources"].items() if usable.get(n) != s]
+def required_fields(features: Sequence[str], rel: dict | None) -> list[str]:
+    """The canonical fields that new data must have: keys of windows, inputs of the models, keys of pairs."""
+    need = {"flow_start", "src_ip", *(n for f in features if f in FT.BY_NAME for n in FT.BY_NAME[f].needs)}
+    if rel:
+        need |= {"dst_ip"} | ({"dst_port"} if rel["params"]["group_by_port"] else set()) | ({"protocol"} if rel["params"]["group_by_protocol"] else set())
+    return [f.name for f in FIELDS if f.name in need]
+
+
+def check_compatible(bundle: Bundle, source: Source) -> list[str]:
+    """The fields that the models need must come from the same source columns and be usable; a column that is converted otherwise than in
+    training, as one of another type, is a warning."""
+    found, wrong, warnings = source.report.fields, [], []
+    for n, trained in bundle.meta["sources"].items():
+        if found[n].status != "ok" or found[n].source != trained["source"]:
+            wrong.append(f"{n} needs {trained['source']} ({trained['conversion']}), found {found[n].source} ({found[n].status} {found[n].note})")
+        elif found[n].conversion != trained["conversion"]:
+            warnings.append(f"{n} <- {found[n].source}: {found[n].conversion}, in training {trained['conversion']}")
     if wrong:
-        raise RunError(f"these files don't fit the bundle: {wrong}")
+        raise RunError("these files don't fit the bundle: " + "; ".join(wrong))
+    return warnings
 
 
 def score(spark: SparkSession, cfg: Config, bundle: Bundle, inputs: Sequence[str], kind: str, history: str | None = None) -> Path:
@@ -367,11 +410,10 @@ def score(spark: SparkSession, cfg: Config, bundle: Bundle, inputs: Sequence[str
     meta = bundle.meta
     check_places(cfg, inputs)
     source = open_source(spark, inputs, meta["field_map"], meta["epoch_unit"])
-    check_compatible(bundle, source)
+    warnings = check_compatible(bundle, source)
     base = [n for n in meta["features"] if n not in FT.PAIR_FEATURES]
     table, _ = feature_table(spark, source, sorted({*base, "flows"}, key=list(FT.BY_NAME).index), meta["window_minutes"], Path(cfg.output) / "cache")
     fixed = [PE.Period(p["name"], date.fromisoformat(p["start"]), date.fromisoformat(p["end"])) for p in meta["periods"]]
-    warnings = []
     if kind == "test":
         period = next((p for p in fixed if p.name == "test"), None)
         if period is None:
@@ -410,15 +452,16 @@ def score(spark: SparkSession, cfg: Config, bundle: Bundle, inputs: Sequence[str
         raise RunError(f"inputs are missing: {missing}")
     raw = M.score_table(table, bundle.models)
     notes = load_annotations(cfg.annotations) if cfg.annotations else []
-    category = PE.annotation_category(F.col("window_start"), F.col("window_end"), notes, cfg.buffer_hours)
     stats, hosts = (spark.read.parquet(str(bundle.path / n)) for n in ("train_stats", "train_hosts"))
     ids = [m.spec.model_id for m in bundle.models]
-    counts = write_outputs(out, raw, source.flows, ids, bundle.cutoffs, stats, hosts, meta["features"], F.lit(period.name), category, cfg)
-    info = {"run": run_id, "bundle": meta["id"], "kind": kind, "period": asdict(period), "warnings": warnings, "models": ids, **counts}
+    counts = write_outputs(out, raw, source.flows, ids, bundle.cutoffs, stats, hosts, meta["features"], F.lit(period.name), notes, cfg)
+    info = {"run": run_id, "bundle": meta["id"], "kind": kind, "period": asdict(period), "warnings": warnings, "models": ids, "fingerprint": source.fingerprint, "files": len(source.files), **counts}
     if kind == "test":
         info["use"] = ledger(Path(cfg.output) / "ledger.json", period, source.fingerprint, meta["id"], run_id)
     write_json(out / "run.json", info)
-    write_report(spark, out, info, bundle.cutoffs, meta["review"], str(out / "pairs") if analyzed else None, rel=P.RelParams(**rel["params"]) if rel else None, top_pairs=cfg.relationships.top_pairs)
+    params = P.RelParams(**rel["params"]) if rel else None
+    subject = Subject(out, bundle.cutoffs, meta["review"], notes, cfg.buffer_hours, [period], str(out / "pairs") if analyzed else None, params, cfg.relationships.top_pairs, top_k=cfg.diagnostics.top_k_per_day)
+    write_run_report(spark, subject, info, meta)
     return out
 
 

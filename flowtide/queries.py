@@ -158,6 +158,7 @@ _SC = f"{_BASE}, {_STATS}, {_SCORED}"
 _BD = f"{_SC}{_REF}, {_BANDED}"
 _OVER = lambda pad: " OR ".join(f"(window_start < TIMESTAMP '{a.end}' + INTERVAL {pad} HOUR AND window_end > TIMESTAMP '{a.start}' - INTERVAL {pad} HOUR)" for a in NOTES)
 _CAT = f"CASE WHEN {_OVER(0)} THEN 'inside' WHEN {_OVER(6)} THEN 'buffer' ELSE 'outside' END"
+_DAY_CAT = _CAT.replace("window_start", "CAST(flow_date AS TIMESTAMP)").replace("window_end", "(CAST(flow_date AS TIMESTAMP) + INTERVAL 1 DAY)")
 _REVIEW = "(a_band IN ('Critical', 'High') OR b_band IN ('Critical', 'High'))"
 _FEATURE_COLS = [f.name for f in FT.FEATURES]
 
@@ -345,9 +346,9 @@ def _daily_counts(m: str) -> str:
     return ", ".join(f"count(*) FILTER (WHERE {m}_band = '{b}') AS {m}_{b.lower()}" for b in R.BANDS) + f", count(*) FILTER (WHERE {m}_band = 'Below thresholds') AS {m}_below, max({m}_raw) AS {m}_max_raw, round(max({m}_pct), 9) AS {m}_max_pct"
 
 
-@query("daily_summary", f"{_BD} SELECT flow_date, max(period) AS period, count(*) AS windows, count(DISTINCT src_ip) AS hosts, CAST(sum(flows) AS BIGINT) AS flows, {_daily_counts('a')}, {_daily_counts('b')} FROM banded GROUP BY flow_date")
+@query("daily_summary", f"{_BD} SELECT flow_date, max(period) AS period, count(*) AS windows, count(DISTINCT src_ip) AS hosts, CAST(sum(flows) AS BIGINT) AS flows, {_DAY_CAT} AS day_category, {_daily_counts('a')}, {_daily_counts('b')} FROM banded GROUP BY flow_date")
 def daily_summary(spark: SparkSession, d: str) -> DataFrame:
-    return rounded(R.daily_summary(banded(spark, d), MODELS), 9)
+    return rounded(R.daily_summary(banded(spark, d), MODELS, day_category=PE.day_category(F.col("flow_date"), NOTES, BUFFER, ntz=True)), 9)
 
 
 @query("entity_summary", f"{_BD}, x AS (SELECT *, {_CAT} AS cat FROM banded) SELECT src_ip, count(*) AS windows, min(window_start) AS first_window, max(window_start) AS last_window, CAST(sum(flows) AS BIGINT) AS flows, count(*) FILTER (WHERE period = 'train') AS train_windows, " + ", ".join(

@@ -6,13 +6,12 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import pyarrow as pa
-import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalars import IPV4_SHAPE, PRIVATE_IPV4, duration, epoch_time, is_private, non_negative, text_time
-from .files import SourceError, SourceFile, columns_per_file, fingerprint, resolve_files
+from .files import Footer, SourceError, SourceFile, columns_per_file, fingerprint, read_footers, resolve_files
 
 INTEGERS = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
 NUMBERS = (*INTEGERS, T.FloatType, T.DoubleType, T.DecimalType)
@@ -126,16 +125,15 @@ def _time(raw: Column, dtype: T.DataType, unit: str | None) -> tuple[Column, Col
     return epoch_time(raw, unit), F.when(raw.isNotNull(), "ok").otherwise(nothing)
 
 
-def read_union(spark: SparkSession, files: Sequence[SourceFile]) -> DataFrame:
+def read_union(spark: SparkSession, files: Sequence[SourceFile], footers: Sequence[Footer]) -> DataFrame:
     """All files by column name, with source_file and source_row_index (0-based). Files of one footer schema are one scan; whole numbers
     of different width meet in the wider type. Nanosecond timestamps are cut to microseconds."""
     groups: dict[str, list[str]] = {}
     schemas: dict[str, pa.Schema] = {}
-    for f in files:
-        s = pq.read_schema(f.path)
-        key = str(s.remove_metadata())
+    for f, footer in zip(files, footers, strict=True):
+        key = str(footer.schema)
         groups.setdefault(key, []).append(f.path)
-        schemas[key] = s
+        schemas[key] = footer.schema
     out = None
     old = spark.conf.get("spark.sql.legacy.parquet.nanosAsLong")
     nanos = any(pa.types.is_timestamp(x.type) and x.type.unit == "ns" for s in schemas.values() for x in s)
@@ -182,6 +180,7 @@ class Source:
     """Opened input: files, mapping and canonical flows."""
 
     files: list[SourceFile]
+    footers: list[Footer]
     fingerprint: str
     report: MappingReport
     flows: DataFrame
@@ -197,10 +196,11 @@ class Source:
 def open_source(spark: SparkSession, patterns: Sequence[str], field_map: dict[str, str] | None = None, epoch_unit: str | None = None, private: str = PRIVATE_IPV4) -> Source:
     """Discover, check, map and project; nothing is read but footers."""
     files = resolve_files(patterns)
-    raw = read_union(spark, files)
+    footers = read_footers(files)
+    raw = read_union(spark, files, footers)
     schema = T.StructType([f for f in raw.schema if f.name not in ("source_file", "source_row_index")])
-    report = build_mapping(schema, columns_per_file(files), len(files), field_map, epoch_unit)
-    return Source(files, fingerprint(files), report, canonical_flows(raw, report, epoch_unit, private))
+    report = build_mapping(schema, columns_per_file(footers), len(files), field_map, epoch_unit)
+    return Source(files, footers, fingerprint(files), report, canonical_flows(raw, report, epoch_unit, private))
 
 
 __all__ = ["FIELDS", "IPV4_SHAPE", "Source", "build_mapping", "canonical_flows", "open_source", "read_union"]

@@ -1,6 +1,6 @@
 import math
 import random
-from datetime import datetime, timedelta
+from datetime import date, datetime, timedelta
 
 from pyspark.sql import functions as F
 
@@ -33,6 +33,16 @@ def test_zoom_centres_keep_their_distance(spark):
     assert C.zoom(df, F.col("m_raw") > 8, t0, timedelta(hours=12)).orderBy("bucket").collect()[1]["review"] == 0
 
 
+def test_backdrop_covers_the_buckets_that_it_touches():
+    days = [date(2026, 1, d) for d in (1, 2, 3, 5)]
+    at = lambda d, h=0: datetime(2026, 1, d, h)
+    draw = lambda *spans: charts.Backdrop([(*s, 0.2) for s in spans], [("test", at(3)), ("later", at(9))]).draw(days, 10.0)
+    out = draw((at(1, 12), at(3)))
+    assert 'x="0.0" y="0" width="20.0"' in out and 'x1="20.0"' in out and "later" not in out
+    assert "span" not in draw((at(4, 1), at(4, 9)), (at(6), at(8)))  # a day without a bar, and after the last one
+    assert charts.Backdrop([(at(1), at(2), 0.2)], [("a", at(1))]).draw([], 1.0) == ""
+
+
 def test_figures_hold_for_any_input():
     for f in (charts.bars([], "a<b"), charts.stacked([(1, "x", 0.0)], "a<b"), charts.lines([("s", 1.0, 2.0), ("s", 1.0, 2.0)], "a<b"), charts.heatmap([("h", 1, 0.5)], "a<b"), charts.heatmap([], "a<b"), charts.hexagons([(1.0, 1.0, 3.0)], "a<b")):
         assert f.startswith("<figure>") and "\n" not in f and "a&lt;b" in f

@@ -48,7 +48,14 @@ def test_experiment(spark, project, experiment):
     s = spark.read.parquet(str(experiment / "scores"))
     assert {r[0] for r in s.select("period").distinct().collect()} == {"train", "validation"}  # the test period isn't scored
     assert (experiment / "report.html").read_text().startswith("<!doctype html>") and json.loads((experiment / "robustness.json").read_text())
-    assert json.loads((experiment / "diagnostics.json").read_text())["distribution"]
+    found = json.loads((experiment / "diagnostics.json").read_text())
+    assert found["distribution"] and found["drift"] and found["iforest x ocsvm"]["period"] == "validation"
+    assert all(found[m][k] for m in ("iforest", "ocsvm") for k in ("volume", "curve", "overlap", "buffers", "categories", "training", "concentration"))
+    assert {r["buffer_hours"] for r in found["iforest"]["buffers"]} == {0, 6, 24, 72, 168}
+    days = {str(r["flow_date"]): r["day_category"] for r in spark.read.parquet(str(experiment / "daily")).collect()}
+    assert [days[str((START + timedelta(days=n)).date())] for n in range(4)] == ["buffer", "inside", "buffer", "outside"]
+    for r in json.loads((experiment / "robustness.json").read_text()):
+        assert abs(sum(r["variant_categories"].values()) - 1) < 1e-9 and r["train_rows"] > 0
 
 
 def test_holdout_finds_the_sweep(spark, project, experiment, monkeypatch):
@@ -58,6 +65,9 @@ def test_holdout_finds_the_sweep(spark, project, experiment, monkeypatch):
     out = runs.score(spark, cfg, b, cfg.inputs, "test")
     top = spark.read.parquet(str(out / "alerts")).where("alert_rank = 1").first()
     assert top["src_ip"] == "10.0.0.3" and top["window_start"].hour == 10 and top["trace_flow_count"] >= 200 and len(top["trace_rows"]) == 5
+    page = (out / "report.md").read_text()
+    for title in ("This is the first test", "## Scores against the reference", "## Bands", "## Annotations", "## Traces", "Nothing was fitted"):
+        assert title in page, title
     assert "uniq_dst_port" in top["beyond_train_range"] and top["trace_source_files"][0].endswith("day6.parquet")
     assert json.loads((out / "run.json").read_text())["use"] == "first"
     assert json.loads((runs.score(spark, cfg, b, cfg.inputs, "test") / "run.json").read_text())["use"] == "repeat"
@@ -73,6 +83,23 @@ def test_new_files(spark, project, experiment):
         runs.check_compatible(b, other)
 
 
+def test_columns_of_another_type(spark, project, experiment, tmp_path):
+    """A needed column of another type is a warning, a column that no model needs may be missing."""
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    b = runs.load_bundle(bundle_of(project, experiment))
+    t = pq.read_table(project / "new" / "day10.parquet")
+    i = t.column_names.index("flow_start_time")
+    pq.write_table(t.set_column(i, "flow_start_time", t["flow_start_time"].cast(pa.timestamp("us"))), tmp_path / "a.parquet")
+    warnings = runs.check_compatible(b, open_source(spark, [str(tmp_path)]))
+    assert len(warnings) == 1 and "flow_start" in warnings[0] and "UTC assumed" in warnings[0]
+    b.meta["sources"].pop("packets")
+    pq.write_table(t.drop_columns(["num_packets"]), tmp_path / "a.parquet")
+    assert runs.check_compatible(b, open_source(spark, [str(tmp_path)])) == []
+    assert runs.required_fields(["flows", "tcp_share"], None) == ["flow_start", "src_ip", "protocol"]
+
+
 def test_pair_features_are_a_choice(spark, project, experiment):
     cfg = load_config(str(project / "config.yaml"))
     assert not set(json.loads((experiment / "manifest.json").read_text())["features"]) & set(FT.PAIR_FEATURES)
@@ -165,7 +192,8 @@ def test_config(project, tmp_path, monkeypatch):
 
 def test_cli(spark, project, capsys):
     assert cli.main(["docs"]) == 0 and cli.main(["profile", "--config", str(project / "config.yaml")], spark) == 0
-    assert "`flows`" in capsys.readouterr().out
+    page = capsys.readouterr().out
+    assert "`flows`" in page and "| `dist_port` | `dst_port` |" in page
 
 
 def test_streams(spark, project, tmp_path):
@@ -185,6 +213,6 @@ def test_streams(spark, project, tmp_path):
 
 def test_report_has_all_charts(experiment):
     page = (experiment / "report.html").read_text()
-    for title in ("windows over time", "bands over time", "reference quantile", "scores from", "highest percentile by host", "rarity of", "stability index", "review windows around", "pair windows by novelty", "New and recently unseen", "Largest changes", "Hosts with most new pairs", "beyond its training range"):
+    for title in ("windows over time", "bands over time", "reference quantile", "scores from", "highest percentile by host", "rarity of", "stability index", "review windows around", "pair windows by novelty", "New and recently unseen", "Largest changes", "Hosts with most new pairs", "beyond its training range", "iforest and ocsvm", "Annotations", "by width of the buffer", "Robustness and drift", "Coverage", "instant", 'class="span"', 'class="mark"', "reserved"):
         assert title in page, title
     assert "<svg" not in (experiment / "report.md").read_text()
