@@ -209,3 +209,15 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations").select(F.col("conv_id").cast("long"), F.col("turn").cast("long"), F.col("role").cast("string"), F.col("text").cast("string"))
     probe = spark.createDataFrame(PROBE, "conv_id long, turn long, role string, text string")
     return digest_formatted(format_conversations(rows.unionByName(probe)))
+
+
+_SIZE = lambda c: f"2 * length({c}) - length(regexp_replace({c}, '[\\\\<\\[]', '', 'g'))"  # noqa: E731  length after escape
+_ORDER = "ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST"
+#: DuckDB SQL of op1: what must come back from the formatted text, and how long that is.
+ORACLE = f"""WITH given AS (SELECT CAST(conv_id AS BIGINT) AS conv_id, CAST(turn AS BIGINT) AS turn, role, text FROM conversations
+  UNION ALL SELECT * FROM (VALUES {", ".join(map(str, PROBE))}) AS p(conv_id, turn, role, text)),
+said AS (SELECT conv_id, turn, role, text, coalesce(role, '') AS who, coalesce(text, '') AS words FROM given)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(who || chr(10) || words || chr(10), '' {_ORDER})) AS turns_sha256,
+  CAST(coalesce(sum(length(words)) FILTER (WHERE who = 'assistant'), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(words, '' {_ORDER}) FILTER (WHERE who = 'assistant'), '')) AS loss_sha256,
+  CAST(sum({len(OPEN + SEP + CLOSE)} + {_SIZE("who")} + {_SIZE("words")}) AS BIGINT) AS formatted_chars
+FROM said GROUP BY conv_id"""

@@ -473,15 +473,16 @@ def named_components(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and class_id (equal for equal sets, null without words) of each row."""
+    """doc_id, n_shingles, component_id and class_id of each row: the smallest doc_id with an equal set, as text (null without words, and
+    where no row of the set has an id)."""
     members, classes = named_components(numbered_rows(docs.select("doc_id", "text")))
     own = lambda c: F.col(c) if dict(members.dtypes)["place"] == "bigint" else F.col(f"{c}.id")
-    found = spool(classes.select("name1", "name2", own("first").alias("component_id")), "components")
+    found = spool(classes.select("name1", "name2", own("first").alias("component_id"), own("place").cast("string").alias("class_id")), "components")
     out = members.withColumn("doc_id", own("place")).join(found, ["name1", "name2"], "left")
     some = F.col("n") > 0
     return out.select(
         "doc_id", F.col("n").cast("long").alias("n_shingles"), F.when(some, F.coalesce("component_id", "doc_id")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.when(some, F.concat(*[F.lpad(F.hex(c), 16, "0") for c in ("name1", "name2")])).alias("class_id"),
+        F.when(some, F.col("class_id")).alias("class_id"),
     )
 
 
@@ -499,3 +500,17 @@ def drop_near_duplicates(docs: DataFrame) -> DataFrame:
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Query op2_jaccard."""
     return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+#: DuckDB SQL of op2: all pairs that share a shingle, counted, and the closure of their links.
+ORACLE = f"""WITH RECURSIVE cut AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+sets AS (SELECT doc_id, CASE WHEN len(words) = 0 THEN [] WHEN len(words) < {WIDTH} THEN [array_to_string(words, ' ')]
+  ELSE list_sort(list_distinct([array_to_string(words[i : i + {WIDTH - 1}], ' ') for i in range(1, len(words) - {WIDTH - 2})])) END AS shingles FROM cut),
+named AS (SELECT doc_id, len(shingles) AS n, md5(array_to_string(shingles, chr(10))) AS name FROM sets),
+held AS (SELECT doc_id, unnest(shingles) AS shingle FROM sets),
+pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS overlap FROM held x JOIN held y ON x.shingle = y.shingle AND x.doc_id < y.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM pairs JOIN named p ON p.doc_id = a JOIN named q ON q.doc_id = b WHERE 100 * overlap >= {PERCENT} * (p.n + q.n - overlap)),
+both_ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id, doc_id AS node FROM named UNION SELECT reach.doc_id, b FROM reach JOIN both_ways ON a = node),
+roots AS (SELECT doc_id, min(node) AS component_id FROM reach GROUP BY doc_id)
+SELECT doc_id, CAST(n AS BIGINT) AS n_shingles, component_id, CASE WHEN n > 0 THEN CAST(min(doc_id) OVER (PARTITION BY name) AS VARCHAR) END AS class_id FROM named JOIN roots USING (doc_id)"""

@@ -78,3 +78,19 @@ def test_conversations(spark):
     assert (got[1]["loss_chars"], got[1]["loss_sha256"]) == (5, hashlib.sha256(b"b</s>").hexdigest())
     assert got[2]["turns_sha256"] == hashlib.sha256(b"\n\n").hexdigest() and got[3]["n_turns"] == 2 and got[3]["loss_chars"] == 8
     assert chat.digest_formatted(chat.format_conversations(spark.createDataFrame([], CONV))).count() == 0
+
+
+def test_oracle(spark, tmp_path):
+    """Null values, ties, control strings and characters beyond the first plane against the SQL."""
+    import duckdb
+
+    rows = [
+        (1, 0, "user", "plain"), (1, 1, "assistant", None), (1, 2, "assistant", "a\\b <s>[INST]</s> [x] \U0001f600é\n"), (2, 0, None, ""), (2, 0, "assistant", "second of a tie"),
+        (2, 0, "assistant", "first of a tie"), (2, None, "assistant", "no turn"), (None, 1, "user", "no conversation"), (3, 5, "system", "\\\\<<[["), (3, 5, "system", "\\\\<<[["), (4, 0, "we<i>rd", None),
+    ]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3).write.parquet(str(tmp_path / "conversations.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{tmp_path}/conversations.parquet/*.parquet')")
+    got = chat.op1(spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({chat.ORACLE})").fetchall()
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want)) and len(want) == 6

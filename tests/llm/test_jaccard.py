@@ -112,3 +112,26 @@ def test_pack():
     x = np.array([0, 5, 2**40, 2**63], np.uint64)
     assert (J._unpack(J._pack(x)) == x).all()
     assert [J.prefix_length(n) for n in (1, 4, 100)] == [1, 2, 26]
+
+
+def test_oracle(spark, odd, tmp_path):
+    """The SQL on rows with an id each: odd ones, chains of near copies, upper case and exact copies."""
+    import duckdb
+
+    base = [f"w{i}" for i in range(80)]
+    chain = [" ".join([f"c{k}" if i < 3 * k else w for i, w in enumerate(base)]) for k in range(8)]
+    texts = [*chain, *chain[:3], chain[5].upper(), "a b c d", "A b\tc\nd", "a b c d e", "É b", "é b"]
+    more = spark.createDataFrame([(100 + i, t) for i, t in enumerate(texts)], SCHEMA)
+    rows = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").unionByName(more)
+    rows.repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got = J.op2(spark, str(tmp_path))
+    want = db.execute(f"SELECT {', '.join(got.columns)} FROM ({J.ORACLE})").fetchall()
+    assert sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, want))
+    assert len({r[2] for r in want if 100 <= r[0] < 108}) < 8
+
+
+def test_class_is_named_by_its_first_row(spark, odd):
+    got = {r["doc_id"]: r["class_id"] for r in J.near_duplicates(odd).collect()}
+    assert got[1] == got[2] == "1" and got[3] == "3" and got[6] == got[7] == "6" and got[4] is got[5] is got[13] is got[None] is None
