@@ -16,4 +16,4 @@ QUERIES = {
     "op9_licenses": licenses.op9,
     "op10_bpe": bpe.op10,
 }
-ORACLES = {"op1_chat_format": chat.ORACLE, "op2_jaccard": jaccard.ORACLE, "op3_mix": mixing.ORACLE, "op7_quality": quality.ORACLE, "op8_line_dedup": lines.ORACLE}
+ORACLES = {"op1_chat_format": chat.ORACLE, "op2_jaccard": jaccard.ORACLE, "op3_mix": mixing.ORACLE, "op4_substring_dedup": substrings.ORACLE, "op7_quality": quality.ORACLE, "op8_line_dedup": lines.ORACLE}

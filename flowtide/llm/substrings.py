@@ -98,6 +98,48 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Query op4_substring_dedup: a row for each document that loses sentences, and the documents that held them first."""
+    """Query op4_substring_dedup: a row for each document that loses sentences, and the ids of those that held them first, joined by commas."""
     out = remove_repeats(table(spark, sf_dir, "documents"))
-    return out.select("doc_id", "n_sentences", "n_removed", "removed_chars", "first_doc_ids", F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+    return out.select("doc_id", "n_sentences", "n_removed", "removed_chars", F.array_join("first_doc_ids", ",").alias("first_doc_ids"), F.length("text").cast("long").alias("kept_chars"), F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
+ORACLE = r"""
+WITH docs AS (
+  SELECT row_number() OVER (ORDER BY doc_id NULLS LAST, md5(coalesce(text, ''))) AS key, doc_id, coalesce(text, '') AS text FROM documents
+), cuts AS (
+  SELECT key, string_split(
+    regexp_replace(regexp_replace(text, '([.!?]+)([\x09-\x0D\x20])', '\1' || chr(57344) || '\2', 'g'), '\n', chr(10) || chr(57344), 'g'), chr(57344)
+  ) AS pieces FROM docs
+), pieces AS (
+  SELECT key, i, piece, list_filter(regexp_split_to_array(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x09-\x0D\x20]+'), lambda w: w <> '') AS words
+  FROM (SELECT key, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS i FROM cuts)
+), units AS (
+  SELECT key, i, array_to_string(words, ' ') AS unit, len(words) AS size, row_number() OVER (PARTITION BY key ORDER BY i) AS k,
+    sum(len(words)) OVER (PARTITION BY key ORDER BY i) AS upto
+  FROM pieces WHERE len(words) > 0
+), whole AS (
+  SELECT key, list(unit ORDER BY k) AS units, max(k) AS n FROM units GROUP BY key
+), bounds AS (
+  SELECT a.key, a.k AS s, min(b.k) AS e FROM units a JOIN units b ON b.key = a.key AND b.k > a.k AND b.upto - a.upto + a.size >= 20 GROUP BY a.key, a.k
+  UNION
+  SELECT b.key, max(a.k), b.k FROM units a JOIN units b ON b.key = a.key AND b.k > a.k AND b.upto - a.upto + a.size >= 20 GROUP BY b.key, b.k
+  UNION
+  SELECT key, k, k FROM units WHERE size >= 50
+), spans AS (
+  SELECT key, s, e, array_to_string(units[s:e], chr(10)) AS span FROM bounds JOIN whole USING (key)
+), later AS (
+  SELECT key, s, e, first FROM (
+    SELECT key, s, e, min(key) OVER (PARTITION BY span) AS first, row_number() OVER (PARTITION BY span ORDER BY key, s, e) AS r FROM spans
+  ) WHERE r > 1
+), gone AS (
+  SELECT DISTINCT key, unnest(range(s, e + 1)) AS k FROM later
+), firsts AS (
+  SELECT l.key, coalesce(array_to_string(list_sort(list(DISTINCT d.doc_id) FILTER (WHERE d.doc_id IS NOT NULL)), ','), '') AS first_doc_ids FROM later l JOIN docs d ON d.key = l.first GROUP BY l.key
+), kept AS (
+  SELECT p.key, count(u.k) AS n_sentences, count(g.k) AS n_removed, coalesce(sum(length(p.piece)) FILTER (WHERE g.k IS NOT NULL), 0)::BIGINT AS removed_chars,
+    coalesce(string_agg(p.piece, '' ORDER BY p.i) FILTER (WHERE g.k IS NULL), '') AS t
+  FROM pieces p LEFT JOIN units u ON u.key = p.key AND u.i = p.i LEFT JOIN gone g ON g.key = u.key AND g.k = u.k GROUP BY p.key
+)
+SELECT doc_id, n_sentences, n_removed, removed_chars, first_doc_ids, length(t) AS kept_chars, md5(t) AS text_md5
+FROM kept JOIN firsts USING (key) JOIN docs USING (key)
+"""

@@ -67,15 +67,26 @@ def test_reused_and_null_ids(spark):
     assert got == sorted((str(i), n, k) for i, n, k, _ in brute_passages(in_order([(i, t or "") for i, t in passages])))
 
 
-def test_oracle_with_reused_ids(spark, tmp_path):
+def same_as_sql(spark, folder, rows, query, sql):
+    """Whether the query's rows are those of DuckDB."""
     import duckdb
 
-    df = spark.createDataFrame(REUSED, "doc_id long, text string")
-    df.write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(folder / "documents.parquet"))
     db = duckdb.connect()
-    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
-    want = sorted(map(str, db.execute(f"SELECT doc_id, n_lines, n_removed, kept_chars, text_md5 FROM ({lines.ORACLE})").fetchall()))
-    assert sorted(str(tuple(r)) for r in lines.op8(spark, str(tmp_path)).collect()) == want
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{folder}/documents.parquet/*.parquet')")
+    got = query(spark, str(folder))
+    return sorted(str(tuple(r)) for r in got.collect()) == sorted(map(str, db.execute(f"SELECT {', '.join(got.columns)} FROM ({sql})").fetchall()))
+
+
+def test_oracle_with_reused_ids(spark, tmp_path):
+    assert same_as_sql(spark, tmp_path, REUSED, lines.op8, lines.ORACLE)
+
+
+def test_sql_of_substrings(spark, tmp_path):
+    passages = [(i, t and t.replace("\n", " words that make this sentence long enough to count.\n")) for i, t in REUSED]
+    long = " ".join(f"W{k}" for k in range(55))
+    odd = [(20, f"Wait... what?! {long}. é end"), (21, f"{long.lower()}.\r\n\n\té e.g. x.y ."), (22, ""), (23, " \n . ")]
+    assert same_as_sql(spark, tmp_path, passages + odd, substrings.op4, substrings.ORACLE)
 
 
 def test_substrings(spark, odd, odd_rows, empty):
