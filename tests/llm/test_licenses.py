@@ -69,6 +69,8 @@ def test_scan():
         found = s.scan(f"intro words here {edited} and an end".encode())
         assert name in [x[0] for x in found], name
         assert all(x[1] >= L.LEAST_COVERAGE for x in found)
+    for name in ("BSD-2-Clause", "BSD-3-Clause"):
+        assert [x[:2] for x in s.scan(f"Copyright some one. {L.TEMPLATES[name]} and code".encode())] == [(name, 1.0)]
     twice = f"{L.TEMPLATES['ISC']} middle text {L.TEMPLATES['ISC']}"
     assert [x[0] for x in s.scan(twice.encode())] == ["ISC", "ISC"]
     assert s.scan(b"the software is a thing that we license to you under terms of ours") == []
