@@ -7,6 +7,8 @@ from hypothesis import strategies as st
 
 from flowtide.llm import jpeg, media
 
+from . import plain_jpeg
+
 
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.binary(max_size=900), min_size=1, max_size=4))
@@ -50,3 +52,24 @@ def test_documents(spark, odd, odd_rows, empty):
     assert media.read_back(media.store(empty)).count() == 0
     t = media.tensors(media.store(odd.where("doc_id = 6"))).first()
     assert len(t["rgb"]) == t["height"] * t["width"] * 3
+
+
+def test_files_by_a_second_decoder():
+    """A decoder that shares no code with the package finds the same coefficients and, within rounding, the same pixels."""
+    rng = random.Random(5)
+    raws = [b"", b"A text of a document, with an \xc3\xa9. " * 30, bytes(rng.choice([0, 0, 0, 0, 1, 255, 128]) for _ in range(1500)), rng.randbytes(1100), b"\x80" * 64 + b"\x7f" * 64]
+    files = jpeg.encode([media.payload_of(r) for r in raws])
+    decoded = jpeg.decode(files)
+    tensors = jpeg.rgb(decoded)
+    for n, (raw, data) in enumerate(zip(raws, files, strict=True)):
+        height, width, (luma, cb, cr) = plain_jpeg.read(data)
+        assert tensors[n].shape == (height, width, 3) and set(luma["q"]) == {1}
+        flat = []
+        for y in range(height // 16):
+            for x in range(width // 16):
+                for v, h in ((0, 0), (0, 1), (1, 0), (1, 1)):
+                    flat += luma["blocks"][2 * y + v, 2 * x + h]
+                flat += cb["blocks"][y, x] + cr["blocks"][y, x]
+        payload = media.payload_of(raw)
+        assert bytes(v & 255 for v in flat[: len(payload)]) == payload and not any(flat[len(payload) :])
+        assert np.abs(np.array(plain_jpeg.pixels(data)) - tensors[n]).max() < 3
