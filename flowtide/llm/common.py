@@ -18,6 +18,8 @@ from ..sources.spool import spooled as spool
 WORD = r"[^\x20\x09-\x0D]+"
 #: Rows of an Arrow batch where the session has Spark's default of 10 000: whole texts can be long, and JVM and Python each hold batches.
 BATCH_ROWS = 1000
+#: Bytes of such a batch, where the session has no bound: rows can be much larger than texts, as packed shingles are. A longer row is a batch of its own.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +44,9 @@ def arrow_map(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[p
     setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if df.sparkSession.conf.get(setting) == "10000":
         df.sparkSession.conf.set(setting, str(BATCH_ROWS))
+    setting = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(setting, None) is None:
+        df.sparkSession.conf.set(setting, str(BATCH_BYTES))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         try:

@@ -112,20 +112,31 @@ def packed_shingles(rows: DataFrame, fragments: int) -> DataFrame:
         base = n_held = 0
 
         def packed() -> Iterator[pa.RecordBatch]:
-            h = np.concatenate(held) >> np.uint64(64 - BITS)
-            idx = np.repeat(np.arange(base, base + len(held), dtype=np.uint64), [len(x) for x in held])
+            lengths = [len(x) for x in held]
+            h = np.concatenate(held)
+            held.clear()  # here and below: a pack is held as few times as can be
+            h >>= np.uint64(64 - BITS)
             order = np.argsort(h, kind="stable")
-            h, idx = h[order], idx[order]
-            first = np.diff(h, prepend=h[0] ^ np.uint64(1)) != 0
+            h = h[order]
+            idx = np.repeat(np.arange(base, base + len(lengths), dtype=np.uint64), lengths)[order]
+            del order
+            first = np.append(True, h[1:] != h[:-1])
             if not first.all():
                 yield _packed_rows([(part, REPEATS, _pack(np.diff(h[~first], prepend=np.uint64(0))), _pack(idx[~first]))])
             times = np.diff(np.append(np.flatnonzero(first), len(h))).astype(np.uint64)
-            h, idx = h[first], idx[first] | times << np.uint64(32)
-            frag = ((h >> np.uint64(BITS - 32)) * np.uint64(fragments)) >> np.uint64(32)
-            cuts = np.append(np.flatnonzero(np.diff(frag, prepend=np.uint64(1 << 62))), len(h))
+            h, idx = h[first], idx[first]
+            times <<= np.uint64(32)
+            idx |= times
+            del times, first
+            frag = h >> np.uint64(BITS - 32)
+            frag *= np.uint64(fragments)
+            frag >>= np.uint64(32)
+            cuts = np.concatenate([[0], np.flatnonzero(frag[1:] != frag[:-1]) + 1, [len(h)]])
+            number = frag[cuts[:-1]].tolist()
+            del frag
             out = []
-            for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
-                out.append((part, int(frag[lo]), _pack(np.diff(h[lo:hi], prepend=np.uint64(0))), _pack(idx[lo:hi])))
+            for k, (lo, hi) in enumerate(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True)):
+                out.append((part, number[k], _pack(np.diff(h[lo:hi], prepend=np.uint64(0))), _pack(idx[lo:hi])))
                 if len(out) >= 64:
                     yield _packed_rows(out)
                     out = []
@@ -147,7 +158,7 @@ def packed_shingles(rows: DataFrame, fragments: int) -> DataFrame:
                 n_held += len(h)
                 if n_held >= PACK:
                     yield from packed()
-                    base, held, n_held = len(sizes), [], 0
+                    base, n_held = len(sizes), 0
             if own:
                 keys = batch["key"].to_numpy(zero_copy_only=False).astype(np.int64)
                 yield _packed_rows([(part, MEMBERS, _pack(np.concatenate([keys, [n for n, _ in own]])), b"".join(name for _, name in own))])

@@ -14,7 +14,7 @@ of any length is one row in memory, extra columns are ignored or, in :func:`keep
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -128,14 +128,15 @@ class Model:
             machines.append(fit_svm([rows[i] for i in own.tolist()], np.where(lang_no[own] == a, 1, -1)))
         return cls(languages, families, np.array(machines, np.float32).reshape(-1, DIMENSIONS + 1), pairs)
 
-    def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
-        """Language and score (0 to 1) of each feature vector."""
-        margins = x @ self.machines[:, :-1].T + self.machines[:, -1] if len(self.machines) else np.zeros((len(x), 0))
+    def predict(self, x: Iterable[np.ndarray]) -> list[tuple[str, float]]:
+        """Language and score (0 to 1) of each feature vector. One vector is held at a time, and none depends on its neighbours."""
+        weights, bias = np.ascontiguousarray(self.machines[:, :-1]), self.machines[:, -1]
         cut = len(self.families) if len(self.families) > 1 else 0
         members: list[list[int]] = [[i for i, v in enumerate(self.languages) if family_of(v) == name] for name in self.families]
         between = [[k for k, (a, _) in enumerate(self.pairs) if a in own] for own in map(set, members)]
         out = []
-        for m in margins:
+        for v in x:
+            m = weights @ v + bias
             fam, p = 0, 1.0
             if cut:
                 fam = int(np.argmax(m[:cut]))
@@ -205,7 +206,7 @@ def predict(docs: DataFrame, model: Model | None, *keep: str) -> DataFrame:
                 some = [i for i, raw in enumerate(raws) if model and raw and _LETTER.search(raw.decode("utf-8", "replace"))]
                 langs, scores = [UNKNOWN] * len(raws), [0.0] * len(raws)
                 if some:
-                    for i, (lang, score) in zip(some, model.predict(np.stack([features(raws[i]) for i in some])), strict=True):
+                    for i, (lang, score) in zip(some, model.predict(features(raws[i]) for i in some), strict=True):
                         langs[i], scores[i] = lang, score
                 yield pa.RecordBatch.from_arrays([*(part[n] for n in names), pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*names, "lang_pred", "score"])
 

@@ -1,5 +1,6 @@
 import zlib
 
+import numpy as np
 import pytest
 
 from flowtide.llm import langid
@@ -69,3 +70,27 @@ def test_packed():
     x = langid.features("Öl und Wasser, 日本".encode())
     at, value = langid.unpacked(langid.packed(x))
     assert (x[at] == value).all() and len(at) == (x > 0).sum()
+
+
+def test_vectors_one_at_a_time(labelled):
+    """Vectors are read one by one, so a task holds one of them; a row's result doesn't depend on the rows beside it."""
+    model = langid.fit(labelled)
+    texts = [r["text"].encode() for r in labelled.where("text is not null").limit(65).collect()]
+    alive, most = 0, 0
+
+    class Vector(np.ndarray):
+        def __del__(self):
+            nonlocal alive
+            alive -= 1
+
+    def vectors():
+        nonlocal alive, most
+        for raw in texts:
+            v = langid.features(raw).view(Vector)
+            alive += 1
+            most = max(most, alive)
+            yield v
+            del v
+
+    together = model.predict(vectors())
+    assert most <= 3 and together == [model.predict([langid.features(raw)])[0] for raw in texts]

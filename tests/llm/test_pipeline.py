@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline as P
 from flowtide.llm import bpe, langid, mixing
-from flowtide.llm.common import spool
+from flowtide.llm.common import BATCH_BYTES, arrow_map, spool
 
 from .test_jaccard import brute
 from .test_repeats import brute_lines
@@ -88,3 +88,18 @@ def test_stages_against_brute_force(spark):
     library = Tokenizer.from_file(bpe.default_path())
     digest = lambda t: hashlib.sha256(",".join(map(str, library.encode(t, add_special_tokens=False).ids)).encode()).hexdigest()
     assert sorted((r["doc_id"], r["ids_sha256"]) for r in tokens.collect()) == sorted((i, digest(t)) for i, t in of(mixed))
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Rows of 64 KB, as packed shingles have them: a batch of 1000 such rows would be 64 MB in the JVM and again in the worker."""
+
+    def run(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows]), pa.array([batch.nbytes])], ["n", "bytes"])
+
+    rows = spark.range(0, 1000, 1, 1).selectExpr("id", "cast(repeat('x', if(id = 500, 8000000, 64000)) as binary) as a")
+    got = arrow_map(rows, run, "n long, bytes long").collect()
+    assert sum(r["n"] for r in got) == 1000 and max(r["bytes"] for r in got) < 2 * BATCH_BYTES + 8_000_000
+    assert sorted(r["bytes"] for r in got)[-2] < 1.1 * BATCH_BYTES
